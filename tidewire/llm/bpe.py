@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .common import table
 from .pieces import Pieces, parts
@@ -184,7 +185,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], lists], [f.name for f in schema])
 
     src = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col), *[F.col(c) for c in keep])
-    schema = src.drop("__text").schema.add("ids" if "ids" not in src.columns else "token_ids", "array<int>")
+    schema = src.drop("__text").schema.add("ids" if "ids" not in src.columns else "token_ids", ArrayType(IntegerType()))
     return src.mapInArrow(run, schema)
 
 
@@ -198,7 +199,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string())], [f.name for f in schema])
 
     src = tokens.select(F.col(ids_col).alias("__ids"), *[F.col(c) for c in tokens.columns if c != ids_col])
-    schema = src.drop("__ids").schema.add("text" if "text" not in src.columns else "decoded_text", "string")
+    schema = src.drop("__ids").schema.add("text" if "text" not in src.columns else "decoded_text", StringType())
     return src.mapInArrow(run, schema)
 
 

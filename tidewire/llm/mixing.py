@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import save, table
 
+LARGE = 64  #: documents of over 1/LARGE of their source's words (fewer than LARGE a source) are settled before the others
 FAN = 64  #: items that meet in one node of the reduction tree
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0  #: a source's target is at most so many times its size
@@ -56,7 +57,7 @@ def _settle(seed: int):
         to_a = _uniform(F.lit(seed), a["o"], x["o"]) * (up + down) < down
         pa = F.when(to_a, F.when(up == room_a, F.lit(1.0)).otherwise(a["p"] + up / a["w"])).otherwise(F.when(down == has_a, F.lit(0.0)).otherwise(a["p"] - down / a["w"]))
         px = F.when(to_a, F.when(up == has_x, F.lit(0.0)).otherwise(x["p"] - up / x["w"])).otherwise(F.when(down == room_x, F.lit(1.0)).otherwise(x["p"] + down / x["w"]))
-        a2, x2 = (F.struct(y["o"].alias("o"), y["id"].alias("id"), y["h"].alias("h"), y["w"].alias("w"), p.alias("p")) for y, p in ((a, pa), (x, px)))
+        a2, x2 = (F.struct(y["k"].alias("k"), y["o"].alias("o"), y["id"].alias("id"), y["h"].alias("h"), y["w"].alias("w"), p.alias("p")) for y, p in ((a, pa), (x, px)))
         # the items after the move, in one array so that each is worked out once
         return F.transform(F.array(F.struct(a2.alias("a"), x2.alias("x"))), lambda m: F.when(
             m["a"]["p"].isin(0.0, 1.0), F.struct(m["x"].alias("cur"), F.concat(acc["done"], F.array(m["a"])).alias("done"))
@@ -70,13 +71,14 @@ def round_copies(items: DataFrame, seed: int = 1, fan: int = FAN) -> DataFrame:
 
     Pivotal rounding weighted by words: two items exchange words at random, without drift, until one is
     wholly in or out. Nodes of at most about `fan` items run side by side; each leaves one residual item, and residuals
-    meet in the next level, so a source's words come within one item's of their expectation, however large or
-    hot the source. All randomness is hashed from the seed and the items: reruns agree.
+    meet in the next level, so a source's words come within half an item's of their expectation, however large or
+    hot the source (the one item left in the end goes to the nearer side). Nodes take their items from the largest
+    to the smallest, so that what is left is seldom a large one. All randomness is hashed from the seed and the items: reruns agree.
     """
     o = F.xxhash64(F.lit(seed), "id", "h")
-    counts = items.groupBy("source").agg(F.ceil(F.count("*") / fan).alias("blocks"))
-    cur = items.join(counts, items["source"].eqNullSafe(counts["source"])).select(
-        items["source"], F.pmod(F.xxhash64(o, F.lit(seed)), "blocks").alias("block"), F.struct(o.alias("o"), "id", "h", F.col("w").cast("double").alias("w"), F.col("p").alias("p")).alias("x"))
+    counts = items.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count("*") / fan).alias("blocks"))
+    cur = items.join(counts, F.col("source").eqNullSafe(F.col("of"))).select(
+        "source", F.pmod(F.xxhash64(o, F.lit(seed)), "blocks").alias("block"), F.struct((-F.col("w")).cast("double").alias("k"), o.alias("o"), "id", "h", F.col("w").cast("double").alias("w"), F.col("p").alias("p")).alias("x"))
     most = counts.agg(F.max("blocks")).first()[0] or 0
     settled, level = [], 0
     while most:
@@ -91,7 +93,7 @@ def round_copies(items: DataFrame, seed: int = 1, fan: int = FAN) -> DataFrame:
             settled.append(cur.select("x"))
             break
         most, level = -(-most // fan), level + 1
-    out = [d.select("x.id", "x.h", F.when(F.col("x.p").isin(0.0, 1.0), F.col("x.p")).otherwise((_uniform(F.lit(seed + 1), "x.o") < F.col("x.p")).cast("double")).cast("int").alias("bit")) for d in settled]
+    out = [d.select("x.id", "x.h", F.when(F.col("x.p").isin(0.0, 1.0), F.col("x.p")).otherwise((F.col("x.p") >= 0.5).cast("double")).cast("int").alias("bit")) for d in settled]
     return reduce(DataFrame.unionByName, out) if out else items.select("id", "h", F.lit(0).alias("bit"))
 
 
@@ -102,6 +104,8 @@ def _hash(docs: DataFrame) -> Column:
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 1) -> DataFrame:
     """(id, h, source, size, source_size, target, m, copies): m equal rows, of which the mix takes `copies` in all.
 
+    Documents that hold a notable share of their source are rounded first, and the others then share what is left
+    of the target, so that one long document doesn't decide how near the mix comes to it.
     A null text has size 0; null is a source of its own. A document without words takes no words; it is
     copied as its source's ratio says, rounded on its own. An empty table gives an empty plan.
     """
@@ -110,15 +114,29 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         .groupBy("id", "source", "size", "h").agg(F.count("*").alias("m")), "mix-items")
     sizes = items.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
     goal = save(source_targets(sizes, weights, most), "mix-targets")
-    small = F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal
-    want = items.join(small, items["source"].eqNullSafe(small["source"])).drop(small["source"])
-    want = want.withColumn("x", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) * F.col("m"))
-    want = want.withColumn("whole", F.floor("x")).withColumn("p", F.col("x") - F.col("whole"))
-    paired = (F.col("p") > 0) & (F.col("size") > 0)
-    bits = round_copies(want.where(paired).select("source", "id", "h", (F.col("size")).alias("w"), "p"), seed).withColumnsRenamed({"id": "bit_id", "h": "bit_h"})
-    joined = want.join(bits, F.col("id").eqNullSafe(F.col("bit_id")) & (F.col("h") == F.col("bit_h")), "left")
-    lone = (_uniform(F.lit(seed + 2), "id", "h") < F.col("p")).cast("int")
-    return joined.select("id", "h", "source", "size", "source_size", "target", "m", (F.col("whole") + F.coalesce("bit", F.when(F.col("size") == 0, lone).otherwise(0))).cast("long").alias("copies"))
+    goal = goal.withColumnRenamed("source", "of")
+    narrow = goal.count() <= BROADCAST_SOURCES
+
+    def per_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(sources) if narrow else sources, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+    def copied(rows: DataFrame, ratio: Column, seed: int) -> DataFrame:
+        """rows with copies: whole copies, and one more by pivotal rounding (by the hash alone where there are no words)."""
+        want = rows.withColumn("x", ratio * F.col("m")).withColumn("whole", F.floor("x")).withColumn("p", F.col("x") - F.col("whole"))
+        paired = want.where((F.col("p") > 0) & (F.col("size") > 0)).select("source", "id", "h", F.col("size").alias("w"), "p")
+        bits = round_copies(paired, seed).withColumnsRenamed({"id": "bit_id", "h": "bit_h"})
+        lone = (_uniform(F.lit(seed + 2), "id", "h") < F.col("p")).cast("int")
+        got = want.join(bits, F.col("id").eqNullSafe(F.col("bit_id")) & (F.col("h") == F.col("bit_h")), "left")
+        return got.select(*rows.columns, (F.col("whole") + F.coalesce("bit", F.when(F.col("size") == 0, lone).otherwise(0))).cast("long").alias("copies"))
+
+    rows = per_source(items, goal)
+    large = F.col("size") > F.col("source_size") / LARGE
+    first = save(copied(rows.where(large), F.col("target") / F.col("source_size"), seed), "mix-large")
+    used = first.groupBy(F.col("source").alias("of_")).agg(F.sum(F.col("size") * F.col("copies")).alias("used"), F.sum(F.col("size") * F.col("m")).alias("held"))
+    rest = goal.join(used, F.col("of").eqNullSafe(F.col("of_")), "left").select(
+        "of", F.greatest(F.lit(0.0), F.least(F.lit(most), F.coalesce(F.try_divide(F.col("target") - F.coalesce("used", F.lit(0)), F.col("source_size") - F.coalesce("held", F.lit(0))), F.lit(0.0)))).alias("ratio"))
+    second = copied(per_source(rows.where(~large), save(rest, "mix-ratios")), F.col("ratio"), seed + 1000).drop("ratio")
+    return first.unionByName(second).select("id", "h", "source", "size", "source_size", "target", "m", "copies")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 1) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, mixing, quality, secrets, simhash, token_files
+from . import bpe, exact_dedup, licenses, media, mixing, quality, secrets, simhash, token_files, toolchat
 
-MODULES = (token_files, quality, mixing, secrets, bpe, simhash, exact_dedup)
+MODULES = (token_files, quality, mixing, secrets, bpe, licenses, simhash, toolchat, media, exact_dedup)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}

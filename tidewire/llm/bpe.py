@@ -68,11 +68,13 @@ class Vocabulary:
 
     # -- text to words
 
-    def plain(self, text: str) -> str:
-        """NFC, white space to single spaces, lower case letter by letter (a capital sigma has no final form)."""
+    def plain(self, text: str) -> list[str]:
+        """Runs without white space, in NFC and in lower case letter by letter (a capital sigma has no final form)."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return _SPACE.sub(" ", text).lower()
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
+            return _SPACE.split(text.lower())
+        return text.lower().split()
 
     # -- merges
 
@@ -154,12 +156,12 @@ class Encoder:
         """Pieces that encode on their own: special tokens (marked with U+0000) and runs without white space."""
         v = self.vocab
         if "<|" not in text or not v.cut.search(text):
-            return v.plain(text).split(" ")
+            return v.plain(text)
         out, at = [], 0
         for m in v.cut.finditer(text):
-            out += [*v.plain(text[at : m.start()]).split(" "), "\0" + m[0]]
+            out += [*v.plain(text[at : m.start()]), "\0" + m[0]]
             at = m.end()
-        return out + v.plain(text[at:]).split(" ")
+        return out + v.plain(text[at:])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each text."""
@@ -173,11 +175,17 @@ class Encoder:
         return " ".join(map(self.vocab.tokens.__getitem__, ids.tolist()))
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder: its pieces serve all tasks that the worker gets."""
+    return Encoder(path)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """docs' id and `keep` columns with ids array<int>. A null or empty text has no ids."""
 
     def run(batches):
-        enc = Encoder(path)
+        enc = encoder(path)
         for whole in batches:
             for b in parts(whole, 0):
                 ids, n = enc.encode([t or "" for t in b.column(0).to_pylist()])
@@ -193,7 +201,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """tokens without ids_col, with the decoded text. Null ids decode to null."""
 
     def run(batches):
-        enc = Encoder(path)
+        enc = encoder(path)
         for b in batches:
             texts = [None if not x.is_valid else enc.decode(x.values.to_numpy()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string())], [f.name for f in schema])
@@ -207,7 +215,7 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """Per document: id, n_tokens, ids_sha256 (little-endian 32-bit ids) and decoded_sha256 of the decoded text."""
 
     def run(batches):
-        enc = Encoder(path)
+        enc = encoder(path)
         for whole in batches:
             for b in parts(whole, 1):
                 ids, n = enc.encode([t or "" for t in b.column(1).to_pylist()])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import market
+
+MODULES = (market,)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 FLAGSHIP = "signals"

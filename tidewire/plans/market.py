@@ -71,9 +71,9 @@ def q_gaps(spark, sf):
 
 
 @query("weekly", f"""WITH {prices_sql()}
-SELECT ticker, CAST(isoyear(date) AS INT) AS iso_year, CAST(weekofyear(date) AS INT) AS iso_week, max(date) AS date, {R('arg_max(close, date)')} AS close FROM prices GROUP BY ticker, isoyear(date), weekofyear(date)""")
+SELECT ticker, CAST(isoyear(date) AS INT) AS iso_year, CAST(weekofyear(date) AS INT) AS iso_week, max(date) AS date, arg_max(close, date) AS close FROM prices GROUP BY ticker, isoyear(date), weekofyear(date)""")
 def q_weekly(spark, sf):
-    return panel.resample_weekly(prices(spark, sf)).withColumn("close", r6("close"))
+    return panel.resample_weekly(prices(spark, sf))
 
 
 @query("common_dates", f"WITH {prices_sql('p_type', 'driver')} SELECT date FROM prices GROUP BY date HAVING count(DISTINCT driver) = (SELECT count(DISTINCT driver) FROM prices)")
@@ -113,9 +113,9 @@ FUTURE = """fut AS (SELECT ticker, date, CASE WHEN count(abn) OVER p >= 8 THEN s
   CASE WHEN count(abn) OVER n1 = 1 THEN sum(abn) OVER n1 END AS c1, CASE WHEN count(abn) OVER n5 = 5 THEN sum(abn) OVER n5 END AS c5, CASE WHEN count(abn) OVER n20 = 20 THEN sum(abn) OVER n20 END AS c20
   FROM abn WINDOW p AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING), n1 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING),
   n5 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), n20 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
-asofs AS (SELECT ticker, a.asof FROM (SELECT DISTINCT ticker FROM abn), (SELECT DISTINCT CAST(date_trunc('week', date) AS DATE) + 5 AS asof FROM abn) a),
-lab0 AS (SELECT a.ticker, a.asof, f.* EXCLUDE (ticker, date) FROM asofs a ASOF JOIN fut f ON a.ticker = f.ticker AND a.asof >= f.date),
-lab1 AS (SELECT ticker, asof, '1d' AS horizon, c1 AS car, sd AS sigma FROM lab0 UNION ALL SELECT ticker, asof, '5d', c5, sd * sqrt(5) FROM lab0 UNION ALL SELECT ticker, asof, '20d', c20, sd * sqrt(20) FROM lab0),
+asofs AS (SELECT ticker, a.at_ FROM (SELECT DISTINCT ticker FROM abn), (SELECT DISTINCT CAST(date_trunc('week', date) AS DATE) + 5 AS at_ FROM abn) a),
+lab0 AS (SELECT a.ticker, a.at_, f.* EXCLUDE (ticker, date) FROM asofs a ASOF JOIN fut f ON a.ticker = f.ticker AND a.at_ >= f.date),
+lab1 AS (SELECT ticker, at_, '1d' AS horizon, c1 AS car, sd AS sigma FROM lab0 UNION ALL SELECT ticker, at_, '5d', c5, sd * sqrt(5) FROM lab0 UNION ALL SELECT ticker, at_, '20d', c20, sd * sqrt(20) FROM lab0),
 labs AS (SELECT *, CASE WHEN car > 0.5 * sigma THEN 1 WHEN car < -0.5 * sigma THEN -1 ELSE 0 END AS cls FROM lab1 WHERE car IS NOT NULL AND sigma > 0)"""
 
 
@@ -126,7 +126,7 @@ def _labels(spark, sf):
     return labels.build_labels(abn.select("ticker").distinct().join(days), abn)
 
 
-@query("labels", f"WITH {ABN}, {FUTURE} SELECT ticker, asof, horizon, {R('car')} AS car, {R('sigma')} AS sigma, cls FROM labs")
+@query("labels", f"""WITH {ABN}, {FUTURE} SELECT ticker, at_ AS "asof", horizon, {R('car')} AS car, {R('sigma')} AS sigma, cls FROM labs""")
 def q_labels(spark, sf):
     return _labels(spark, sf).select("ticker", "asof", "horizon", r6("car").alias("car"), r6("sigma").alias("sigma"), "cls")
 
@@ -300,7 +300,7 @@ def q_theme_portfolio(spark, sf):
 
 
 @query("lagged_ic", THEME + PORT + f""", {DRIVERS}, x AS (SELECT date, avg(ret) AS x FROM drets GROUP BY date), l AS (SELECT theme, date, ret AS y0, lead(ret, 1) OVER w AS y1, lead(ret, 2) OVER w AS y2 FROM port WINDOW w AS (PARTITION BY theme ORDER BY date)),
-u AS (SELECT theme, 0 AS lag, x, y0 AS y FROM l JOIN x USING (date) UNION ALL SELECT theme, 1, x, y1 FROM l JOIN x USING (date) UNION ALL SELECT theme, 2, x, y2 FROM l JOIN x USING (date)), o AS (SELECT * FROM u WHERE y IS NOT NULL),
+u2 AS (SELECT theme, 0 AS lag, x, y0 AS y FROM l JOIN x USING (date) UNION ALL SELECT theme, 1, x, y1 FROM l JOIN x USING (date) UNION ALL SELECT theme, 2, x, y2 FROM l JOIN x USING (date)), o AS (SELECT * FROM u2 WHERE y IS NOT NULL),
 r AS (SELECT theme, lag, rank() OVER (PARTITION BY theme, lag ORDER BY x) + (count(*) OVER (PARTITION BY theme, lag, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY theme, lag ORDER BY y) + (count(*) OVER (PARTITION BY theme, lag, y) - 1) / 2.0 AS b FROM o)
 SELECT theme, lag, count(*) AS n, {R('corr(a, b)')} AS ic FROM r GROUP BY ALL""")
 def q_lagged_ic(spark, sf):
@@ -309,10 +309,10 @@ def q_lagged_ic(spark, sf):
 
 
 EARN = """act AS (SELECT o_custkey AS k, o_orderpriority AS metric, l_shipdate AS rel, l_orderkey * 10 + l_linenumber AS id, l_extendedprice AS actual FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-con AS (SELECT o_custkey AS k, o_orderpriority AS metric, o_orderdate AS at, o_totalprice AS consensus, o_orderkey % 7 AS disp FROM orders)"""
+con AS (SELECT o_custkey AS k, o_orderpriority AS metric, o_orderdate AS ts_, o_totalprice AS consensus, o_orderkey % 7 AS disp FROM orders)"""
 
 
-@query("earnings_surprise", f"""WITH {EARN}, b AS (SELECT k, metric, at, max((consensus, disp)) AS c FROM con GROUP BY ALL), j AS (SELECT a.*, b.c[1] AS consensus, b.c[2] AS disp FROM act a ASOF LEFT JOIN b ON a.k = b.k AND a.metric = b.metric AND a.rel > b.at)
+@query("earnings_surprise", f"""WITH {EARN}, b AS (SELECT k, metric, ts_, max((consensus, disp)) AS c FROM con GROUP BY ALL), j AS (SELECT a.*, b.c[1] AS consensus, b.c[2] AS disp FROM act a ASOF LEFT JOIN b ON a.k = b.k AND a.metric = b.metric AND a.rel > b.ts_)
 SELECT id, {R('consensus')} AS consensus, {R('CASE WHEN disp <> 0 THEN (actual - consensus) / disp END')} AS surprise FROM j""")
 def q_earnings(spark, sf):
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHARS = 1_000_000  #: bytes of text that a task works on at once
-PIECES, IDS = 600_000, 6_000_000  #: the cache is emptied when it holds more
+PIECES, IDS = 600_000, 6_000_000  #: when it holds more, the cache forgets the pieces it has seen only once
 
 
 class Pieces:
@@ -22,7 +22,26 @@ class Pieces:
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.size, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def forget(self) -> None:
+        """Keep the pieces seen more than once since the last time, up to half the room."""
+        n = len(self.slot)
+        keep = np.flatnonzero(self.seen[:n] > 1)
+        keep = keep[np.argsort(-self.seen[keep], kind="stable")[: PIECES // 2]]
+        size = self.size[keep]
+        if size.sum() > IDS // 2:
+            return self.clear()
+        pieces = list(self.slot)  # in the order of their slots
+        move = np.repeat(self.start[keep] - (np.cumsum(size) - size), size)
+        flat = self.flat[move + np.arange(len(move))]
+        self.clear()
+        self.slot = {pieces[k]: i for i, k in enumerate(keep)}
+        self.used = len(flat)
+        self._room("flat", len(flat))[: len(flat)] = flat
+        self._room("size", len(keep))[: len(keep)] = size
+        self._room("start", len(keep))[: len(keep)] = np.cumsum(size) - size
+        self._room("seen", len(keep))
 
     def _room(self, name: str, need: int) -> np.ndarray:
         a = getattr(self, name)
@@ -35,7 +54,7 @@ class Pieces:
     def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces in one array, the number of ids of each piece, and each piece's slot."""
         if len(self.slot) > PIECES or self.used > IDS:
-            self.clear()
+            self.forget()
         new = list(set(pieces).difference(self.slot))
         if new:
             got = self.encode_many(new)
@@ -43,10 +62,12 @@ class Pieces:
             n, total = len(self.slot), int(sizes.sum())
             self._room("flat", self.used + total)[self.used : self.used + total] = np.concatenate([np.asarray(g, np.int32) for g in got])
             self._room("size", n + len(new))[n : n + len(new)] = sizes
+            self._room("seen", n + len(new))
             self._room("start", n + len(new))[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.used += total
             self.slot.update(zip(new, range(n, n + len(new)), strict=True))
         at = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        self.seen[: len(self.slot)] += np.bincount(at, minlength=len(self.slot))
         size = self.size[at]
         move = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
         return self.flat[move + np.arange(len(move))], size, at

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -16,8 +17,8 @@ from .pieces import Pieces, parts
 
 ORC = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
 
-_RUN = re.compile(r"\s\s|\s\Z|\A\s|\x00")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r"\s|<\||^\0?$")
 
 
 def _chunks(text: str) -> list[str]:
@@ -26,7 +27,9 @@ def _chunks(text: str) -> list[str]:
     Byte-level pre-tokenization binds a single space between visible characters to what follows and never
     looks past it, so the pieces encode as they do within the text.
     """
-    out = text.split(" ") if not _RUN.search(text) else _CUT.split(text)
+    seen = text.split()
+    single = seen and len(text) - sum(map(len, seen)) == len(seen) - 1 and not text[0].isspace() and not text[-1].isspace()
+    out = text.split(" ") if single else _CUT.split(text)
     out[0] = "\0" + out[0]
     return out
 
@@ -41,10 +44,23 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.line = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.pieces = Pieces(self._many)
 
-    def _many(self, new: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast([p[1:] if p[:1] == "\0" else " " + p for p in new], add_special_tokens=False)]
+    def _many(self, new: list[str]) -> list:
+        """Ids of pieces; those without white space or marks go as lines of one text, cut again at the line ends' ids."""
+        plain = [i for i, p in enumerate(new) if not _ODD.search(p)]
+        lines = "\n".join([p[1:] if p[:1] == "\0" else " " + p for p in map(new.__getitem__, plain)] + [""])
+        ids = np.array(self.tok.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(ids == self.line)
+        out: list = [None] * len(new)
+        for i, s, e in zip(plain, np.r_[0, ends[:-1] + 1], ends, strict=True):
+            out[i] = ids[s:e]
+        odd = [i for i, x in enumerate(out) if x is None]
+        got = self.tok.encode_batch_fast([new[i][1:] if new[i][:1] == "\0" else " " + new[i] for i in odd], add_special_tokens=False)
+        for i, e in zip(odd, got, strict=True):
+            out[i] = e.ids
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the number of ids of each text."""
@@ -62,6 +78,12 @@ class Encoder:
         return ids, n
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder: its pieces serve all tasks that the worker gets."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append end_id, and write ORC files in ascending id order.
 
@@ -71,7 +93,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
     """
 
     def run(batches):
-        enc, before = Encoder(tokenizer), 0
+        enc, before = encoder(tokenizer), 0
         for whole in batches:
             for b in parts(whole, 1):
                 texts = [t or "" for t in b.column(1).to_pylist()]

@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,6 @@ def predict_isotonic(x: Column, knots: list[tuple[float, float]]) -> Column:
     if not knots:
         return F.lit(None).cast("double")
 
-    import pandas as pd
-
     kx, ky = np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
 
     @F.pandas_udf("double")

@@ -71,4 +71,5 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     some = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
     ok = (host(F.col("link")) != "") & (host(F.col("link")) == host(F.col("page"))) & some(config.DOCUMENT_HINTS) & ~some(config.NOT_DOCUMENTS)
     kind = F.when(some(["resultado", "earnings", "release", "quarter"]), "RESULTADO").otherwise("RI")
-    return a.where(ok).groupBy("page", "link").agg(F.min("label").alias("label"), F.min(kind).alias("kind"))
+    found = a.where(ok).select("page", "link", "label", kind.alias("kind"))
+    return found.groupBy("page", "link").agg(F.min(F.struct("label", "kind")).alias("x")).select("page", "link", "x.label", "x.kind")

@@ -16,7 +16,7 @@ def purge_unregistered(series: DataFrame, registry: DataFrame, key: str = "drive
 
 def audit(articles: DataFrame, scores: DataFrame, driver_prices: DataFrame, registry: DataFrame, signals: DataFrame) -> DataFrame:
     """One row: n_unclustered, n_uncovered_scores, n_ghost_drivers, n_signals, n_signal_days."""
-    a = articles.agg(F.count_if("cluster_id is null").alias("n_unclustered"))
+    a = articles.agg(F.count_if(F.col("cluster_id").isNull()).alias("n_unclustered"))
     s = scores.join(articles.select("article_id", "lang"), "article_id").agg(F.count_if(~language_covered(F.col("lang"))).alias("n_uncovered_scores"))
     d = driver_prices.select("driver").distinct().join(registry.select("driver").distinct(), "driver", "left_anti").agg(F.count("*").alias("n_ghost_drivers"))
     g = signals.agg(F.count("*").alias("n_signals"), F.count_distinct(F.to_date("asof")).alias("n_signal_days"))

@@ -64,7 +64,7 @@ def earnings_surprise(actual: DataFrame, consensus: DataFrame) -> DataFrame:
 
 def earnings_summary(surprises: DataFrame) -> DataFrame:
     """(ticker, period, median_surprise, n_metrics, n_without_consensus) of each entity's latest period."""
-    g = surprises.groupBy("ticker", "period").agg(F.max("released_ts").alias("at_"), F.median("surprise").alias("median_surprise"), F.count("surprise").alias("n_metrics"), F.count_if("consensus is null").alias("n_without_consensus"))
+    g = surprises.groupBy("ticker", "period").agg(F.max("released_ts").alias("at_"), F.median("surprise").alias("median_surprise"), F.count("surprise").alias("n_metrics"), F.count_if(F.col("consensus").isNull()).alias("n_without_consensus"))
     w = Window.partitionBy("ticker").orderBy(F.col("at_").desc(), F.col("period").desc())
     return g.withColumn("k_", F.row_number().over(w)).where("k_ = 1").drop("k_", "at_")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import asof, calendars, evaluate, exposure, labels, panel, surprise, themes, volatility
+from ..sources.sinks import written
 from .mapping import ABN, BARS, R, bars, prices, prices_sql, r6, returns_sql, table
 
 QUERIES, SQL = {}, {}
@@ -214,19 +215,19 @@ def q_vol_bands(spark, sf):
 
 @query("volatility_calibrator")
 def q_vol_calibrator(spark, sf):
-    d = volatility.dataset(_abn(spark, sf), panel.driver_vol(_driver_rets(spark, sf))).cache()
+    d = written(volatility.dataset(_abn(spark, sf), panel.driver_vol(_driver_rets(spark, sf))), "volatility")
     m, _ = volatility.fit_calibrator(d)
     return spark.createDataFrame([(k, str(v)) for k, v in m.items()], "metric string, value string")
 
 
 @query("volatility_target_variants")
 def q_vol_variants(spark, sf):
-    return volatility.target_variants(volatility.dataset(_abn(spark, sf), panel.driver_vol(_driver_rets(spark, sf))))
+    return volatility.target_variants(written(volatility.dataset(_abn(spark, sf), panel.driver_vol(_driver_rets(spark, sf))), "volatility"))
 
 
 @query("feature_ablation")
 def q_ablation(spark, sf):
-    d = volatility.dataset(_abn(spark, sf), panel.driver_vol(_driver_rets(spark, sf))).cache()
+    d = written(volatility.dataset(_abn(spark, sf), panel.driver_vol(_driver_rets(spark, sf))), "volatility")
     return evaluate.feature_ablation(d, ["abs_ret", "vol20", "macro_vol"], 3)
 
 

@@ -45,12 +45,12 @@ def _strings(items) -> str:
     return "[" + ", ".join(f"'{x}'" for x in items) + "]"
 
 
-@query("text_norm", f"SELECT doc_id, md5({_norm('text')}) AS norm_md5, len(list_filter(string_split({_norm('text')}, ' '), t -> t <> '')) AS n_tokens FROM documents")
+@query("text_norm", f"SELECT doc_id, md5({_norm('text')}) AS norm_md5, len(list_filter(string_split({_norm('text')}, ' '), lambda t: t <> '')) AS n_tokens FROM documents")
 def q_norm(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.norm(F.col("text")).cast("binary")).alias("norm_md5"), F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query("content_tokens", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split({_norm('substr(text, 1, 120)')}, ' '), t -> length(t) > 2 AND NOT list_contains({_strings(config.STOP_WORDS)}, t)))), ' ') AS toks FROM documents")
+@query("content_tokens", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split({_norm('substr(text, 1, 120)')}, ' '), lambda t: length(t) > 2 AND NOT list_contains({_strings(config.STOP_WORDS)}, t)))), ' ') AS toks FROM documents")
 def q_content(spark, sf):
     return articles(spark, sf).select(F.col("article_id").alias("doc_id"), F.array_join(F.array_sort(text.content_tokens(F.col("title"))), " ").alias("toks"))
 
@@ -60,14 +60,14 @@ _MAGS = "|".join(config.MAGNITUDES)
 
 
 @query("figures", f"""WITH {_FIG}, y AS (SELECT doc_id, list_transform(list_zip(regexp_extract_all(t, '(\\d+(?:[.,]\\d+)?)\\s*({_MAGS})\\b', 1), regexp_extract_all(t, '(\\d+(?:[.,]\\d+)?)\\s*({_MAGS})\\b', 2)),
-  p -> CAST(replace(p[1], ',', '.') AS DOUBLE) * MAP {{{', '.join(f"'{k}': {v!r}::DOUBLE" for k, v in config.MAGNITUDES.items())}}}[p[2]]) AS v FROM x)
-SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(v, a -> a >= 1e6), a -> CAST(round(a / pow(10.0, floor(log10(a)) - 3)) AS BIGINT) * CAST(pow(10, floor(log10(a)) - 3) AS BIGINT)))), ' ') AS figs FROM y""")
+  lambda p: CAST(replace(p[1], ',', '.') AS DOUBLE) * MAP {{{', '.join(f"'{k}': {v!r}::DOUBLE" for k, v in config.MAGNITUDES.items())}}}[p[2]]) AS v FROM x)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(v, lambda a: a >= 1e6), lambda a: CAST(round(a / pow(10.0, floor(log10(a)) - 3)) AS BIGINT) * CAST(pow(10, floor(log10(a)) - 3) AS BIGINT)))), ' ') AS figs FROM y""")
 def q_figures(spark, sf):
     t = F.concat(F.lit("a "), (F.col("doc_id") % 977).cast("string"), F.lit(","), (F.col("doc_id") % 10).cast("string"), F.lit(" bi b "), (F.col("doc_id") % 3).cast("string"), F.lit(".5 milhoes "), "text")
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(text.figures(t), lambda v: v.cast("long").cast("string")), " ").alias("figs"))
 
 
-@query("same_story_scores", f"""WITH {ARTICLES}, k AS (SELECT article_id, list_sort(list_distinct(list_filter(string_split({_norm('title')}, ' '), t -> length(t) > 2 AND NOT list_contains({_strings(config.STOP_WORDS)}, t)))) AS k FROM articles), p AS (SELECT a.article_id AS a, b.article_id AS b, a.k AS ka, b.k AS kb FROM k a JOIN k b ON b.article_id = a.article_id + 20)
+@query("same_story_scores", f"""WITH {ARTICLES}, k AS (SELECT article_id, list_sort(list_distinct(list_filter(string_split({_norm('title')}, ' '), lambda t: length(t) > 2 AND NOT list_contains({_strings(config.STOP_WORDS)}, t)))) AS k FROM articles), p AS (SELECT a.article_id AS a, b.article_id AS b, a.k AS ka, b.k AS kb FROM k a JOIN k b ON b.article_id = a.article_id + 20)
 SELECT a, b, {R('CASE WHEN len(ka) = 0 OR len(kb) = 0 THEN 0 ELSE len(list_intersect(ka, kb)) / len(list_distinct(list_concat(ka, kb)))::DOUBLE END')} AS jaccard, bit_count(xor(a * 7919, b * 104729))::INT AS hamming FROM p""")
 def q_same_story(spark, sf):
     k = articles(spark, sf).select("article_id", text.content_tokens(F.col("title")).alias("k"))
@@ -90,11 +90,11 @@ def _lexicon_sql() -> str:
     hits = " + ".join(f"contains(t, '{k}')::INT" for k in PHRASE)
     event = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p, _ in EVENT)
     mag = " ".join(f"WHEN regexp_matches(t, '{p}') THEN {w!r}::DOUBLE" for _, p, w in EVENT)
-    return f"""lt AS (SELECT article_id, {_norm("title || ' ' || substr(body, 1, 600)")} AS t FROM articles), lk AS (SELECT article_id, t, list_filter(string_split(t, ' '), x -> x <> '') AS k FROM lt),
-lf AS (SELECT article_id, t, k, list_filter(list_transform(range(1, len(k) + 1), i -> CASE WHEN list_has_any(k[greatest(i - 3, 1):i - 1], {_strings(NO)}) THEN -0.7 * MAP {{{table_}}}[k[i]] ELSE MAP {{{table_}}}[k[i]] END), w -> w IS NOT NULL) AS w FROM lk),
+    return f"""lt AS (SELECT article_id, {_norm("title || ' ' || substr(body, 1, 600)")} AS t FROM articles), lk AS (SELECT article_id, t, list_filter(string_split(t, ' '), lambda x: x <> '') AS k FROM lt),
+lf AS (SELECT article_id, t, k, list_filter(list_transform(range(1, len(k) + 1), lambda i: CASE WHEN list_has_any(k[greatest(i - 3, 1):i - 1], {_strings(NO)}) THEN -0.7 * MAP {{{table_}}}[k[i]] ELSE MAP {{{table_}}}[k[i]] END), lambda w: w IS NOT NULL) AS w FROM lk),
 ls AS (SELECT article_id, t, k, coalesce(list_sum(w), 0) + {phrase} AS total, len(w) + {hits} AS hits FROM lf),
-sc AS (SELECT article_id, CASE WHEN hits = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0, total / sqrt(hits))) END AS s,
-  (CASE {mag} ELSE 0.25 END) * (CASE WHEN list_has_any(k, {_strings(HEDGE)}) THEN 0.45 ELSE 1 END) * (CASE WHEN hits = 0 THEN 0.3 ELSE 1 END) AS magnitude, CASE {event} ELSE 'unclassified' END AS event_type, hits FROM ls)"""
+sc0 AS (SELECT article_id, CASE WHEN hits = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0, total / sqrt(hits))) END AS s,
+  (CASE {mag} ELSE 0.25 END) * (CASE WHEN list_has_any(k, {_strings(HEDGE)}) THEN 0.45 ELSE 1 END) * (CASE WHEN hits = 0 THEN 0.3 ELSE 1 END) AS magnitude, CASE {event} ELSE 'unclassified' END AS event_type FROM ls), sc AS (SELECT article_id, round(s, 4) + 0.0 AS s, round(magnitude, 4) AS magnitude, event_type FROM sc0)"""
 
 
 LEX = _lexicon_sql()
@@ -144,8 +144,8 @@ def _mention_sql() -> str:
 mh AS (SELECT article_id, ticker, rank, alias, regexp_matches(CASE WHEN cased THEN rt ELSE nt END, CASE WHEN cased THEN '(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)' ELSE '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)' END) AS it,
   regexp_matches(CASE WHEN cased THEN rb ELSE nb END, CASE WHEN cased THEN '(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)' ELSE '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)' END) AS ib, string_split(trim(nt || ' ' || nb), ' ') AS toks FROM mt, al),
 mb AS (SELECT article_id, ticker, arg_min((alias, it), rank) AS m, any_value(toks) AS toks FROM mh WHERE it OR ib GROUP BY ALL), mn AS (SELECT *, count(*) OVER (PARTITION BY article_id) AS n FROM mb),
-mentions AS (SELECT article_id, ticker, greatest(0.0, least(1.0, (0.2 + CASE WHEN m[2] THEN 0.35 ELSE 0 END + least(len(list_intersect(list_distinct(toks), {_strings(MARKET)})), 6) * 0.09 - len(list_intersect(list_distinct(toks), {_strings(NOISE)})) * 0.3)
-  * CASE WHEN n > 3 THEN 0.55 WHEN n = 3 THEN 0.75 ELSE 1 END)) AS relevance, m[1] AS matched_alias FROM mn)"""
+mentions AS (SELECT article_id, ticker, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.2::DOUBLE + CASE WHEN m[2] THEN 0.35::DOUBLE ELSE 0 END + least(len(list_intersect(list_distinct(toks), {_strings(MARKET)})), 6) * 0.09::DOUBLE - len(list_intersect(list_distinct(toks), {_strings(NOISE)})) * 0.3::DOUBLE)
+  * CASE WHEN n > 3 THEN 0.55::DOUBLE WHEN n = 3 THEN 0.75::DOUBLE ELSE 1 END)) AS relevance, m[1] AS matched_alias FROM mn)"""
 
 
 MEN = _mention_sql()
@@ -157,7 +157,7 @@ def q_mentions(spark, sf):
     return _mentions(spark, sf).withColumn("relevance", r6("relevance"))
 
 
-@query("pending_pairs", f"WITH {ARTICLES}, {MEN} SELECT article_id, ticker FROM mentions WHERE relevance >= 0.35 AND article_id % 4 <> 0")
+@query("pending_pairs", f"WITH {ARTICLES}, {MEN} SELECT article_id, ticker FROM mentions WHERE relevance >= 0.35::DOUBLE AND article_id % 4 <> 0")
 def q_pending(spark, sf):
     done = articles(spark, sf).where("article_id % 4 = 0").select("article_id", F.explode(F.array(*[F.lit(t) for t in WATCH])).alias("ticker"), F.lit("lexicon").alias("scorer"))
     return score.pending_pairs(_mentions(spark, sf), done, "lexicon").select("article_id", "ticker")
@@ -187,7 +187,7 @@ def _weights(spark, sf):
     return sources_weight.fit_weights(sources_weight.cluster_stats(clustered(spark, sf)))
 
 
-@query("source_weights", f"WITH {CLUSTERED}, {WEIGHTS} SELECT domain, n, scoops, {R('lead_min')} AS lead_min, {R('shrunk')} AS scoop_shrunk, round(weight, 3) AS weight FROM weights")
+@query("source_weights", f"WITH {CLUSTERED}, {WEIGHTS} SELECT domain, n, scoops, {R('lead_min')} AS lead_min, {R('shrunk')} AS scoop_shrunk, round(round(weight, 4), 3) AS weight FROM weights")
 def q_weights(spark, sf):
     return _weights(spark, sf).select("domain", "n", "scoops", r6("lead_min").alias("lead_min"), r6("scoop_shrunk").alias("scoop_shrunk"), F.round("weight", 3).alias("weight"))
 
@@ -206,9 +206,9 @@ def _grid(spark, sf):
 
 
 @query("cluster_features", f"""WITH {CLUSTERED}, x AS (SELECT cluster_id, ts, domain, {_norm('title')} AS t FROM clustered WHERE cluster_id IS NOT NULL), g AS (SELECT DISTINCT cluster_id, 1700000000 + k * 432000 AS a FROM x, range(1, 7) r(k)), j AS (SELECT x.*, a, min(ts) OVER (PARTITION BY x.cluster_id, a) AS t0 FROM x JOIN g ON x.cluster_id = g.cluster_id AND ts <= a),
-e AS (SELECT cluster_id, a, exp(-sum(p * ln(p))) AS e FROM (SELECT cluster_id, a, count(*) / sum(count(*)) OVER (PARTITION BY cluster_id, a)::DOUBLE AS p FROM j GROUP BY cluster_id, a, domain) GROUP BY ALL),
-f AS (SELECT cluster_id, a, exp(-sum(p * ln(p))) AS f FROM (SELECT cluster_id, a, count(*) / sum(count(*)) OVER (PARTITION BY cluster_id, a)::DOUBLE AS p FROM j WHERE ts - t0 <= 7200 GROUP BY cluster_id, a, domain) GROUP BY ALL),
-b AS (SELECT cluster_id, a, count(*) AS copies, (a - min(t0)) / 3600.0 AS h, max(1 - exp(-({_AROUSAL}) / 1.5)) AS m FROM j GROUP BY ALL)
+dc AS (SELECT cluster_id, a, domain, count(*)::DOUBLE AS c, count(*) FILTER (ts - t0 <= 7200)::DOUBLE AS d FROM j GROUP BY ALL),
+e AS (SELECT cluster_id, a, exp(ln(sum(c)) - sum(c * ln(c)) / sum(c)) AS e FROM dc GROUP BY ALL), f AS (SELECT cluster_id, a, exp(ln(sum(d)) - sum(d * ln(d)) / sum(d)) AS f FROM dc WHERE d > 0 GROUP BY ALL),
+b AS (SELECT cluster_id, a, count(*) AS copies, (a - min(t0)) / 3600.0 AS h, max(1 - exp(-({_AROUSAL}) / 1.5)) AS m FROM j GROUP BY cluster_id, a)
 SELECT cluster_id, a AS asof_s, {R('e')} AS effective_sources, {R('f')} AS cascade, copies, {R('1 - e / copies')} AS repetition, {R('h')} AS hours_alive, {R('m')} AS arousal FROM b JOIN e USING (cluster_id, a) JOIN f USING (cluster_id, a)""")
 def q_cluster_features(spark, sf):
     a = clustered(spark, sf).where("cluster_id is not null").withColumn("arousal", attention.arousal(F.col("title"), WORDS))
@@ -255,14 +255,14 @@ wev AS (SELECT e.ticker, at_s, article_id, routed, CASE WHEN routed AND article_
 we AS (SELECT * FROM wev WHERE w > 1e-6)"""
 
 
-def _weighted(spark, sf):
-    return signal.evidence_asof(_evidence(spark, sf), _ticker_grid(spark, sf), _weights(spark, sf))
+def _weighted(spark, sf, ev=None):
+    return signal.evidence_asof(ev if ev is not None else _evidence(spark, sf), _ticker_grid(spark, sf), _weights(spark, sf))
 
 
 @query("signals", f"""WITH {EV}, z AS (SELECT ticker, at_s, sum(s * w) / sum(w) AS z, sum(w) AS n_eff, sum(s * s * w) AS ssw, sum(s * w) AS sw, count(*) AS n, count(*) FILTER (routed) AS r FROM we GROUP BY ALL)
-SELECT ticker, at_s AS asof_s, round(z, 3) + 0.0 AS z, round(n_eff, 3) + 0.0 AS n_eff, round(sqrt(greatest((ssw - 2 * z * sw + z * z * n_eff) / n_eff, 0)), 3) + 0.0 AS dispersion, n AS n_articles, r AS n_routed FROM z""")
-def q_signals(spark, sf):
-    s = signal.aggregate_signal(_weighted(spark, sf))
+SELECT ticker, at_s AS asof_s, round(round(z, 4), 3) + 0.0 AS z, round(round(n_eff, 4), 3) + 0.0 AS n_eff, round(round(sqrt(greatest((ssw - 2 * z * sw + z * z * n_eff) / n_eff, 0)), 4), 3) + 0.0 AS dispersion, n AS n_articles, r AS n_routed FROM z""")
+def q_signals(spark, sf, ev=None):
+    s = signal.aggregate_signal(_weighted(spark, sf, ev))
     return s.select("ticker", F.unix_timestamp("asof").alias("asof_s"), *[F.round(c, 3).alias(c) for c in ("z", "n_eff", "dispersion")], "n_articles", "n_routed")
 
 
@@ -278,7 +278,7 @@ def q_article_weights(spark, sf):
 
 @query("signals_history")
 def q_history(spark, sf):
-    ev = _evidence(spark, sf)
+    ev = sinks.written(_evidence(spark, sf), "evidence")
     days = articles(spark, sf).select(timeutil.local_date(F.col("published_ts")).alias("date")).distinct().where(F.dayofweek("date").between(2, 6))
     return signal.rebuild_history(ev, days.select(F.explode(F.array(*[F.lit(t) for t in WATCH])).alias("ticker"), "date"), _weights(spark, sf))
 
@@ -310,14 +310,14 @@ def _score_labels(spark, sf):
     """Signals and outcomes: the lexicon's score against the documents' labels."""
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("article_id"), (F.col("quality") - 2 * F.col("toxic")).alias("q"))
     j = _scored(spark, sf).join(lab, "article_id")
-    return j.select("article_id", F.round("s", 3).alias("z"), F.when(F.col("q") > 0, 1).when(F.col("q") < 0, -1).otherwise(0).alias("cls"), ((F.col("article_id") % 80) / 10.0).alias("n_eff"))
+    return sinks.written(j.select("article_id", F.round("s", 3).alias("z"), F.when(F.col("q") > 0, 1).when(F.col("q") < 0, -1).otherwise(0).alias("cls"), ((F.col("article_id") % 80) / 10.0).alias("n_eff")), "score-labels")
 
 
 ZL = f"{ARTICLES}, {LEX}, zl AS (SELECT article_id, round(s, 3) + 0.0 AS z, CASE WHEN quality - 2 * toxic > 0 THEN 1 WHEN quality - 2 * toxic < 0 THEN -1 ELSE 0 END AS cls, (article_id % 80) / 10.0 AS n_eff FROM sc JOIN labels ON doc_id = article_id)"
 
 
 @query("probabilities", f"""WITH {ZL}, p AS (SELECT *, n_eff / (n_eff + 2) AS w, 1 / (1 + exp(-(0.8 * z + 0.4))) AS pu, 1 / (1 + exp(-(0.5 * -z - 1.6))) AS pd FROM zl), q AS (SELECT article_id, w * pu + (1 - w) * 0.6 AS u, w * pd + (1 - w) * 0.15 AS d FROM p)
-SELECT article_id, round(u / greatest(1, u + d), 3) AS p_up, round(d / greatest(1, u + d), 3) AS p_down, round(greatest(0, 1 - u / greatest(1, u + d) - d / greatest(1, u + d)), 3) + 0.0 AS p_flat FROM q""")
+SELECT article_id, round(round(u / greatest(1, u + d), 4), 3) AS p_up, round(round(d / greatest(1, u + d), 4), 3) AS p_down, round(round(greatest(0, 1 - u / greatest(1, u + d) - d / greatest(1, u + d)), 4), 3) + 0.0 AS p_flat FROM q""")
 def q_probabilities(spark, sf):
     s = _score_labels(spark, sf).withColumns({"base_up": F.lit(0.6), "base_flat": F.lit(0.25), "base_down": F.lit(0.15)})
     fit = calibrate.Direction("platt", 1000, True, up=(0.8, 0.4), down=(0.5, -1.6))
@@ -357,7 +357,7 @@ def q_brier(spark, sf):
     return stats.brier_skill(s, "p", "y", "base").select("n", *[r6(c).alias(c) for c in ("brier", "brier_base", "skill")])
 
 
-@query("reliability", f"""WITH {ZL}, e AS (SELECT quantile_cont(z, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM zl), b AS (SELECT len(list_filter(e, x -> x < z)) AS bin, z, (cls = 1)::INT AS y FROM zl, e), g AS (SELECT bin, count(*) AS n, avg(z) AS p_mean, avg(y) AS rate FROM b GROUP BY bin)
+@query("reliability", f"""WITH {ZL}, e AS (SELECT quantile_cont(z, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM zl), b AS (SELECT len(list_filter(e, lambda x: x < z)) AS bin, z, (cls = 1)::INT AS y FROM zl, e), g AS (SELECT bin, count(*) AS n, avg(z) AS p_mean, avg(y) AS rate FROM b GROUP BY bin)
 SELECT bin::INT AS bin, n, {R('p_mean')} AS p_mean, {R('rate')} AS rate, {R('((rate + 3.8416 / (2 * n)) / (1 + 3.8416 / n)) - 1.96 * sqrt(rate * (1 - rate) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)')} AS lo FROM g""")
 def q_reliability(spark, sf):
     s = _score_labels(spark, sf).withColumn("y", (F.col("cls") == 1).cast("int"))
@@ -417,7 +417,7 @@ def q_event_study(spark, sf):
     return evaluate.event_study(news.join(names, "ticker", "left_semi"), res, (1, 5, 15))
 
 
-@query("alarms", f"""WITH {EV}, z AS (SELECT ticker, at_s, round(sum(s * w) / sum(w), 3) + 0.0 AS z, round(sum(w), 3) AS n_eff FROM we GROUP BY ALL), s AS (SELECT *, 1 / (1 + exp(-z)) AS pu, 1 / (1 + exp(z)) AS pd FROM z WHERE (at_s // 43200) % 2 = 0),
+@query("alarms", f"""WITH {EV}, z AS (SELECT ticker, at_s, round(round(sum(s * w) / sum(w), 4), 3) + 0.0 AS z, round(round(sum(w), 4), 3) AS n_eff FROM we GROUP BY ALL), s AS (SELECT *, 1 / (1 + exp(-z)) AS pu, 1 / (1 + exp(z)) AS pd FROM z WHERE (at_s // 43200) % 2 = 0),
 f AS (SELECT DISTINCT e.ticker, at_s FROM ev e JOIN nov USING (article_id) JOIN grid ON ts <= at_s AND at_s - ts < 129600 WHERE novelty >= 0.95), x AS (SELECT ticker, at_s, 'up' AS direction, pu AS p FROM s UNION ALL SELECT ticker, at_s, 'down', pd FROM s), r(ticker, e, n, d) AS (VALUES ('AAAA3', 0.02, 0.5, 'both'), ('BBBB4', 0.01, 0.2, 'down'), ('CCCC1', 0.12, 0.3, 'both'), ('DDDD2', 0.12, 0.3, 'both'))
 SELECT x.ticker, x.at_s AS asof_s, direction, round(p - 0.45, 6) AS edge FROM x JOIN s USING (ticker, at_s) JOIN r ON r.ticker = x.ticker JOIN f ON f.ticker = x.ticker AND f.at_s = x.at_s WHERE n_eff >= n AND d IN ('both', direction) AND p - 0.45 >= e""")
 def q_alarms(spark, sf):
@@ -425,10 +425,10 @@ def q_alarms(spark, sf):
 
 
 def _alarms(spark, sf):
-    s = q_signals(spark, sf).where("(asof_s div 43200) % 2 = 0")
+    ev = sinks.written(_evidence(spark, sf), "evidence")
+    s = q_signals(spark, sf, ev).where("(asof_s div 43200) % 2 = 0")
     s = s.select("ticker", F.timestamp_seconds("asof_s").alias("asof"), "z", "n_eff", (1 / (1 + F.exp(-F.col("z")))).alias("p_up"), (1 / (1 + F.exp(F.col("z")))).alias("p_down"), F.lit(0.45).alias("base_up"), F.lit(0.45).alias("base_down"), F.lit(1).alias("calibrated"))
     rules = spark.createDataFrame([("AAAA3", 0.02, 0.5, 90, None, None, None), ("BBBB4", 0.01, 0.2, None, None, True, "down"), ("*", None, 0.3, None, None, None, None)], "ticker string, min_edge double, min_n_eff double, cooldown_min int, require_calibrated boolean, require_novelty boolean, direction string")
-    ev = _evidence(spark, sf)
     return alarms.candidates(s, alarms.resolve_rules(s.select("ticker"), rules), ev.select("ticker", "published_ts", "novelty"))
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
+
 
 def avg_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """df with the average rank (ties share) of value within the groups `by`, counted from 1.
@@ -24,9 +26,9 @@ def avg_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -
 
 
 def prefix_counts(values: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """values with <col>_before: the sum of col over all smaller keys. Distinct keys are dealt by range; a task
-    sums its own, and a row for each partition carries the offsets."""
-    dealt = values.repartitionByRange(key).withColumn("part_", F.spark_partition_id())
+    """values with <col>_before: the sum of col over all smaller keys. Distinct keys are dealt by range and written, so
+    that the ranges stay the same; a task sums its own, and a row for each partition carries the offsets."""
+    dealt = written(values.repartitionByRange(key).withColumn("part_", F.spark_partition_id()), "ranges")
     inner = Window.partitionBy("part_").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(c + "_in") for c in cols])
     sums = dealt.groupBy("part_").agg(*[F.sum(c).alias(c + "_sum") for c in cols])
@@ -40,8 +42,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, least:
     """Rank correlation with tied ranks averaged: (by..., ic, n); ic null under `least` rows or without variance."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = avg_rank(avg_rank(rows, x, "rx_", by), y, "ry_", by)
-    flat = (F.stddev_pop("rx_") == 0) | (F.stddev_pop("ry_") == 0)
-    ic = F.when((F.count("*") >= least) & ~flat, F.corr("rx_", "ry_")).alias("ic")
+    spread = F.nullif(F.stddev_pop("rx_") * F.stddev_pop("ry_"), F.lit(0.0))
+    ic = F.when(F.count("*") >= least, F.try_divide(F.covar_pop("rx_", "ry_"), spread)).alias("ic")
     return (r.groupBy(*by) if by else r.groupBy()).agg(ic, F.count("*").alias("n"))
 
 

@@ -55,12 +55,12 @@ def _outside(text: str, spans: list, least: int) -> list[tuple[int, int, str]]:
 
 
 def transition_counts(texts: list[str]) -> np.ndarray:
-    """Character pairs of labelled runs: [1] values that the fixed patterns found, [0] other runs."""
+    """Character pairs of labelled runs: [1] values that the fixed patterns found, [0] other runs too short to be judged (longer ones may be secrets that no pattern finds)."""
     runs: tuple[list[str], list[str]] = ([], [])
     for t in texts:
         spans = base_spans(t)
         runs[1].extend(v for *_, v in spans)
-        runs[0].extend(r for *_, r in _outside(t, spans, 8))
+        runs[0].extend(r for *_, r in _outside(t, spans, 8) if len(r) < LEAST)
     n = np.zeros((2, _N, _N), np.int64)
     for k in (0, 1):
         at = _AT[np.frombuffer(("\n" + "\n".join(runs[k])).encode(), np.uint8)]  # 0 between runs

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market, news
+from . import market, news, records
 
-MODULES = (market, news)
+MODULES = (market, news, records)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 FLAGSHIP = "signals"

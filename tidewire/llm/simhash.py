@@ -258,7 +258,7 @@ def near_groups(fps: DataFrame, keys, compare: slice, radius: int, tile: int = T
     return rooted.join(least, "root").select("fp", "component")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 24, bits: int = 20, radius: int = 88) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 36, bits: int = 24, radius: int = 88) -> DataFrame:
     """Rows of docs that stay: of each group of near copies the row with the smallest id.
 
     Near copies: five-word shingles (case and ASCII punctuation aside) with a Jaccard similarity of about 0.8 or

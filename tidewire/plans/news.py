@@ -100,9 +100,9 @@ sc0 AS (SELECT article_id, CASE WHEN hits = 0 THEN 0.0 ELSE greatest(-1.0, least
 LEX = _lexicon_sql()
 
 
-@query("lexicon_score", f"WITH {ARTICLES}, {LEX} SELECT article_id, round(s, 3) + 0.0 AS s, round(magnitude, 3) + 0.0 AS magnitude, event_type FROM sc")
+@query("lexicon_score", f"WITH {ARTICLES}, {LEX} SELECT article_id, s, magnitude, event_type FROM sc")
 def q_lexicon(spark, sf):
-    return _scored(spark, sf).select("article_id", F.round("s", 3).alias("s"), F.round("magnitude", 3).alias("magnitude"), "event_type")
+    return _scored(spark, sf).select("article_id", "s", "magnitude", "event_type")
 
 
 @query("orientation", f"""WITH {ARTICLES}, x AS (SELECT article_id, {_norm('title')} AS t FROM articles), y AS (SELECT article_id, CASE WHEN regexp_matches(t, '\\b(the|le)\\b') THEN 'passado' END AS a, CASE WHEN regexp_matches(t, '\\b(of|de)\\b') OR regexp_matches(t, '\\bder\\b') THEN 'presente' END AS b, CASE WHEN regexp_matches(t, '\\b\\w+(?:er|ing)\\b') THEN 'futuro' END AS c FROM x)
@@ -187,9 +187,9 @@ def _weights(spark, sf):
     return sources_weight.fit_weights(sources_weight.cluster_stats(clustered(spark, sf)))
 
 
-@query("source_weights", f"WITH {CLUSTERED}, {WEIGHTS} SELECT domain, n, scoops, {R('lead_min')} AS lead_min, {R('shrunk')} AS scoop_shrunk, round(round(weight, 4), 3) AS weight FROM weights")
+@query("source_weights", f"WITH {CLUSTERED}, {WEIGHTS} SELECT domain, n, scoops, {R('lead_min')} AS lead_min, {R('shrunk')} AS scoop_shrunk, round(weight, 4) AS weight FROM weights")
 def q_weights(spark, sf):
-    return _weights(spark, sf).select("domain", "n", "scoops", r6("lead_min").alias("lead_min"), r6("scoop_shrunk").alias("scoop_shrunk"), F.round("weight", 3).alias("weight"))
+    return _weights(spark, sf).select("domain", "n", "scoops", r6("lead_min").alias("lead_min"), r6("scoop_shrunk").alias("scoop_shrunk"), "weight")
 
 
 @query("effective_sources", f"WITH {CLUSTERED}, c AS (SELECT cluster_id, domain, count(*) AS c FROM clustered WHERE cluster_id IS NOT NULL GROUP BY ALL), p AS (SELECT cluster_id, c / sum(c) OVER (PARTITION BY cluster_id)::DOUBLE AS p FROM c) SELECT cluster_id, {R('exp(-sum(p * ln(p)))')} AS effective_sources FROM p GROUP BY cluster_id")
@@ -260,10 +260,10 @@ def _weighted(spark, sf, ev=None):
 
 
 @query("signals", f"""WITH {EV}, z AS (SELECT ticker, at_s, sum(s * w) / sum(w) AS z, sum(w) AS n_eff, sum(s * s * w) AS ssw, sum(s * w) AS sw, count(*) AS n, count(*) FILTER (routed) AS r FROM we GROUP BY ALL)
-SELECT ticker, at_s AS asof_s, round(round(z, 4), 3) + 0.0 AS z, round(round(n_eff, 4), 3) + 0.0 AS n_eff, round(round(sqrt(greatest((ssw - 2 * z * sw + z * z * n_eff) / n_eff, 0)), 4), 3) + 0.0 AS dispersion, n AS n_articles, r AS n_routed FROM z""")
+SELECT ticker, at_s AS asof_s, round(z, 4) + 0.0 AS z, round(n_eff, 4) + 0.0 AS n_eff, round(sqrt(greatest((ssw - 2 * z * sw + z * z * n_eff) / n_eff, 0)), 4) + 0.0 AS dispersion, n AS n_articles, r AS n_routed FROM z""")
 def q_signals(spark, sf, ev=None):
     s = signal.aggregate_signal(_weighted(spark, sf, ev))
-    return s.select("ticker", F.unix_timestamp("asof").alias("asof_s"), *[F.round(c, 3).alias(c) for c in ("z", "n_eff", "dispersion")], "n_articles", "n_routed")
+    return s.select("ticker", F.unix_timestamp("asof").alias("asof_s"), "z", "n_eff", "dispersion", "n_articles", "n_routed")
 
 
 @query("top_evidence", f"WITH {EV}, k AS (SELECT ticker, at_s, article_id, row_number() OVER (PARTITION BY ticker, at_s ORDER BY w DESC, article_id) AS rank FROM we) SELECT ticker, at_s AS asof_s, article_id, rank FROM k WHERE rank <= 12")
@@ -310,18 +310,18 @@ def _score_labels(spark, sf):
     """Signals and outcomes: the lexicon's score against the documents' labels."""
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("article_id"), (F.col("quality") - 2 * F.col("toxic")).alias("q"))
     j = _scored(spark, sf).join(lab, "article_id")
-    return sinks.written(j.select("article_id", F.round("s", 3).alias("z"), F.when(F.col("q") > 0, 1).when(F.col("q") < 0, -1).otherwise(0).alias("cls"), ((F.col("article_id") % 80) / 10.0).alias("n_eff")), "score-labels")
+    return sinks.written(j.select("article_id", F.col("s").alias("z"), F.when(F.col("q") > 0, 1).when(F.col("q") < 0, -1).otherwise(0).alias("cls"), ((F.col("article_id") % 80) / 10.0).alias("n_eff")), "score-labels")
 
 
-ZL = f"{ARTICLES}, {LEX}, zl AS (SELECT article_id, round(s, 3) + 0.0 AS z, CASE WHEN quality - 2 * toxic > 0 THEN 1 WHEN quality - 2 * toxic < 0 THEN -1 ELSE 0 END AS cls, (article_id % 80) / 10.0 AS n_eff FROM sc JOIN labels ON doc_id = article_id)"
+ZL = f"{ARTICLES}, {LEX}, zl AS (SELECT article_id, s AS z, CASE WHEN quality - 2 * toxic > 0 THEN 1 WHEN quality - 2 * toxic < 0 THEN -1 ELSE 0 END AS cls, (article_id % 80) / 10.0 AS n_eff FROM sc JOIN labels ON doc_id = article_id)"
 
 
 @query("probabilities", f"""WITH {ZL}, p AS (SELECT *, n_eff / (n_eff + 2) AS w, 1 / (1 + exp(-(0.8 * z + 0.4))) AS pu, 1 / (1 + exp(-(0.5 * -z - 1.6))) AS pd FROM zl), q AS (SELECT article_id, w * pu + (1 - w) * 0.6 AS u, w * pd + (1 - w) * 0.15 AS d FROM p)
-SELECT article_id, round(round(u / greatest(1, u + d), 4), 3) AS p_up, round(round(d / greatest(1, u + d), 4), 3) AS p_down, round(round(greatest(0, 1 - u / greatest(1, u + d) - d / greatest(1, u + d)), 4), 3) + 0.0 AS p_flat FROM q""")
+SELECT article_id, round(u / greatest(1, u + d), 4) AS p_up, round(d / greatest(1, u + d), 4) AS p_down, round(greatest(0, 1 - u / greatest(1, u + d) - d / greatest(1, u + d)), 4) + 0.0 AS p_flat FROM q""")
 def q_probabilities(spark, sf):
     s = _score_labels(spark, sf).withColumns({"base_up": F.lit(0.6), "base_flat": F.lit(0.25), "base_down": F.lit(0.15)})
     fit = calibrate.Direction("platt", 1000, True, up=(0.8, 0.4), down=(0.5, -1.6))
-    return calibrate.probabilities(s, fit).select("article_id", *[F.round(c, 3).alias(c) for c in ("p_up", "p_down", "p_flat")])
+    return calibrate.probabilities(s, fit).select("article_id", "p_up", "p_down", "p_flat")
 
 
 @query("calibration")
@@ -400,9 +400,9 @@ def q_walk_forward(spark, sf):
 
 
 @query("scorer_accuracy", f"""WITH {ARTICLES}, {LEX}, x AS (SELECT article_id, {_norm('title')} AS t FROM articles), g AS (SELECT article_id, CASE WHEN regexp_matches(t, '\\bthe\\b') THEN 'en' WHEN regexp_matches(t, '\\bla\\b') THEN 'rom' WHEN regexp_matches(t, '\\bder\\b') THEN 'de' END AS rule, CASE WHEN regexp_matches(t, '\\bthe\\b') THEN 1 WHEN regexp_matches(t, '\\bla\\b') THEN -1 ELSE 0 END AS gold FROM x)
-SELECT rule, count(*) AS n, {R('avg((CASE WHEN gold = 0 THEN abs(round(s, 3)) < 0.15 ELSE sign(round(s, 3)) = gold AND abs(round(s, 3)) >= 0.05 END)::INT)')} AS accuracy FROM g JOIN sc USING (article_id) WHERE rule IS NOT NULL GROUP BY rule""")
+SELECT rule, count(*) AS n, {R('avg((CASE WHEN gold = 0 THEN abs(s) < 0.15 ELSE sign(s) = gold AND abs(s) >= 0.05 END)::INT)')} AS accuracy FROM g JOIN sc USING (article_id) WHERE rule IS NOT NULL GROUP BY rule""")
 def q_gold(spark, sf):
-    g = evaluate.gold_labels(_scored(spark, sf).withColumn("s", F.round("s", 3)), [("en", r"\bthe\b", 1), ("rom", r"\bla\b", -1), ("de", r"\bder\b", 0)])
+    g = evaluate.gold_labels(_scored(spark, sf), [("en", r"\bthe\b", 1), ("rom", r"\bla\b", -1), ("de", r"\bder\b", 0)])
     return evaluate.scorer_accuracy(g).withColumn("accuracy", r6("accuracy"))
 
 
@@ -417,7 +417,7 @@ def q_event_study(spark, sf):
     return evaluate.event_study(news.join(names, "ticker", "left_semi"), res, (1, 5, 15))
 
 
-@query("alarms", f"""WITH {EV}, z AS (SELECT ticker, at_s, round(round(sum(s * w) / sum(w), 4), 3) + 0.0 AS z, round(round(sum(w), 4), 3) AS n_eff FROM we GROUP BY ALL), s AS (SELECT *, 1 / (1 + exp(-z)) AS pu, 1 / (1 + exp(z)) AS pd FROM z WHERE (at_s // 43200) % 2 = 0),
+@query("alarms", f"""WITH {EV}, z AS (SELECT ticker, at_s, round(sum(s * w) / sum(w), 4) + 0.0 AS z, round(sum(w), 4) AS n_eff FROM we GROUP BY ALL), s AS (SELECT *, 1 / (1 + exp(-z)) AS pu, 1 / (1 + exp(z)) AS pd FROM z WHERE (at_s // 43200) % 2 = 0),
 f AS (SELECT DISTINCT e.ticker, at_s FROM ev e JOIN nov USING (article_id) JOIN grid ON ts <= at_s AND at_s - ts < 129600 WHERE novelty >= 0.95), x AS (SELECT ticker, at_s, 'up' AS direction, pu AS p FROM s UNION ALL SELECT ticker, at_s, 'down', pd FROM s), r(ticker, e, n, d) AS (VALUES ('AAAA3', 0.02, 0.5, 'both'), ('BBBB4', 0.01, 0.2, 'down'), ('CCCC1', 0.12, 0.3, 'both'), ('DDDD2', 0.12, 0.3, 'both'))
 SELECT x.ticker, x.at_s AS asof_s, direction, round(p - 0.45, 6) AS edge FROM x JOIN s USING (ticker, at_s) JOIN r ON r.ticker = x.ticker JOIN f ON f.ticker = x.ticker AND f.at_s = x.at_s WHERE n_eff >= n AND d IN ('both', direction) AND p - 0.45 >= e""")
 def q_alarms(spark, sf):

@@ -54,13 +54,13 @@ STRUCT = "st AS (SELECT article_id, greatest(-1.0, least(1.0, (article_id % 30 -
 
 
 @query("ensemble", f"""WITH {ARTICLES}, {LEX}, {STRUCT}, j AS (SELECT sc.article_id, sc.s AS ls, sc.magnitude AS lm, round(st.s, 4) AS ts, round(st.m, 4) AS tm FROM sc LEFT JOIN st USING (article_id)), k AS (SELECT *, abs(ls) * lm AS wl, abs(ts) * tm AS wt FROM j)
-SELECT article_id, round(CASE WHEN ts IS NULL OR (wt <= 1e-6 AND wl > 0.05) THEN ls ELSE ts END, 3) + 0.0 AS s, round(CASE WHEN ts IS NULL THEN lm WHEN wt <= 1e-6 AND wl > 0.05 THEN lm * 0.4 ELSE tm END, 3) AS magnitude, round(CASE WHEN ts IS NULL THEN 0 ELSE wl - wt END, 3) + 0.0 AS disagreement FROM k""")
+SELECT article_id, CASE WHEN ts IS NULL OR (wt <= 1e-6 AND wl > 0.05) THEN ls ELSE ts END + 0.0 AS s, round(CASE WHEN ts IS NULL THEN lm WHEN wt <= 1e-6 AND wl > 0.05 THEN round(lm * 0.4, 4) ELSE tm END, 3) AS magnitude, round(round(CASE WHEN ts IS NULL THEN 0 ELSE wl - wt END, 4), 2) + 0.0 AS disagreement FROM k""")
 def q_ensemble(spark, sf):
     lex = _scored(spark, sf).withColumn("ticker", F.lit("T"))
     i = F.col("article_id")
     resp = F.format_string('ok {"s": %s, "magnitude": %s, "ja_precificado": %s, "is_rumor": %s}', ((i % 30 - 15) / 10.0).cast("string"), ((i % 11) / 10.0).cast("string"), F.when(i % 2 == 0, "true").otherwise("false"), F.when(i % 5 == 0, "true").otherwise("false"))
     st = score.structured_score(lex.where("article_id % 4 != 0").select("article_id", "ticker", resp.alias("resp")), "resp")
-    return score.ensemble(lex, st).select("article_id", *[F.round(c, 3).alias(c) for c in ("s", "magnitude", "disagreement")])
+    return score.ensemble(lex, st).select("article_id", "s", F.round("magnitude", 3).alias("magnitude"), F.round("disagreement", 2).alias("disagreement"))
 
 
 @query("alarm_rules", "SELECT DISTINCT n_name AS ticker, CASE WHEN n_nationkey % 3 = 0 THEN 0.2 ELSE 0.12 END::DOUBLE AS min_edge, CASE WHEN n_nationkey % 3 = 0 THEN 'up' ELSE 'both' END AS direction, 1.5::DOUBLE AS min_n_eff FROM nation".replace("1.5::DOUBLE", "CASE WHEN n_nationkey % 3 = 0 THEN 2.0 ELSE 1.5 END::DOUBLE"))

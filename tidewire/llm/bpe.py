@@ -18,7 +18,7 @@ from .common import table
 from .pieces import Pieces, parts
 
 NONE = np.int64(1 << 40)  #: rank of a pair that does not merge
-_SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def byte_letters() -> list[str]:

@@ -75,7 +75,10 @@ def q_same_story(spark, sf):
     return j.select("a", "b", r6(text.jaccard(F.col("ka"), F.col("kb"))).alias("jaccard"), text.hamming(F.col("a") * 7919, F.col("b") * 104729).alias("hamming"))
 
 
-@query("text_quality", f"SELECT doc_id, {R(chr(99) + 'ase when length(text) > 0 then length(regexp_replace(text, ' + chr(39) + '[^' + chr(92) + 'p{L}' + chr(92) + 's]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')) / length(text)::DOUBLE else 0 end')} AS quality FROM documents")
+_LETTERS = r"CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\p{L}\s]', '', 'g')) / length(text)::DOUBLE ELSE 0 END"
+
+
+@query("text_quality", f"SELECT doc_id, {R(_LETTERS)} AS quality FROM documents")
 def q_quality(spark, sf):
     return table(spark, sf, "documents").select("doc_id", r6(documents.text_quality(F.col("text"))).alias("quality"))
 
@@ -364,7 +367,8 @@ def q_reliability(spark, sf):
     return evaluate.reliability(s, "z", "y").select("bin", "n", *[r6(c).alias(c) for c in ("p_mean", "rate", "lo")])
 
 
-@query("top_precision", f"""WITH {ZL}, c AS (SELECT x.share, quantile_cont(z, 1 - x.share) AS cut, avg((cls = 1)::INT) AS base FROM zl, (VALUES (0.05::DOUBLE), (0.1), (0.2), (0.5)) x(share) GROUP BY x.share) SELECT 1""".split("SELECT 1")[0].replace("quantile_cont(z, 1 - x.share)", "list_extract(quantile_cont(z, [0.95, 0.9, 0.8, 0.5]), CASE x.share WHEN 0.05 THEN 1 WHEN 0.1 THEN 2 WHEN 0.2 THEN 3 ELSE 4 END)") + f" SELECT share, {R('cut')} AS cut, count(*) AS n, {R('avg((cls = 1)::INT)')} AS precision, {R('base')} AS base FROM zl JOIN c ON z >= cut GROUP BY share, cut, base")
+@query("top_precision", f"""WITH {ZL}, c AS (SELECT quantile_cont(z, [0.95, 0.9, 0.8, 0.5]) AS q, avg((cls = 1)::INT) AS base FROM zl), s AS (SELECT unnest([0.05::DOUBLE, 0.1, 0.2, 0.5]) AS share, unnest(q) AS cut, base FROM c)
+SELECT share, {R('cut')} AS cut, count(*) AS n, {R('avg((cls = 1)::INT)')} AS precision, {R('base')} AS base FROM zl JOIN s ON z >= cut GROUP BY share, cut, base""")
 def q_top_precision(spark, sf):
     s = _score_labels(spark, sf).withColumn("y", (F.col("cls") == 1).cast("int"))
     return evaluate.top_precision(s, "z", "y").select("share", "n", *[r6(c).alias(c) for c in ("cut", "precision", "base")])
@@ -465,7 +469,7 @@ def q_audit(spark, sf):
     return quality.audit(a, a.select("article_id"), table(spark, sf, "part").select(F.col("p_type").alias("driver")), reg, table(spark, sf, "events").select(F.col("ts").alias("asof")))
 
 
-@query("bar_coverage", "SELECT event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN '1h' ELSE '1d' END AS interval, count(*) AS n, min(ts) AS first, max(ts) AS last, count(*) >= 100 AS usable FROM events GROUP BY ALL".replace(" AS interval", ' AS "interval"').replace(" AS first", ' AS "first"').replace(" AS last", ' AS "last"'))
+@query("bar_coverage", """SELECT event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN '1h' ELSE '1d' END AS "interval", count(*) AS n, min(ts) AS "first", max(ts) AS "last", count(*) >= 100 AS usable FROM events GROUP BY ALL""")
 def q_coverage(spark, sf):
     return quality.bar_coverage(table(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.when(F.col("event_id") % 2 == 0, "1h").otherwise("1d").alias("interval"), "ts"))
 

@@ -63,7 +63,7 @@ def q_ensemble(spark, sf):
     return score.ensemble(lex, st).select("article_id", "s", F.round("magnitude", 3).alias("magnitude"), F.round("disagreement", 2).alias("disagreement"))
 
 
-@query("alarm_rules", "SELECT DISTINCT n_name AS ticker, CASE WHEN n_nationkey % 3 = 0 THEN 0.2 ELSE 0.12 END::DOUBLE AS min_edge, CASE WHEN n_nationkey % 3 = 0 THEN 'up' ELSE 'both' END AS direction, 1.5::DOUBLE AS min_n_eff FROM nation".replace("1.5::DOUBLE", "CASE WHEN n_nationkey % 3 = 0 THEN 2.0 ELSE 1.5 END::DOUBLE"))
+@query("alarm_rules", "SELECT DISTINCT n_name AS ticker, CASE WHEN n_nationkey % 3 = 0 THEN 0.2 ELSE 0.12 END::DOUBLE AS min_edge, CASE WHEN n_nationkey % 3 = 0 THEN 'up' ELSE 'both' END AS direction, CASE WHEN n_nationkey % 3 = 0 THEN 2.0 ELSE 1.5 END::DOUBLE AS min_n_eff FROM nation")
 def q_rules(spark, sf):
     n = table(spark, sf, "nation")
     own = n.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("ticker"), F.lit(0.2).alias("min_edge"), F.lit(None).cast("double").alias("min_n_eff"), F.lit("up").alias("direction"))

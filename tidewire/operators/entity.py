@@ -26,14 +26,22 @@ def gazetteer(entities: DataFrame, ambiguous: list[str] = config.AMBIGUOUS_ALIAS
     return a.withColumn("first", F.regexp_extract("form", "[A-Za-z0-9]+", 0)).withColumn("pattern", pattern)
 
 
-def relevance(text_norm: Column, in_title: Column, n_tickers: Column, market=config.MARKET_WORDS, noise=config.NOISE_WORDS) -> Column:
-    toks = F.array_distinct(F.split(text_norm, " "))
-    hits, bad = (F.size(F.array_intersect(toks, F.array(*[F.lit(w) for w in ws]))) for ws in (market, noise))
-    r = 0.20 + F.when(in_title, 0.35).otherwise(0.0) + F.least(hits, F.lit(6)) * 0.09 - bad * 0.30
+def word_hits(text_norm: Column, words: list[str]) -> Column:
+    """Number of the words that the text holds."""
+    return F.size(F.array_intersect(F.split(text_norm, " "), F.array(*[F.lit(w) for w in words])))
+
+
+def relevance_of(hits: Column, noise: Column, in_title: Column, n_tickers: Column) -> Column:
+    """0..1 from the counts of market and noise words, a mention in the title and the number of entities mentioned."""
+    r = 0.20 + F.when(in_title, 0.35).otherwise(0.0) + F.least(hits, F.lit(6)) * 0.09 - noise * 0.30
     r = r * F.when(n_tickers > 3, 0.55).when(n_tickers == 3, 0.75).otherwise(1.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), r))
 
 
+def relevance(text_norm: Column, in_title: Column, n_tickers: Column, market=config.MARKET_WORDS, noise=config.NOISE_WORDS) -> Column:
+    return relevance_of(word_hits(text_norm, market), word_hits(text_norm, noise), in_title, n_tickers)
+
+
 def link_mentions(articles: DataFrame, gaz: DataFrame, market=config.MARKET_WORDS, noise=config.NOISE_WORDS) -> DataFrame:
     """(article_id, ticker, relevance, matched_alias) of articles (article_id, title, body).
 
@@ -45,17 +53,18 @@ def link_mentions(articles: DataFrame, gaz: DataFrame, market=config.MARKET_WORD
     code_words = F.split(F.concat_ws(" ", "rt", "rb"), "[^A-Za-z0-9]+")
     word = F.explode(F.array_distinct(F.concat(F.transform(name_words, lambda w: F.concat(F.lit("n"), w)), F.transform(F.filter(code_words, lambda w: w.rlike(CODE)), lambda w: F.concat(F.lit("c"), w)))))
     key = gaz.withColumn("key", F.concat(F.when(F.col("cased"), "c").otherwise("n"), F.col("first")))
-    # only ids and words are exploded; the texts join again for the pairs that share a word
-    pairs = a.select("article_id", word.alias("key")).join(key, "key").select("article_id", "ticker", "rank", "alias", "cased", "pattern")
+    # ids, counts and words are exploded; the texts join again for the pairs that share a word
+    full = F.trim(F.concat_ws(" ", "nt", "nb"))
+    counted = a.withColumns({"hits": word_hits(full, market), "noise": word_hits(full, noise)})  # once a text, below the explode
+    pairs = counted.select("article_id", "hits", "noise", word.alias("key")).join(key, "key").select("article_id", "hits", "noise", "ticker", "rank", "alias", "cased", "pattern")
     seen = pairs.join(a, "article_id")
     title = F.when(F.col("cased"), F.col("rt")).otherwise(F.col("nt"))
     body = F.when(F.col("cased"), F.col("rb")).otherwise(F.col("nb"))
     hit = seen.withColumn("in_title", F.rlike(title, F.col("pattern"))).where(F.col("in_title") | F.rlike(body, F.col("pattern")))
-    best = hit.groupBy("article_id", "ticker").agg(F.min(F.struct("rank", (~F.col("in_title")).alias("later"), "alias")).alias("b"))
+    best = hit.groupBy("article_id", "ticker").agg(F.min(F.struct("rank", (~F.col("in_title")).alias("later"), "alias")).alias("b"), F.max("hits").alias("hits"), F.max("noise").alias("noise"))
     n = F.count("*").over(Window.partitionBy("article_id"))
-    found = best.select("article_id", "ticker", F.col("b.alias").alias("matched_alias"), (~F.col("b.later")).alias("in_title"), n.alias("n"))
-    text = a.select("article_id", F.trim(F.concat_ws(" ", "nt", "nb")).alias("full"))
-    rel = found.join(text, "article_id").select("article_id", "ticker", relevance(F.col("full"), F.col("in_title"), F.col("n"), market, noise).alias("relevance"), "matched_alias")
+    found = best.withColumn("n", n)
+    rel = found.select("article_id", "ticker", relevance_of(F.col("hits"), F.col("noise"), ~F.col("b.later"), F.col("n")).alias("relevance"), F.col("b.alias").alias("matched_alias"))
     none = a.select("article_id").join(found, "article_id", "left_anti").select("article_id", F.lit(config.NOBODY).alias("ticker"), F.lit(0.0).alias("relevance"), F.lit(None).cast("string").alias("matched_alias"))
     return rel.unionByName(none)
 

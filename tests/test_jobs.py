@@ -145,11 +145,13 @@ def test_calibration(spark):
 
 
 def test_ranks_without_a_single_partition(spark):
-    v = [random.Random(1).randrange(50) for _ in range(400)]
+    rng = random.Random(1)
+    v = [rng.randrange(50) for _ in range(400)]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, v int").repartition(6)
     got = {r.i: r.r for r in stats.avg_rank(df, "v", "r").collect()}
     want = pd.Series(v).rank().to_dict()
     assert got == want
+    assert stats.spearman(df.withColumn("w", F.lit(1)), "v", "w").first().ic is None
     ic = stats.spearman(df.withColumn("w", F.col("i") % 37), "v", "w").first()
     assert ic.ic == pytest.approx(pd.Series(v).rank().corr(pd.Series([i % 37 for i in range(400)]).rank()))
 

@@ -143,3 +143,35 @@ def test_near_dedup_recall_and_precision(spark):
     assert all(i in kept for i in range(lone, len(texts)))
     assert None in kept and 5000 not in kept  # both empty: the null id counts as smallest
     assert sh.near_dedup(docs.limit(0)).count() == 0
+
+
+def edited(rng, words, low, high, n):
+    """Pairs of texts, the second with its tail cropped, a passage appended or words exchanged, of similarity from low to under high."""
+    out = []
+    while len(out) < n:
+        w = [rng.choice(words) for _ in range(rng.randrange(60, 400))]
+        kind, x = len(out) % 3, rng.uniform(0.05, 0.35)
+        copy = w[: int(len(w) * (1 - x))] if kind == 0 else w + [rng.choice(words) for _ in range(int(len(w) * x))] if kind == 1 else [rng.choice(words) if rng.random() < x / 9 else v for v in w]
+        a, b = shingles(" ".join(w)), shingles(" ".join(copy))
+        if low <= len(a & b) / len(a | b) < high:
+            out.append((" ".join(w), " ".join(copy)))
+    return out
+
+
+def test_near_dedup_finds_every_block_edit(spark):
+    """Cropped and appended copies just over 0.8, and one large group: all but the first of each go."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    pairs = edited(rng, words, 0.8, 0.86, 120)
+    texts = [t for p in pairs for t in p]
+    base = [rng.choice(words) for _ in range(200)]
+    texts += [" ".join(base)] + [" ".join(rng.choice(words) if rng.random() < 0.01 else v for v in base) for _ in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = [shingles(t) for t in texts]
+    hot, root = range(240, len(texts)), list(range(len(texts)))
+    for a in hot:
+        for b in range(240, a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert {r.doc_id for r in sh.near_dedup(docs).collect()} == set(range(0, 240, 2)) | {root[i] for i in hot}

@@ -62,15 +62,6 @@ def contract_features(text: str) -> np.ndarray:
     return majority(shingle_hashes(raw_words(text), 3), 1)
 
 
-SHINGLE_WORDS, SEARCH_WORDS = 8, 4  #: 64-bit words of the comparing and of the searching part of stage fingerprints
-
-
-def stage_features(text: str) -> np.ndarray:
-    """256 bits of the distinct words (to search by) and 512 bits of the distinct five-word shingles (to compare by)."""
-    words = plain_words(text)
-    return np.concatenate([majority(shingle_hashes(words, 1, True), SEARCH_WORDS), majority(shingle_hashes(words, 5, True), SHINGLE_WORDS)])
-
-
 def fingerprints(docs: DataFrame, features=contract_features, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fp as binary, 64-bit words big endian. A null or empty text has the fingerprint zero."""
 
@@ -97,21 +88,6 @@ def exact_keys(bands: int, radius: int):
     return keys
 
 
-def sampled_keys(tables: int, bits: int, seed: int = 7):
-    """Keys of bit samples: table j takes `bits` fixed random positions of the searching part."""
-    rng = np.random.default_rng(seed)
-    where = np.stack([rng.permutation(64 * SEARCH_WORDS)[:bits] for _ in range(tables)])
-
-    def keys(fp: np.ndarray) -> np.ndarray:
-        on = np.unpackbits(np.ascontiguousarray(fp[:, :SEARCH_WORDS]).view(np.uint8), axis=1, bitorder="little")
-        out = np.zeros((len(fp), tables), np.uint64)
-        for k in range(bits):
-            out |= on[:, where[:, k]].astype(np.uint64) << np.uint64(k)
-        return out * _MIX[0] + np.arange(1, tables + 1, dtype=np.uint64) * _MIX[1]
-
-    return keys
-
-
 # ---- bit-sliced comparison ------------------------------------------------------------------------
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,26 +228,187 @@ def near_links(reps: DataFrame, keys, compare: slice, radius: int, tile: int = T
 def near_groups(fps: DataFrame, keys, compare: slice, radius: int, tile: int = TILE) -> DataFrame:
     """(fp, component): for each distinct fingerprint the least id of its component."""
     reps = save(fps.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
-    comp = components(save(near_links(reps, keys, compare, radius, tile), "links"), "a", "b")
+    return connected(reps, near_links(reps, keys, compare, radius, tile))
+
+
+def connected(reps: DataFrame, linked: DataFrame) -> DataFrame:
+    """(fp, component): for each row (fp, first) of reps the least first of what the links (a, b) connect it to."""
+    comp = components(save(linked, "links"), "a", "b")
     rooted = reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     return rooted.join(least, "root").select("fp", "component")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 36, bits: int = 24, radius: int = 88) -> DataFrame:
+# ---- near copies by shingles ----------------------------------------------------------------------
+
+ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 8_000, 3, 1 << 17  #: shingles common in a sample of documents go last in the order of prefixes; any order gives the same links
+PARITY_BITS = 1024  #: of a set's parity bitmap: two sets differ in at least as many shingles as their bitmaps in bits
+FEW = 64  #: sets of a bucket that are paired by size and bitmap first; in larger buckets the sets meet at once
+SET_TILE = 512  #: rows of one bucket whose shingle sets meet in one piece
+
+
+def shingle_set(text: str | None) -> set[bytes]:
+    """Distinct five-word shingles, case and ASCII punctuation aside; all words as one where there are fewer than five."""
+    words = plain_words(text or "")
+    return set(map(b" ".join, zip(*(words[i:] for i in range(5)), strict=False))) if len(words) >= 5 else {b" ".join(words)} if words else set()
+
+
+def _set_hashes(text: str | None) -> np.ndarray:
+    """Sorted hashes of the shingle set."""
+    return np.unique(shingle_hashes(plain_words(text or ""), 5, True))
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of shingles common in about ORDER_SAMPLE of the texts (id, t): ORDER_MOST at most."""
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_set_hashes(t).view(np.int64))], ["h"])
+
+    share = min(1.0, ORDER_SAMPLE / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("t")
+    n = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST)
+    got = n.orderBy(F.desc("n"), "h").limit(ORDER_MOST).toArrow()
+    h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    at = np.argsort(h)
+    return h[at], n[at]
+
+
+def prefix_keys(texts: DataFrame, similarity: float) -> DataFrame:
+    """(id, fp, size, parity, keys) of texts (id, t): of the shingle set a digest, the size, the parity bitmap and the prefix: of n shingles in one order for all
+    texts, the first n - ceil(similarity * n) + 1. Two sets of at least that Jaccard similarity share one of them."""
+    shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+
+    def run(batches):
+        often, counts = shared.value
+        for b in batches:
+            fps, sizes, parity, keys = [], [], [], []
+            for t in b.column(1).to_pylist():
+                h = _set_hashes(t)
+                at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
+                n = np.where(often[at] == h, counts[at], 0) if len(often) else np.zeros(len(h), np.int64)
+                most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                fps.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+                parity.append(np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS).astype(np.uint8) & 1).tobytes())
+                keys.append(h[np.lexsort((h, n))[:most]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parity, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "size", "parity", "keys"])
+
+    return texts.select("id", "t").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, fp binary, size long, parity binary, keys array<long>")
+
+
+def set_links(sets: list[set], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of at least that Jaccard similarity; every pair not yet connected is compared."""
+    root, out = list(range(len(sets))), []
+    members = {i: [i] for i in root}
+    for i, s in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if root[i] == root[j]:
+                continue
+            small, large = sorted((len(s), len(sets[j])))
+            if small >= similarity * large - 1e-9 and (both := len(s & sets[j])) >= similarity * (small + large - both) - 1e-9:
+                out.append((i, j))
+                a, b = sorted((root[i], root[j]), key=lambda r: len(members[r]))
+                for k in members[a]:
+                    root[k] = b
+                members[b] += members.pop(a)
+    return out
+
+
+def shingle_links(texts: DataFrame, reps: DataFrame, similarity: float, tile: int = SET_TILE) -> DataFrame:
+    """Links (a, b) between distinct shingle sets fp of reps (fp, first, size, parity, keys) of at least that Jaccard similarity.
+
+    Sets meet in the bucket of each prefix key they share; of buckets with the same members one is enough. Of up to FEW
+    sets, the pairs whose sizes and bitmaps allow the similarity are compared by their shingles. To larger buckets the
+    sets go with their texts, and each pair not connected within the bucket yet is compared; one of more than
+    `tile` rows is cut into pairs of tiles, as in near_links.
+    """
+
+    def pair(batches):
+        group, held = None, []
+
+        def able():
+            n, on = np.array([h[1] for h in held]), np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1)
+            i, j = np.triu_indices(len(held), 1)
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            fits = low >= similarity * high - 1e-9
+            i, j = i[fits], j[fits]
+            most = (n[i] + n[j]) * (1 - similarity) / (1 + similarity) + 1e-6
+            near = np.bitwise_count(on[i] ^ on[j]).sum(1) <= most
+            ends = [sorted((held[a][0], held[b][0])) for a, b in zip(i[near], j[near], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for key, *one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != group:
+                    if len(held) > 1:
+                        yield able()
+                    group, held = key, []
+                held.append(one)
+        if len(held) > 1:
+            yield able()
+
+    def compare(batches):
+        for batch in batches:
+            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+            on = [bool(set_links([shingle_set(x), shingle_set(y)], similarity)) for x, y in zip(ta, tb, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, on, strict=True) if k], pa.binary()) for c in (a, b)], ["a", "b"])
+
+    def meet(batches):
+        group, fps, held = None, [], []
+
+        def linked():
+            a, b = zip(*got, strict=True) if (got := set_links(held, similarity)) else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array([fps[i] for i in a], pa.binary()), pa.array([fps[i] for i in b], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            for key, p, q, fp, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, p, q) != group:
+                    if len(fps) > 1:
+                        yield linked()
+                    group, fps, held = (key, p, q), [], []
+                fps.append(fp)
+                held.append(shingle_set(t))
+        if len(fps) > 1:
+            yield linked()
+
+    dealt = reps.select(F.explode("keys").alias("key"), "fp")
+    counts = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = save(dealt.join(counts, "key"), "buckets")
+    same = met.groupBy("key").agg(F.first("n").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
+    met = met.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("p"), F.greatest(o, F.col("mine")).alias("q")))
+    met = save(met, "buckets")
+    few = met.where(F.col("n") <= FEW).join(reps.select("fp", "size", "parity"), "fp").select("key", "fp", "size", "parity")
+    few = save(few.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a binary, b binary").distinct(), "pairs")
+    spread = save(met.where(F.col("n") > FEW).withColumn("tiles", tiles).withColumn("mine", mine).select("key", "fp", F.explode(pairs).alias("pq")).select("key", "pq.p", "pq.q", "fp"), "tiles")
+    used = spread.select("fp").unionByName(few.select(F.col("a").alias("fp"))).unionByName(few.select(F.col("b").alias("fp"))).distinct()
+    wanted = reps.select("fp", "first").join(used, "fp", "left_semi")
+    read = save(texts.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("fp", "t").dropDuplicates(["fp"]), "texts")
+    full = spread.join(read, "fp").select("key", "p", "q", "fp", "t").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    two = few.join(read.select(F.col("fp").alias("a"), F.col("t").alias("ta")), "a").join(read.select(F.col("fp").alias("b"), F.col("t").alias("tb")), "b")
+    found = two.select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
+    return full.mapInArrow(meet, "a binary, b binary").unionByName(found).distinct()
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """Rows of docs that stay: of each group of near copies the row with the smallest id.
 
-    Near copies: five-word shingles (case and ASCII punctuation aside) with a Jaccard similarity of about 0.8 or
-    more, measured as at most `radius` of 512 differing SimHash bits (0.8 means 0.152 of the bits, 78; the rest
-    is the estimate's spread). Partners are looked for in `tables` tables of `bits` bits of the fingerprint of
-    distinct words; bits is to grow with the logarithm of the number of documents. Null texts count as
+    Near copies: sets of five-word shingles (case and ASCII punctuation aside) with a Jaccard similarity of at least
+    `similarity`, and what such pairs connect. All pairs are found (shingles count as equal if their 64-bit hashes are, when
+    partners are looked for, and by their words when pairs are compared). Null texts count as
     empty; texts without words are near copies of each other. A null id counts as smallest; of equal ids the
     smaller hash of the text decides. Rows with equal id and equal text are one document: they stay or go together.
     """
     row, mine = fresh(docs, "row", "kept_row")
     keyed = docs.withColumn(row, F.struct(F.col(id_col), F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")))))
-    fps = save(fingerprints(keyed, stage_features, row, text_col), "documents-fp")
-    got = near_groups(fps, sampled_keys(tables, bits), slice(SEARCH_WORDS, SEARCH_WORDS + SHINGLE_WORDS), radius)
+    texts = keyed.select(F.col(row).alias("id"), F.col(text_col).cast("string").alias("t"))
+    least = prefix_keys(texts, similarity).groupBy("fp").agg(F.min(F.struct("id", "size", "parity", "keys")).alias("m"))
+    reps = save(least.select("fp", F.col("m.id").alias("first"), "m.size", "m.parity", "m.keys"), "prefixes")
+    got = connected(reps, shingle_links(texts, reps, similarity))
     keep = got.select(F.col("component").alias(mine)).distinct()
     return keyed.join(keep, F.col(row).eqNullSafe(F.col(mine)), "left_semi").drop(row)
 

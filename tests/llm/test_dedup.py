@@ -175,3 +175,12 @@ def test_near_dedup_finds_every_block_edit(spark):
                 x, y = sorted((root[a], root[b]))
                 root = [x if r == y else r for r in root]
     assert {r.doc_id for r in sh.near_dedup(docs).collect()} == set(range(0, 240, 2)) | {root[i] for i in hot}
+
+
+def test_near_dedup_leaves_pairs_under_the_threshold(spark):
+    """Block and word edits of similarity 0.70 to 0.79 are no near copies: every document stays."""
+    rng = random.Random(22)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    texts = [t for p in edited(rng, words, 0.7, 0.795, 120) for t in p]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sh.near_dedup(docs).count() == len(texts)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import table
+from .common import fresh, table
 from .pieces import Pieces, parts
 
 NONE = np.int64(1 << 40)  #: rank of a pair that does not merge
@@ -181,8 +181,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _name(df: DataFrame, first: str, second: str) -> str:
+    return first if fresh(df, first) == [first] else fresh(df, second)[0]
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """docs' id and `keep` columns with ids array<int>. A null or empty text has no ids."""
+    """docs' id and `keep` columns with ids array<int> (token_ids where there is such a column; underscores in front if need be).
+
+    A null or empty text has no ids. Each row is encoded by itself: repeated rows and equal ids stay as they are.
+    """
 
     def run(batches):
         enc = encoder(path)
@@ -192,13 +199,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], lists], [f.name for f in schema])
 
-    src = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col), *[F.col(c) for c in keep])
-    schema = src.drop("__text").schema.add("ids" if "ids" not in src.columns else "token_ids", ArrayType(IntegerType()))
-    return src.mapInArrow(run, schema)
+    kept = docs.select(F.col(id_col), *[F.col(c) for c in keep])
+    schema = kept.schema.add(_name(kept, "ids", "token_ids"), ArrayType(IntegerType()))
+    return docs.select(F.col(text_col).cast("string").alias(fresh(docs, "text_")[0]), F.col(id_col), *[F.col(c) for c in keep]).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """tokens without ids_col, with the decoded text. Null ids decode to null."""
+    """tokens without ids_col, with the decoded text (decoded_text where there is a column text; underscores in front if need be).
+
+    Null ids decode to null, no ids to an empty text.
+    """
 
     def run(batches):
         enc = encoder(path)
@@ -206,9 +216,9 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             texts = [None if not x.is_valid else enc.decode(x.values.to_numpy()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string())], [f.name for f in schema])
 
-    src = tokens.select(F.col(ids_col).alias("__ids"), *[F.col(c) for c in tokens.columns if c != ids_col])
-    schema = src.drop("__ids").schema.add("text" if "text" not in src.columns else "decoded_text", StringType())
-    return src.mapInArrow(run, schema)
+    kept = tokens.drop(ids_col)
+    schema = kept.schema.add(_name(kept, "text", "decoded_text"), StringType())
+    return tokens.select(F.col(ids_col).alias(fresh(tokens, "ids_")[0]), *[F.col(c) for c in tokens.columns if c != ids_col]).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

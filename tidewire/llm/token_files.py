@@ -115,9 +115,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
     out.select(F.spark_partition_id().alias("part"), "*").write.options(**ORC).orc(path)
 
 
-def read(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, ids: list[int] | None = None, id_type: str = "long") -> DataFrame:
     """The files again; with ids, stripes and row groups that cannot hold them are skipped by statistics and Bloom filters."""
-    df = spark.read.orc(path)
+    schema = f"part int, part_start long, doc_id {id_type}, n_tokens long, ids array<int>"
+    df = spark.read.schema(schema).orc(path)
     return df if ids is None else df.where(F.col("doc_id").isin(ids))
 
 

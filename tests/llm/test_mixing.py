@@ -72,3 +72,13 @@ def test_mix_repeats_rows(spark):
         got[(r.doc_id, r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")))] += 1
     assert got == want
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_rows_that_differ_in_nulls_or_maps_stay_apart(spark):
+    """Rows with one id that differ only in where a null stands, or within a nested column, are different rows."""
+    rows = [(1, "a b", "s", None, "q", {"k": 1}, (None, "x")), (1, "a b", "s", "q", None, {"k": 1}, (None, "x")), (1, "a b", "s", "q", None, {"k": 2}, (None, "x")), (1, "a b", "s", "q", None, {"k": 2}, ("x", None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, a string, b string, m map<string,int>, st struct<u:string,v:string>")
+    p = mixing.plan(docs).collect()
+    assert len(p) == 4 and all(r.m == 1 and r.copies == 1 for r in p)
+    key = lambda r: (r.a, r.b, tuple(r.m.items()), r.st.u, r.st.v)
+    assert sorted(map(key, mixing.mix(docs).collect()), key=str) == sorted(map(key, docs.collect()), key=str)

@@ -98,7 +98,11 @@ def round_copies(items: DataFrame, seed: int = 1, fan: int = FAN) -> DataFrame:
 
 
 def _hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    """Hash of a whole row, of the places of its nulls too (xxhash64 alone skips nulls); nested columns count as JSON."""
+    nested = [c for c, kind in docs.dtypes if "<" in kind or kind in ("variant", "interval")]
+    plain = [c for c in docs.columns if c not in nested]
+    parts = [F.col(c) for c in plain] + [F.col(c).isNull() for c in plain]
+    return F.xxhash64(*parts, F.to_json(F.struct(*[F.col(c) for c in nested]), {"ignoreNullFields": "false"}) if nested else F.lit(0))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 1) -> DataFrame:
@@ -107,7 +111,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Documents that hold a notable share of their source are rounded first, and the others then share what is left
     of the target, so that one long document doesn't decide how near the mix comes to it.
     A null text has size 0; null is a source of its own. A document without words takes no words; it is
-    copied as its source's ratio says, rounded on its own. An empty table gives an empty plan.
+    copied as its source's ratio says, rounded on its own. An empty table gives an empty plan. Rows equal in every column
+    are one item of m rows.
     """
     items = save(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(docs).alias("h"))

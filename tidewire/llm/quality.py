@@ -139,7 +139,7 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Label model from the votes on all documents; scorer from at most about `sample` of them.
+    """Label model from the votes on all documents; scorer from at most about `sample` of them, chosen by hash of id and text.
 
     An empty table gives a model that scores every text with words 0.5.
     """
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                     ["h", "votes", "at", "value"])
 
     share = min(1.0, sample / max(1, docs.count()))
-    chosen = src.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1)).limit(2 * sample)
+    chosen = src.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1))
     rows = sorted(chosen.mapInArrow(vectors, "h long, votes array<int>, at array<int>, value array<float>").collect(), key=lambda r: (r.h, r.votes))
     if not rows:
         return Model(prior, accuracy, np.zeros(DIMS + 1, np.float32))
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with weak_label (posterior of the labellers) and score (of the linear model), both 0 to 1.
 
-    A null, empty or blank text has 0 in both. Clashing column names get an underscore in front.
+    A null, empty or blank text has 0 in both; each row is judged by itself, so repeated rows score alike. Clashing column names get an underscore in front.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text, weak, mark = fresh(docs, "text_", "weak_label", "score")

@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")  #: runs that the models see
 LEAST = 20  #: a run that only the models judge has at least so many characters
 MEAN, TOTAL = 0.9, 24.0  #: and a log-likelihood ratio of at least so many nats a character and in all
-SAMPLE = 20_000  #: about so many documents, chosen by hash over the whole table, train the models (twice as many at most)
+SAMPLE = 20_000  #: about so many documents, chosen by hash over the whole table, train the models
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -82,8 +82,8 @@ def ratio(n: np.ndarray) -> np.ndarray:
     return np.log(rnd) - np.log(usual)
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Transition log-likelihood ratios from at most about `sample` documents; of an empty table all near zero."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
+    """Transition log-likelihood ratios from at most about `sample` documents, chosen by hash of id and text; of an empty table all near zero."""
 
     def count(batches):
         n = np.zeros((2, _N, _N), np.int64)
@@ -94,11 +94,11 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> np.nda
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.ravel()[at])], ["at", "n"])
 
     share = min(1.0, sample / max(1, docs.count()))
-    src = docs.select(F.col(text_col).cast("string").alias("t"))
+    src = docs.select(F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     if share < 1:
-        src = src.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample)
+        src = src.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
     n = np.zeros(2 * _N * _N)
-    for r in src.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 2 * 68 * 68 rows
+    for r in src.select("t").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 2 * 68 * 68 rows
         n[r["at"]] = r["n"]
     return ratio(n.reshape(2, _N, _N))
 
@@ -117,7 +117,8 @@ def find(text: str, llr: np.ndarray, mean: float = MEAN, total: float = TOTAL) -
 def scan(docs: DataFrame, llr: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, spans array<struct<kind,start,end>> in code points, end exclusive, by start and kind.
 
-    A null or empty text has no spans.
+    A null or empty text has no spans. Spans of the fixed patterns may overlap; of equal starts they stand in the order of KINDS.
+    Each row is scanned by itself, so repeated rows have equal spans.
     """
     shared = docs.sparkSession.sparkContext.broadcast(llr)
 

@@ -101,7 +101,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     dangling = dangling.select("conv_id", "call_id", (F.col("n_refs") > F.coalesce("n_known", F.lit(0))).alias("dangling"))
     best = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     key = ["conv_id", "call_id"]
-    joined = heads.join(best, key, "left").join(levels(heads, known), key, "left").join(dangling, key, "left").withColumn("why", F.lit(None).cast("string"))
+    joined = heads.join(best.hint("shuffle_hash"), key, "left").join(levels(heads, known), key, "left").join(dangling, key, "left").withColumn("why", F.lit(None).cast("string"))
     joined = joined.unionByName(odd, allowMissingColumns=True)
     problems = F.array_compact(F.concat(
         F.array("why", F.when(F.col("dangling"), F.lit("dangling reference")), F.when(F.col("why").isNull() & F.col("level").isNull(), F.lit("cycle")), F.when(F.col("why").isNull() & F.col("r").isNull(), F.lit("no result"))),

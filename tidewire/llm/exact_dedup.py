@@ -46,18 +46,24 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", res
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=_sha, salts: int = SALTS) -> DataFrame:
     """One row per input row: id, keep (largest id of its group of equal texts), n (rows of the group), digest.
 
-    Members find their group by digest, a join of small rows. Digests that stand for more than one text
+    Members find their group by digest and salt, a join of small rows. Digests that stand for more than one text
     (a weak digest, or a collision) are joined on the text too.
     """
     won = save(winners(docs, id_col, text_col, digest=digest, salts=salts).select(
-        "digest", "keep", "n", F.when(F.lit(digest is not _sha), F.col("text")).alias("text")), "winners")
+        "digest", "keep", "n", "hot", F.when(F.lit(digest is not _sha), F.col("text")).alias("text")), "winners")
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("digest", digest(F.col("t")))
     clash = won.groupBy("digest").count().where("count > 1").select("digest")
-    if digest is _sha and clash.isEmpty():
-        return base.drop("t").join(won.drop("text"), "digest").select("id", "keep", "n", "digest")
-    if digest is _sha:
+    plain = digest is _sha and clash.isEmpty()
+    if digest is _sha and not plain:
         won = winners(docs, id_col, text_col, digest=digest, salts=salts)
-    return base.join(won.select("digest", F.col("text").alias("t"), "keep", "n"), ["digest", "t"]).select("id", "keep", "n", "digest")
+    # a hot digest's members are dealt to all salts, and its winner is repeated for each
+    hot = F.broadcast(won.where("hot").select("digest", F.lit(True).alias("hot")).distinct())
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(0).alias("s")
+    members = (base.drop("t") if plain else base).join(hot, "digest", "left").select("*", salt).drop("hot")
+    zero = F.lit(0).cast("long")
+    each = F.explode(F.when(F.col("hot"), F.sequence(zero, F.lit(salts - 1).cast("long"))).otherwise(F.array(zero))).alias("s")
+    heads = won.select("digest", each, "keep", "n", F.col("text").alias("t"))
+    return members.join(heads.drop("t") if plain else heads, ["digest", "s"] + ["t"] * (not plain)).select("id", "keep", "n", "digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -242,20 +242,24 @@ def connected(reps: DataFrame, linked: DataFrame) -> DataFrame:
 # ---- near copies by shingles ----------------------------------------------------------------------
 
 ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 8_000, 3, 1 << 17  #: shingles common in a sample of documents go last in the order of prefixes; any order gives the same links
-PARITY_BITS = 1024  #: of a set's parity bitmap: two sets differ in at least as many shingles as their bitmaps in bits
-FEW = 64  #: sets of a bucket that are paired by size and bitmap first; in larger buckets the sets meet at once
-SET_TILE = 512  #: rows of one bucket whose shingle sets meet in one piece
+SKETCH = 8  #: 64-bit words of the SimHash of a shingle set
+SKETCH_TILE, SET_TILE = 4096, 512  #: rows of one group whose SimHashes, or whose shingle sets, are compared in one piece
+PIVOTS = 16  #: about so many rows of a group beyond a tile meet all its tiles
 
 
-def shingle_set(text: str | None) -> set[bytes]:
-    """Distinct five-word shingles, case and ASCII punctuation aside; all words as one where there are fewer than five."""
-    words = plain_words(text or "")
-    return set(map(b" ".join, zip(*(words[i:] for i in range(5)), strict=False))) if len(words) >= 5 else {b" ".join(words)} if words else set()
+def set_hashes(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of five-word shingles, case and ASCII punctuation aside."""
+    return np.unique(shingle_hashes(plain_words(text or ""), 5, True))
 
 
-def _set_hashes(text: str | None) -> np.ndarray:
-    """Sorted hashes of the shingle set."""
-    return np.unique(shingle_hashes(plain_words(text or ""), 5, True))
+def sketch_radius(similarity: float) -> int:
+    """Bits in which the SimHashes of two sets of at least that Jaccard similarity may differ.
+
+    A bit differs with the probability p = acos(2s / (1 + s)) / pi at most (0.19 for the smallest sets at s = 0.8); eight
+    standard deviations beyond leave a pair a chance under 1e-7 to be missed, and 1e-11 for sets of over four shingles.
+    """
+    p, n = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * SKETCH
+    return int(n * p + 8.2 * np.sqrt(n * p * (1 - p)))
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +268,7 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         for b in batches:
             for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_set_hashes(t).view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(t).view(np.int64))], ["h"])
 
     share = min(1.0, ORDER_SAMPLE / max(1, texts.count()))
     some = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("t")
@@ -275,141 +279,172 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[at], n[at]
 
 
-def prefix_keys(texts: DataFrame, similarity: float) -> DataFrame:
-    """(id, fp, size, parity, keys) of texts (id, t): of the shingle set a digest, the size, the parity bitmap and the prefix: of n shingles in one order for all
-    texts, the first n - ceil(similarity * n) + 1. Two sets of at least that Jaccard similarity share one of them."""
+def sketches(texts: DataFrame, similarity: float) -> DataFrame:
+    """(id, fp, sim, keys) of texts (id, t): of the shingle set a digest, the SimHash and the prefix: of n shingles in one
+    order for all texts, the first n - ceil(similarity * n) + 1. Two sets of at least that Jaccard similarity share one of them."""
     shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
 
     def run(batches):
         often, counts = shared.value
         for b in batches:
-            fps, sizes, parity, keys = [], [], [], []
+            fps, sims, keys = [], [], []
             for t in b.column(1).to_pylist():
-                h = _set_hashes(t)
+                h = set_hashes(t)
                 at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
                 n = np.where(often[at] == h, counts[at], 0) if len(often) else np.zeros(len(h), np.int64)
                 most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
                 fps.append(xxhash.xxh3_128_digest(h.tobytes()))
-                sizes.append(len(h))
-                parity.append(np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS).astype(np.uint8) & 1).tobytes())
+                sims.append(majority(h, SKETCH).tobytes())
                 keys.append(h[np.lexsort((h, n))[:most]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parity, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "size", "parity", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sims, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "sim", "keys"])
 
-    return texts.select("id", "t").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, fp binary, size long, parity binary, keys array<long>")
+    return texts.select("id", "t").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, fp binary, sim binary, keys array<long>")
 
 
-def set_links(sets: list[set], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets of at least that Jaccard similarity; every pair not yet connected is compared."""
-    root, out = list(range(len(sets))), []
-    members = {i: [i] for i in root}
-    for i, s in enumerate(sets):
-        for j in range(i + 1, len(sets)):
-            if root[i] == root[j]:
-                continue
-            small, large = sorted((len(s), len(sets[j])))
-            if small >= similarity * large - 1e-9 and (both := len(s & sets[j])) >= similarity * (small + large - both) - 1e-9:
-                out.append((i, j))
-                a, b = sorted((root[i], root[j]), key=lambda r: len(members[r]))
-                for k in members[a]:
-                    root[k] = b
-                members[b] += members.pop(a)
-    return out
-
-
-def shingle_links(texts: DataFrame, reps: DataFrame, similarity: float, tile: int = SET_TILE) -> DataFrame:
-    """Links (a, b) between distinct shingle sets fp of reps (fp, first, size, parity, keys) of at least that Jaccard similarity.
-
-    Sets meet in the bucket of each prefix key they share; of buckets with the same members one is enough. Of up to FEW
-    sets, the pairs whose sizes and bitmaps allow the similarity are compared by their shingles. To larger buckets the
-    sets go with their texts, and each pair not connected within the bucket yet is compared; one of more than
-    `tile` rows is cut into pairs of tiles, as in near_links.
+def group_links(rows: DataFrame, compare, tile: int, held_rows: int) -> DataFrame:
+    """Links (a, b) that connect, within each group of rows (grp long, rid long, x binary), what compare links.
+
+    compare(group, x) gets whole pieces, rows of one piece standing together, and returns positions of links, at most one
+    a row and such that all pairs of a piece that are linked are connected. A group of up to `tile` rows is one piece. A larger
+    one is dealt to tiles, and about PIVOTS of its rows to all of them. What this leaves apart meets in a second
+    round: rows outside the group's largest component, in tiles, against all rows of the group, in tiles. So every pair is
+    compared or connected already, no piece holds more than about two tiles, and a group of copies costs one pass.
     """
 
-    def pair(batches):
-        group, held = None, []
+    def meet(batches):
+        held: list[pa.Table] = []
 
-        def able():
-            n, on = np.array([h[1] for h in held]), np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1)
-            i, j = np.triu_indices(len(held), 1)
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            fits = low >= similarity * high - 1e-9
-            i, j = i[fits], j[fits]
-            most = (n[i] + n[j]) * (1 - similarity) / (1 + similarity) + 1e-6
-            near = np.bitwise_count(on[i] ^ on[j]).sum(1) <= most
-            ends = [sorted((held[a][0], held[b][0])) for a, b in zip(i[near], j[near], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], ["a", "b"])
+        def run(t: pa.Table):
+            g = np.stack([t.column(c).to_numpy() for c in ("grp", "p", "q")], axis=1)
+            rid = t.column("rid").to_numpy()
+            a, b = compare(np.cumsum(np.r_[True, (g[1:] != g[:-1]).any(axis=1)]), t.column("x").to_pylist())
+            on = rid[a] != rid[b]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(rid[a], rid[b])[on]), pa.array(np.minimum(rid[a], rid[b])[on])], ["a", "b"])
 
         for batch in batches:
-            for key, *one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != group:
-                    if len(held) > 1:
-                        yield able()
-                    group, held = key, []
-                held.append(one)
-        if len(held) > 1:
-            yield able()
-
-    def compare(batches):
-        for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            on = [bool(set_links([shingle_set(x), shingle_set(y)], similarity)) for x, y in zip(ta, tb, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, on, strict=True) if k], pa.binary()) for c in (a, b)], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) >= held_rows:
+                t = pa.concat_tables(held)
+                g = np.stack([t.column(c).to_numpy() for c in ("grp", "p", "q")], axis=1)
+                cut = int(np.r_[0, np.flatnonzero((g[1:] != g[:-1]).any(axis=1)) + 1][-1])  # the last piece may go on
+                if cut:
+                    yield run(t.slice(0, cut))
+                held = [t.slice(cut)]
+        if held:
+            yield run(pa.concat_tables(held))
 
-    def meet(batches):
-        group, fps, held = None, [], []
+    def linked(pieces: DataFrame) -> DataFrame:
+        met = pieces.select("grp", "p", "q", "rid", "x").repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "rid")
+        return save(met.mapInArrow(meet, "a long, b long").distinct(), "links")
+
+    counts = rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+    sized = rows.join(counts, "grp").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    mine = F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")
+    pivot = F.pmod(F.xxhash64("rid", F.lit(7)), F.ceil(F.col("n") / PIVOTS)) == 0
+    everywhere = F.sequence(F.lit(0), F.col("tiles") - 1)
+    once = sized.withColumn("p", F.explode(F.when((F.col("tiles") > 1) & pivot, everywhere).otherwise(F.array(mine)))).withColumn("q", F.lit(-1))
+    first = linked(once)
+    large = sized.where("tiles > 1")
+    if large.select("grp").isEmpty():
+        return first
+    root = components(first, "a", "b")
+    apart = large.join(root.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    apart = save(apart.select("grp", "rid", "x", "n", "tiles", "root"), "apart")
+    sizes = apart.groupBy("grp", "root").agg(F.count("*").alias("m"))
+    most = sizes.groupBy("grp").agg(F.max(F.struct("m", "root")).alias("big"))
+    apart = apart.join(most, "grp").where("big.m < n").withColumn("rest", F.ceil((F.col("n") - F.col("big.m")) / tile).cast("int"))
+    spread = F.pmod(F.xxhash64("rid", F.lit(3)), F.col("rest")).cast("int")
+    left = apart.where("root != big.root").select("*", spread.alias("p"), F.explode(everywhere).alias("q"))
+    right = apart.select("*", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("p"), mine.alias("q"))
+    return first.unionByName(linked(left.unionByName(right).dropDuplicates(["grp", "p", "q", "rid"])))
+
+
+def sketch_links(radius: int):
+    """compare for group_links: SimHashes within radius, bit-sliced."""
+
+    def compare(group: np.ndarray, x: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return links(group, np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1), radius)
+
+    return compare
+
+
+def set_links(similarity: float):
+    """compare for group_links: shingle sets (sorted hashes) of at least that Jaccard similarity; each pair not yet connected is compared."""
+
+    def one(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        size = np.array([len(s) for s in sets])
+        codes, at = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(size)
+        lab, out, mark = np.arange(len(sets)), [], np.zeros(len(codes) + 1, np.int32)
+        at = np.r_[at, len(codes)]  # so that a last empty set has a place to start at
+        for i in range(len(sets) - 1):
+            if (lab[i + 1 :] == lab[i]).all():
+                continue
+            mine = at[ends[i] - size[i] : ends[i]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[at[ends[i] :]], ends[i:-1] - ends[i]) * (size[i + 1 :] > 0)
+            mark[mine] = 0
+            union = size[i] + size[i + 1 :] - both
+            for j in np.flatnonzero((both >= similarity * union - 1e-9) & (lab[i + 1 :] != lab[i])) + i + 1:
+                if lab[i] != lab[j]:
+                    out.append((i, int(j)))
+                    lab[lab == lab[j]] = lab[i]
+        return out
+
+    def compare(group: np.ndarray, x: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) + 1
+        got = [(s + i, s + j) for s, e in zip(np.r_[0, ends[:-1]], ends, strict=True) for i, j in one([np.frombuffer(v, np.uint64) for v in x[s:e]])]
+        return tuple(np.array(got, np.int64).reshape(-1, 2).T)
+
+    return compare
+
+
+def shingle_links(texts: DataFrame, reps: DataFrame, similarity: float, tiles: tuple[int, int] = (SKETCH_TILE, SET_TILE)) -> DataFrame:
+    """Links (a, b) between the rows rid of reps (rid, first, sim, keys) whose shingle sets have at least that Jaccard similarity.
+
+    Rows meet in the bucket of each prefix key they share; of buckets with the same members one is enough. There their
+    SimHashes are compared bit-sliced. What lies within the radius forms families, and only their texts are read again, once:
+    within a family the shingle sets themselves are compared.
+    """
+    dealt = reps.select(F.explode("keys").alias("grp"), "rid")
+    counts = dealt.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    met = save(dealt.join(counts, "grp"), "buckets")
+    same = met.groupBy("grp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y"))
+    one = same.groupBy("n", "x", "y").agg(F.min("grp").alias("grp")).select("grp")
+    rows = save(met.join(one, "grp").join(reps.select("rid", F.col("sim").alias("x")), "rid"), "buckets")
+    near = group_links(rows, sketch_links(sketch_radius(similarity)), tiles[0], BUFFER)
+    found = save(components(near, "a", "b"), "families")
+    family = found.select(F.col("root").alias("grp"), F.col("node").alias("rid")).unionByName(found.select(F.col("root").alias("grp"), F.col("root").alias("rid")).distinct())
+    wanted = family.join(reps.select("rid", "first"), "rid")
+
+    def hashes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([set_hashes(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["grp", "rid", "x"])
 
-        def linked():
-            a, b = zip(*got, strict=True) if (got := set_links(held, similarity)) else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array([fps[i] for i in a], pa.binary()), pa.array([fps[i] for i in b], pa.binary())], ["a", "b"])
+    read = texts.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("grp", "rid", "t").dropDuplicates(["rid"])
+    sets = save(read.mapInArrow(hashes, "grp long, rid long, x binary"), "sets")
+    return group_links(sets, set_links(similarity), tiles[1], tiles[1])
 
-        for batch in batches:
-            for key, p, q, fp, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, p, q) != group:
-                    if len(fps) > 1:
-                        yield linked()
-                    group, fps, held = (key, p, q), [], []
-                fps.append(fp)
-                held.append(shingle_set(t))
-        if len(fps) > 1:
-            yield linked()
-
-    dealt = reps.select(F.explode("keys").alias("key"), "fp")
-    counts = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = save(dealt.join(counts, "key"), "buckets")
-    same = met.groupBy("key").agg(F.first("n").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"))
-    met = met.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("p"), F.greatest(o, F.col("mine")).alias("q")))
-    met = save(met, "buckets")
-    few = met.where(F.col("n") <= FEW).join(reps.select("fp", "size", "parity"), "fp").select("key", "fp", "size", "parity")
-    few = save(few.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a binary, b binary").distinct(), "pairs")
-    spread = save(met.where(F.col("n") > FEW).withColumn("tiles", tiles).withColumn("mine", mine).select("key", "fp", F.explode(pairs).alias("pq")).select("key", "pq.p", "pq.q", "fp"), "tiles")
-    used = spread.select("fp").unionByName(few.select(F.col("a").alias("fp"))).unionByName(few.select(F.col("b").alias("fp"))).distinct()
-    wanted = reps.select("fp", "first").join(used, "fp", "left_semi")
-    read = save(texts.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("fp", "t").dropDuplicates(["fp"]), "texts")
-    full = spread.join(read, "fp").select("key", "p", "q", "fp", "t").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    two = few.join(read.select(F.col("fp").alias("a"), F.col("t").alias("ta")), "a").join(read.select(F.col("fp").alias("b"), F.col("t").alias("tb")), "b")
-    found = two.select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
-    return full.mapInArrow(meet, "a binary, b binary").unionByName(found).distinct()
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, tiles: tuple[int, int] = (SKETCH_TILE, SET_TILE)) -> DataFrame:
     """Rows of docs that stay: of each group of near copies the row with the smallest id.
 
-    Near copies: sets of five-word shingles (case and ASCII punctuation aside) with a Jaccard similarity of at least
-    `similarity`, and what such pairs connect. All pairs are found (shingles count as equal if their 64-bit hashes are, when
-    partners are looked for, and by their words when pairs are compared). Null texts count as
+    Near copies: sets of five-word shingles (case and ASCII punctuation aside, compared by 64-bit hashes) with a Jaccard
+    similarity of at least `similarity`, and what such pairs connect. Pairs are sought by prefix keys, which every such pair
+    shares, then by bit-sliced SimHash within sketch_radius, then by the sets. Null texts count as
     empty; texts without words are near copies of each other. A null id counts as smallest; of equal ids the
     smaller hash of the text decides. Rows with equal id and equal text are one document: they stay or go together.
     """
     row, mine = fresh(docs, "row", "kept_row")
     keyed = docs.withColumn(row, F.struct(F.col(id_col), F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")))))
     texts = keyed.select(F.col(row).alias("id"), F.col(text_col).cast("string").alias("t"))
-    least = prefix_keys(texts, similarity).groupBy("fp").agg(F.min(F.struct("id", "size", "parity", "keys")).alias("m"))
-    reps = save(least.select("fp", F.col("m.id").alias("first"), "m.size", "m.parity", "m.keys"), "prefixes")
-    got = connected(reps, shingle_links(texts, reps, similarity))
-    keep = got.select(F.col("component").alias(mine)).distinct()
+    least = sketches(texts, similarity).groupBy("fp").agg(F.min(F.struct("id", "sim", "keys")).alias("m"))
+    reps = save(least.select(F.monotonically_increasing_id().alias("rid"), F.col("m.id").alias("first"), "m.sim", "m.keys"), "sketches")
+    comp = components(shingle_links(texts, reps, similarity, tiles), "a", "b")
+    rooted = save(reps.select("rid", "first").join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("first", F.coalesce("root", "rid").alias("root")), "rooted")
+    keep = rooted.groupBy("root").agg(F.min("first").alias(mine)).select(mine)
     return keyed.join(keep, F.col(row).eqNullSafe(F.col(mine)), "left_semi").drop(row)
 
 

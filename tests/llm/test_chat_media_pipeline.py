@@ -40,18 +40,80 @@ def test_link(spark):
     assert toolchat.link(calls.limit(0), results.limit(0), SCHEMAS).count() == 0
 
 
-def test_image_copies(spark):
+def brute_copies(described, queries):
+    """Links by comparing all features of a query with all of an image, with the same votes."""
+    found = set()
+    for q in queries:
+        qp, qb = described[q]
+        for i, (fp, fb) in described.items():
+            if not len(qp) or not len(fp):
+                continue
+            a, b = np.nonzero((qb[:, None] != fb[None]).sum(-1) <= media.NEAR)
+            ratio, turn = fp[b, 2] / qp[a, 2], fp[b, 3] - qp[a, 3]
+            sx = fp[b, 0] - ratio * (np.cos(turn) * qp[a, 0] - np.sin(turn) * qp[a, 1])
+            sy = fp[b, 1] - ratio * (np.sin(turn) * qp[a, 0] + np.cos(turn) * qp[a, 1])
+            for g in (0, 0.5):
+                cell = {}
+                for k, key in zip(a, zip(np.round(np.log2(ratio) * 1.5), np.floor(turn / (np.pi / 6) % 12 + g) % 12, np.floor(sx / 24 + g), np.floor(sy / 24 + g), strict=True), strict=True):
+                    cell.setdefault(key, set()).add(k)
+                if any(len(v) >= media.VOTES for v in cell.values()):
+                    found.add((q, i))
+    return found
+
+
+def pictures(rng, n=30):
+    """Pictures, and for each a crop to about a third of each side, one to a half, and one at 0.85 of its size, which is no level's."""
+    imgs = {i: media.resize(media._box(rng.normal(0, 1, (96, 96)).astype(np.float32), 1), 192, 192) for i in range(n)}
+    imgs = {i: np.clip((a - a.min()) / (a.max() - a.min()) * 255, 0, 255).astype(np.uint8) for i, a in imgs.items()}
+    edits = {100 + i: imgs[i][60:126, 64:130] for i in range(n)} | {200 + i: imgs[i][30:130, 40:140] for i in range(n)}
+    return imgs | edits | {300 + i: media.resize(imgs[i].astype(float), 163, 163).astype(np.uint8) for i in range(n)}
+
+
+def image_rows(imgs):
+    return [(i, x.shape[0], x.shape[1], bytearray(x.tobytes())) for i, x in imgs]
+
+
+IMAGES = "image_id long, height int, width int, pixels binary"
+
+
+def test_image_copies_against_brute_force(spark):
+    """Recall of the key tables over all links that comparing every feature with every other finds, and of the edits themselves."""
+    imgs = pictures(np.random.default_rng(8))
+    described = {i: media.describe_image(x) for i, x in imgs.items()}
+    want = brute_copies(described, range(30))
+    f = media.describe(spark.createDataFrame(image_rows(imgs.items()), IMAGES))
+    got = {(r.query_id, r.image_id) for r in media.find_copies(f, f.where("image_id < 30")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+    for edit, share in ((0, 1.0), (100, 0.9), (200, 0.9), (300, 0.9)):
+        assert len({(i, edit + i) for i in range(30)} & got) >= share * 30, edit
+    assert len(got) <= 125
+    few, media.FEW_KEYS = media.FEW_KEYS, 0  # without the broadcast
+    try:
+        assert {(r.query_id, r.image_id) for r in media.find_copies(f, f.where("image_id < 30")).collect()} == got
+    finally:
+        media.FEW_KEYS = few
+
+
+def test_image_classes(spark):
+    """Planted edits; equal pictures are searched for once; repeated ids, broken and blank images."""
     rng = np.random.default_rng(5)
-    imgs = [(i, media.draw(rng.normal(0, 0.2, 64))) for i in range(60)]
-    imgs += [(1000 + i, media.edit(imgs[i][1], i % 4)) for i in range(0, 60, 5)]
-    rows = [(i, x.shape[0], x.shape[1], bytearray(x.tobytes())) for i, x in imgs]
-    rows += [(2000, 10, 10, bytearray(100)), (2001, 5, 5, bytearray(3)), (2002, None, 4, None), (2003, 128, 128, bytearray(128 * 128))]
-    images = spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary")
+    imgs = [(i, media.draw(rng.normal(0, 0.2, 64))) for i in range(1, 60)]
+    imgs += [(1000 + i, media.edit(x, i % 4)) for i, x in imgs if i % 5 == 0]
+    imgs += [(70, imgs[4][1]), (75, imgs[4][1]), (2003, np.zeros((128, 128), np.uint8)), (7, imgs[6][1])]  # id 5 thrice, 7 twice
+    rows = [*image_rows(imgs), (2000, 10, 10, bytearray(100)), (2001, 5, 5, bytearray(3)), (2002, None, 4, None), (None, 128, 128, bytearray(imgs[0][1].tobytes()))]
+    images = spark.createDataFrame(rows, IMAGES).repartition(3)
+    ids = images.select("image_id").where("image_id is not null").distinct()
     f = media.describe(images)
-    got = {(r.query_id, r.image_id) for r in media.find_copies(f, f).collect()}
-    want = {(i, 1000 + i) for i in range(0, 60, 5)} | {(1000 + i, i) for i in range(0, 60, 5)}
-    assert len(got & want) >= 0.9 * len(want) and got <= want
-    assert media.find_copies(f.limit(0), f).count() == 0
+    of = lambda some: f if some is None else f.join(some, "image_id", "left_semi")
+    level, media.LEVEL = media.LEVEL, 3
+    try:
+        got = {r.image_id: (r.class_id, r.n_links) for r in media.image_classes(of, f.where("image_id % 5 = 0 and image_id < 100"), ids).collect()}
+    finally:
+        media.LEVEL = level
+    want = {i: (i, 0) for i, *_ in rows if i is not None}
+    want |= {1000 + i: (i, 1) for i in range(5, 60, 5)} | {5: (5, 2), 70: (5, 2), 75: (5, 2), 1005: (5, 3)}
+    assert got == want
+    assert media.image_classes(lambda some: f.limit(0), f.limit(0), ids.limit(0)).count() == 0
 
 
 @pytest.fixture(scope="module")

@@ -11,7 +11,7 @@ from tidewire.plans import registry
 
 SF = "/root/testdata/sf0.001"
 SOME = ["returns", "abnormal_returns", "labels", "base_rates", "weekly", "anomaly_signals", "leadlag_pairs", "volatility_bands", "univariate_signal", "theme_portfolio", "earnings_surprise", "asof_forward", "macro_surprise", "rule_calendar",
-        "figures", "lexicon_score", "mentions", "novelty", "source_weights", "cluster_features", "signals", "route_articles", "probabilities", "reliability", "offsets", "local_time", "upsert", "windowed_attention", "story_sessions"]
+        "figures", "lexicon_score", "mentions", "novelty", "alarms", "attention_burst", "macro_contribution", "top_evidence", "source_weights", "cluster_features", "signals", "route_articles", "probabilities", "reliability", "offsets", "local_time", "upsert", "windowed_attention", "story_sessions"]
 
 
 @pytest.fixture(scope="module")

@@ -89,7 +89,6 @@ def cluster_history(articles: DataFrame, window_hours: float = 48, step_hours: f
 def novelty(clustered: DataFrame) -> DataFrame:
     """clustered (article_id, cluster_id, published_ts) with novelty 1/sqrt(1 + earlier articles of the cluster) and
     cluster_size; ties share, and without a cluster both are 1."""
-    w = Window.partitionBy("cluster_id").orderBy("published_ts")
-    alone = F.col("cluster_id").isNull()
-    size = F.count("*").over(Window.partitionBy("cluster_id"))
-    return clustered.withColumn("novelty", F.when(alone, 1.0).otherwise(1 / F.sqrt(F.rank().over(w)))).withColumn("cluster_size", F.when(alone, F.lit(1).cast("long")).otherwise(size))
+    spread = clustered.withColumn("alone_", F.when(F.col("cluster_id").isNull(), F.monotonically_increasing_id()))  # each row without a cluster is by itself
+    w = Window.partitionBy("cluster_id", "alone_")
+    return spread.withColumn("novelty", 1 / F.sqrt(F.rank().over(w.orderBy("published_ts")))).withColumn("cluster_size", F.count("*").over(w)).drop("alone_")

@@ -204,8 +204,8 @@ GRID = """grid AS (SELECT to_timestamp(1700000000 + k * 43200)::TIMESTAMP AS at_
 
 
 def _grid(spark, sf):
-    """Instants every twelve hours over the articles' days."""
-    return articles(spark, sf).select(F.explode(F.sequence(F.lit(1), F.lit(60))).alias("k")).distinct().select(F.timestamp_seconds(1_700_000_000 + F.col("k") * 43_200).alias("asof"))
+    """Instants every twelve hours over the articles' days: a parameter of the queries."""
+    return spark.range(1, 61, 1, 1).select(F.timestamp_seconds(1_700_000_000 + F.col("id") * 43_200).alias("asof"))
 
 
 @query("cluster_features", f"""WITH {CLUSTERED}, x AS (SELECT cluster_id, ts, domain, {_norm('title')} AS t FROM clustered WHERE cluster_id IS NOT NULL), g AS (SELECT DISTINCT cluster_id, 1700000000 + k * 432000 AS a FROM x, range(1, 7) r(k)), j AS (SELECT x.*, a, min(ts) OVER (PARTITION BY x.cluster_id, a) AS t0 FROM x JOIN g ON x.cluster_id = g.cluster_id AND ts <= a),
@@ -245,7 +245,7 @@ def q_panel(spark, sf):
 def _evidence(spark, sf):
     a = clustered(spark, sf)
     nov = dedupe.novelty(a.select("article_id", "cluster_id", "published_ts")).select("article_id", "novelty")
-    men = _mentions(spark, sf).where(F.col("ticker") != config.NOBODY)
+    men = sinks.written(_mentions(spark, sf).where(F.col("ticker") != config.NOBODY), "mentions")  # linked once, read twice
     routed = F.col("article_id") % 5 == 0
     men = men.withColumns({"driver": F.when(routed, "USDBRL"), "driver_weight": F.when(routed, 0.3), "driver_sign": F.when(routed, F.when(F.col("article_id") % 2 == 0, 1).otherwise(-1))})
     sc = _scored(spark, sf, a).select("article_id", "s", "magnitude", "event_type").join(nov, "article_id").join(men.select("article_id", "ticker"), "article_id")
@@ -286,12 +286,15 @@ def q_history(spark, sf):
     return signal.rebuild_history(ev, days.select(F.explode(F.array(*[F.lit(t) for t in WATCH])).alias("ticker"), "date"), _weights(spark, sf))
 
 
-@query("macro_contribution", """WITH g AS (SELECT t.ticker, at_s FROM range(1, 61) r(k), (SELECT 1700000000 + k * 43200 AS at_s, k AS k2 FROM range(1, 61) q(k)) s, (VALUES ('AAAA3'), ('BBBB4')) t(ticker) WHERE k = k2),
-e AS (SELECT ticker, 'i' || i AS indicator, DATE '2023-11-10' + CAST(i * 4 AS INT) AS rel, (i - 2) * 0.9 AS imp FROM range(0, 5) r(i), (VALUES ('AAAA3'), ('BBBB4')) t(ticker)),
-x AS (SELECT g.ticker, at_s, 0.12 * pow(0.5, greatest(0, CAST((to_timestamp(at_s - 10800) AT TIME ZONE 'UTC') AS DATE) - rel) / 10.0) AS w, greatest(-1, least(1, imp)) AS c FROM g JOIN e ON e.ticker = g.ticker AND rel <= CAST((to_timestamp(at_s - 10800) AT TIME ZONE 'UTC') AS DATE))
+@query("macro_contribution", f"""WITH {ARTICLES}, g AS (SELECT t.ticker, at_s FROM range(1, 61) r(k), (SELECT 1700000000 + k * 43200 AS at_s, k AS k2 FROM range(1, 61) q(k)) s, (VALUES ('AAAA3'), ('BBBB4')) t(ticker) WHERE k = k2),
+e AS (SELECT ticker, domain AS indicator, CAST(to_timestamp(ts) AT TIME ZONE 'UTC' AS DATE) AS rel, (count(*) FILTER (lang = 'en') - 2 * count(*) FILTER (lang = 'de')) * 1.5::DOUBLE / count(*) AS imp FROM articles, (VALUES ('AAAA3'), ('BBBB4')) t(ticker) GROUP BY ALL),
+l AS (SELECT g.ticker, at_s, indicator, max(rel) AS rel, arg_max(imp, rel) AS imp FROM g JOIN e ON e.ticker = g.ticker AND rel <= CAST((to_timestamp(at_s - 10800) AT TIME ZONE 'UTC') AS DATE) GROUP BY ALL),
+x AS (SELECT ticker, at_s, 0.12 * pow(0.5, greatest(0, CAST((to_timestamp(at_s - 10800) AT TIME ZONE 'UTC') AS DATE) - rel) / 10.0) AS w, greatest(-1, least(1, imp)) AS c FROM l)
 SELECT ticker, at_s AS asof_s, round(sum(c * w), 6) + 0.0 AS contribution, round(sum(w), 6) + 0.0 AS weight FROM x GROUP BY ALL""")
 def q_macro(spark, sf):
-    e = articles(spark, sf).where("article_id < 5").select(F.explode(F.array(F.lit("AAAA3"), F.lit("BBBB4"))).alias("ticker"), F.concat(F.lit("i"), F.col("article_id").cast("string")).alias("indicator"), ((F.col("article_id") - 2) * 0.9).alias("implied_pp"), F.date_add(F.lit("2023-11-10").cast("date"), (F.col("article_id") * 4).cast("int")).alias("release_date"))
+    mood = (F.count_if(F.col("lang") == "en") - 2 * F.count_if(F.col("lang") == "de")) * 1.5 / F.count("*")
+    e = articles(spark, sf).groupBy(F.col("domain").alias("indicator"), F.to_date("published_ts").alias("release_date")).agg(mood.alias("implied_pp"))
+    e = e.select(F.explode(F.array(F.lit("AAAA3"), F.lit("BBBB4"))).alias("ticker"), "indicator", "implied_pp", "release_date")
     g = _ticker_grid(spark, sf).where("ticker in ('AAAA3', 'BBBB4')")
     return signal.macro_surprise(e, g).select("ticker", F.unix_timestamp("asof").alias("asof_s"), r6("contribution").alias("contribution"), r6("weight").alias("weight"))
 
@@ -421,7 +424,7 @@ def q_event_study(spark, sf):
     return evaluate.event_study(news.join(names, "ticker", "left_semi"), res, (1, 5, 15))
 
 
-@query("alarms", f"""WITH {EV}, z AS (SELECT ticker, at_s, round(sum(s * w) / sum(w), 4) + 0.0 AS z, round(sum(w), 4) AS n_eff FROM we GROUP BY ALL), s AS (SELECT *, 1 / (1 + exp(-z)) AS pu, 1 / (1 + exp(z)) AS pd FROM z WHERE (at_s // 43200) % 2 = 0),
+@query("alarms", f"""WITH {EV}, z AS (SELECT ticker, at_s, round(sum(s * w) / sum(w), 4) + 0.0 AS z, round(sum(w), 4) AS n_eff FROM we GROUP BY ALL), s AS (SELECT *, 1 / (1 + exp(-z)) AS pu, 1 / (1 + exp(z)) AS pd FROM z),
 f AS (SELECT DISTINCT e.ticker, at_s FROM ev e JOIN nov USING (article_id) JOIN grid ON ts <= at_s AND at_s - ts < 129600 WHERE novelty >= 0.95), x AS (SELECT ticker, at_s, 'up' AS direction, pu AS p FROM s UNION ALL SELECT ticker, at_s, 'down', pd FROM s), r(ticker, e, n, d) AS (VALUES ('AAAA3', 0.02, 0.5, 'both'), ('BBBB4', 0.01, 0.2, 'down'), ('CCCC1', 0.12, 0.3, 'both'), ('DDDD2', 0.12, 0.3, 'both'))
 SELECT x.ticker, x.at_s AS asof_s, direction, round(p - 0.45, 6) AS edge FROM x JOIN s USING (ticker, at_s) JOIN r ON r.ticker = x.ticker JOIN f ON f.ticker = x.ticker AND f.at_s = x.at_s WHERE n_eff >= n AND d IN ('both', direction) AND p - 0.45 >= e""")
 def q_alarms(spark, sf):
@@ -430,7 +433,7 @@ def q_alarms(spark, sf):
 
 def _alarms(spark, sf):
     ev = sinks.written(_evidence(spark, sf), "evidence")
-    s = q_signals(spark, sf, ev).where("(asof_s div 43200) % 2 = 0")
+    s = q_signals(spark, sf, ev)
     s = s.select("ticker", F.timestamp_seconds("asof_s").alias("asof"), "z", "n_eff", (1 / (1 + F.exp(-F.col("z")))).alias("p_up"), (1 / (1 + F.exp(F.col("z")))).alias("p_down"), F.lit(0.45).alias("base_up"), F.lit(0.45).alias("base_down"), F.lit(1).alias("calibrated"))
     rules = spark.createDataFrame([("AAAA3", 0.02, 0.5, 90, None, None, None), ("BBBB4", 0.01, 0.2, None, None, True, "down"), ("*", None, 0.3, None, None, None, None)], "ticker string, min_edge double, min_n_eff double, cooldown_min int, require_calibrated boolean, require_novelty boolean, direction string")
     return alarms.candidates(s, alarms.resolve_rules(s.select("ticker"), rules), ev.select("ticker", "published_ts", "novelty"))

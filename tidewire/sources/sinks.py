@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the folder that executors and driver share (spark.checkpoint.dir) and read again: cuts lineage."""
+    """df written to the folder that executors and driver share (spark.checkpoint.dir) and read again: cuts lineage.
+
+    Where that is unset, a new temporary folder serves in local mode only.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -90,10 +90,10 @@ def event_car(abn: DataFrame, events: DataFrame, start: int, end: int, key: str
 
 def event_study(news: DataFrame, residuals: DataFrame, ks: tuple[int, ...] = (1, 5, 15, 30, 60), key: str = "ticker") -> DataFrame:
     """(window, n_events, n_cells, ic, hit_rate): news (key, published_ts, strength) meet the first bar strictly after; events of one
-    (entity, bar) are one cell with their mean strength, as they share one outcome."""
+    (entity, bar) are one cell with their mean strength, as they share one outcome; rounded, so that the order of adding makes no ranks."""
     w = event_windows(residuals, ks, key)
     j = asof_join(news, w, [key], "published_ts", "ts", "forward", strict=True).where("r_ts is not null")
-    cells = j.groupBy(key, "r_ts").agg(F.avg("strength").alias("strength"), F.count("*").alias("n_"), *[F.first(f"r_cum_{k}").alias(f"cum_{k}") for k in ks])
+    cells = j.groupBy(key, "r_ts").agg(F.round(F.avg("strength"), 9).alias("strength"), F.count("*").alias("n_"), *[F.first(f"r_cum_{k}").alias(f"cum_{k}") for k in ks])
     parts = []
     for k in ks:
         c = cells.where(f"cum_{k} is not null")
@@ -244,9 +244,9 @@ def scorer_accuracy(gold: DataFrame, s: str = "s") -> DataFrame:
 
 
 def weighting_schemes(rows: DataFrame, target: DataFrame, schemes: dict[str, Column]) -> DataFrame:
-    """(scheme, n, ic): signals of rows (ticker, date, s, ...) under several weights against target (ticker, date, next_abn)."""
+    """(scheme, n, ic): signals of rows (ticker, date, s, ...) under several weights, to 9 places, against target (ticker, date, next_abn)."""
     many = rows.select("ticker", "date", "s", F.explode(F.array(*[F.struct(F.lit(k).alias("scheme"), v.cast("double").alias("w")) for k, v in schemes.items()])).alias("x")).select("ticker", "date", "s", "x.*").where("w > 0")
-    z = many.groupBy("scheme", "ticker", "date").agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("z"))
+    z = many.groupBy("scheme", "ticker", "date").agg(F.round(F.sum(F.col("s") * F.col("w")) / F.sum("w"), 9).alias("z"))
     return stats.spearman(z.join(target, ["ticker", "date"]), "z", "next_abn", ["scheme"]).select("scheme", "n", "ic")
 
 

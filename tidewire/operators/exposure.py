@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from .asof import asof_join
 from .panel import common_dates
 
 OUT = "ticker string, asof date, driver string, beta double, share double, r2 double, n long"
@@ -40,7 +41,8 @@ def rolling_exposures(rets: DataFrame, driver_rets: DataFrame, asofs: DataFrame,
     x = F.array(*[F.col("m_")[n] for n in names])
     j = rets.join(wide.select("date", x.alias("x")), "date").withColumn("i_", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
     # the last session before each asof, then the window by session number: an equality on blocks of numbers
-    last = asofs.select("asof").distinct().join(j.select("ticker", "date", "i_"), F.col("date") < F.col("asof")).groupBy("ticker", "asof").agg(F.max("i_").alias("end_"))
+    grid = j.select("ticker").distinct().crossJoin(asofs.select("asof").distinct())  # as large as the result
+    last = asof_join(grid, j.select("ticker", "date", "i_"), ["ticker"], "asof", "date", strict=True).where("r_i_ is not null").select("ticker", "asof", F.col("r_i_").alias("end_"))
     block = F.floor(F.col("i_") / window)
     ends = last.select("ticker", "asof", "end_", F.explode(F.array(F.floor(F.col("end_") / window), F.floor(F.col("end_") / window) - 1)).alias("b_"))
     rows = j.withColumn("b_", block).join(ends, ["ticker", "b_"]).where((F.col("i_") <= F.col("end_")) & (F.col("i_") > F.col("end_") - window))

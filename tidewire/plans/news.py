@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -9,7 +10,7 @@ from ..functions import stats, text, timeutil
 from ..operators import alarms, attention, calibrate, dedupe, documents, entity, evaluate, models, quality, routing, score, signal, sources_weight
 from ..sources import readers, sinks
 from ..streaming import streams
-from .mapping import ARTICLES, CLUSTERED, R, articles, bars, clustered, r6, table
+from .mapping import ARTICLES, BARS, CLUSTERED, R, articles, bars, clustered, r6, table
 
 QUERIES, SQL = {}, {}
 
@@ -236,10 +237,18 @@ def q_burst(spark, sf):
     return attention.burst(_mention_times(spark, sf), _ticker_grid(spark, sf)).select("ticker", F.unix_timestamp("asof").alias("asof_s"), r6("burst").alias("burst"))
 
 
-@query("attention_panel")
+@query("attention_panel", f"""WITH {CLUSTERED}, {MEN}, {GRID}, own AS (SELECT article_id, ts, domain, {_norm('title')} AS t, coalesce(cluster_id, 'a' || article_id) AS cid FROM clustered), m AS (SELECT ticker, ts, cid FROM mentions JOIN own USING (article_id)),
+g AS (SELECT ticker, at_s FROM grid, (VALUES {', '.join(f"('{t}')" for t in WATCH)}) t(ticker)), live AS (SELECT g.ticker, at_s, cid FROM m JOIN g ON g.ticker = m.ticker AND ts <= at_s AND at_s - ts < 129600), k AS (SELECT DISTINCT cid, at_s FROM live),
+j AS (SELECT own.*, at_s, min(ts) OVER (PARTITION BY own.cid, at_s) AS t0 FROM own JOIN k ON own.cid = k.cid AND ts <= at_s), dc AS (SELECT cid, at_s, domain, count(*)::DOUBLE AS c, count(*) FILTER (ts - t0 <= 7200)::DOUBLE AS d FROM j GROUP BY ALL),
+e AS (SELECT cid, at_s, exp(ln(sum(c)) - sum(c * ln(c)) / sum(c)) AS e FROM dc GROUP BY ALL), f AS (SELECT cid, at_s, exp(ln(sum(d)) - sum(d * ln(d)) / sum(d)) AS f FROM dc WHERE d > 0 GROUP BY ALL),
+b AS (SELECT cid, at_s, count(*) AS copies, (at_s - min(t0)) / 3600.0 AS h, max(1 - exp(-({_AROUSAL}) / 1.5)) AS a FROM j GROUP BY cid, at_s),
+p AS (SELECT ticker, at_s, max(f) AS f, max(e) AS e, max(1 - e / copies) AS r, max(a) AS a, sum(copies)::BIGINT AS copies, min(h) AS h, count(*) AS n FROM live JOIN b USING (cid, at_s) JOIN e USING (cid, at_s) JOIN f USING (cid, at_s) GROUP BY ALL),
+bu AS (SELECT g.ticker, at_s, count(ts) AS b, count(ts) FILTER (at_s - ts < 86400) AS w FROM g LEFT JOIN m ON m.ticker = g.ticker AND ts <= at_s AND at_s - ts < 30 * 86400 GROUP BY ALL)
+SELECT ticker, at_s AS asof_s, {R('CASE WHEN b > 0 THEN (w / 24.0) / (b / 720.0) ELSE 0 END')} AS burst, {R('f')} AS cascade, {R('e')} AS effective_sources, {R('r')} AS repetition, {R('a')} AS arousal, copies, {R('h')} AS hours_alive, coalesce(n, 0) AS n FROM bu LEFT JOIN p USING (ticker, at_s)""")
 def q_panel(spark, sf):
     a = clustered(spark, sf).withColumn("arousal", attention.arousal(F.col("title"), WORDS))
-    return attention.panel(_mention_times(spark, sf), a, _ticker_grid(spark, sf))
+    p = attention.panel(_mention_times(spark, sf), a, _ticker_grid(spark, sf))
+    return p.select("ticker", F.unix_timestamp("asof").alias("asof_s"), "copies", "n", *[r6(c).alias(c) for c in ("burst", "cascade", "effective_sources", "repetition", "arousal", "hours_alive")])
 
 
 def _evidence(spark, sf):
@@ -280,11 +289,16 @@ def q_article_weights(spark, sf):
     return signal.article_weights(_evidence(spark, sf), _weights(spark, sf)).select("ticker", "article_id", r6("weight").alias("weight"))
 
 
-@query("signals_history")
+HISTORY = EV.replace(GRID, """grid AS (SELECT epoch(d)::BIGINT + 72000 AS at_s FROM (SELECT DISTINCT CAST(to_timestamp(ts - 10800) AT TIME ZONE 'UTC' AS DATE) AS d FROM mentions JOIN articles USING (article_id)) WHERE isodow(d) <= 5)""")
+
+
+@query("signals_history", f"""WITH {HISTORY}, z AS (SELECT ticker, at_s, sum(s * w) / sum(w) AS z, sum(w) AS n_eff, sum(s * s * w) AS ssw, sum(s * w) AS sw, count(*) AS n, count(*) FILTER (routed) AS r FROM we GROUP BY ALL)
+SELECT ticker, at_s AS asof_s, round(z, 4) + 0.0 AS z, round(n_eff, 4) + 0.0 AS n_eff, round(sqrt(greatest((ssw - 2 * z * sw + z * z * n_eff) / n_eff, 0)), 4) + 0.0 AS dispersion, n AS n_articles, r AS n_routed FROM z""")
 def q_history(spark, sf):
     ev = sinks.written(_evidence(spark, sf), "evidence")
     days = articles(spark, sf).select(timeutil.local_date(F.col("published_ts")).alias("date")).distinct().where(F.dayofweek("date").between(2, 6))
-    return signal.rebuild_history(ev, days.select(F.explode(F.array(*[F.lit(t) for t in WATCH])).alias("ticker"), "date"), _weights(spark, sf))
+    s = signal.rebuild_history(ev, days.select(F.explode(F.array(*[F.lit(t) for t in WATCH])).alias("ticker"), "date"), _weights(spark, sf))
+    return s.select("ticker", F.unix_timestamp("asof").alias("asof_s"), "z", "n_eff", "dispersion", "n_articles", "n_routed")
 
 
 @query("macro_contribution", f"""WITH {ARTICLES}, g AS (SELECT t.ticker, at_s FROM range(1, 61) r(k), (SELECT 1700000000 + k * 43200 AS at_s, k AS k2 FROM range(1, 61) q(k)) s, (VALUES ('AAAA3'), ('BBBB4')) t(ticker) WHERE k = k2),
@@ -414,15 +428,54 @@ def q_gold(spark, sf):
     return evaluate.scorer_accuracy(g).withColumn("accuracy", r6("accuracy"))
 
 
-@query("event_study")
+KINDS = ("click", "view", "purchase", "signup", "error")  #: the types of events, standing for entities
+_KIND = f"[{', '.join(repr(k) for k in KINDS)}][article_id % 5 + 1]"
+
+
+@query("event_study", f"""WITH {ARTICLES}, {LEX}, {BARS}, b AS (SELECT symbol, ts, close / lag(close) OVER w - 1 AS ret, epoch(ts) - epoch(lag(ts) OVER w) AS gap, lag(close) OVER w AS p FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), r AS (SELECT symbol, ts, ret FROM b WHERE gap <= 14400 AND p <> 0),
+m AS (SELECT ts, avg(ret) AS m FROM r GROUP BY ts HAVING count(*) >= 3), e AS (SELECT symbol AS ticker, epoch(ts) AS ts, ret - m AS res FROM r JOIN m USING (ts)),
+c AS (SELECT ticker, ts, {', '.join(f"CASE WHEN count(res) OVER w{k} = {k} THEN sum(res) OVER w{k} END AS c{k}" for k in (1, 5, 15))} FROM e WINDOW {', '.join(f"w{k} AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)" for k in (1, 5, 15))}),
+n AS (SELECT {_KIND} AS ticker, (SELECT min(ts) FROM e) + ts - 1700000000 AS ts, s * magnitude AS strength FROM sc JOIN articles USING (article_id)), j AS (SELECT n.ticker, c.ts, strength, c1, c5, c15 FROM n ASOF JOIN c ON n.ticker = c.ticker AND n.ts < c.ts),
+x AS (SELECT ticker, ts, round(avg(strength), 9) AS strength, count(*) AS m, first(c1) AS c1, first(c5) AS c5, first(c15) AS c15 FROM j GROUP BY ticker, ts),
+y AS ({' UNION ALL '.join(f"SELECT {k} AS k, strength, m, c{k} AS c FROM x WHERE c{k} IS NOT NULL" for k in (1, 5, 15))}),
+z AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY strength) + (count(*) OVER (PARTITION BY k, strength) - 1) / 2.0 AS a, rank() OVER (PARTITION BY k ORDER BY c) + (count(*) OVER (PARTITION BY k, c) - 1) / 2.0 AS b FROM y)
+SELECT k AS window, sum(m)::BIGINT AS n_events, count(*) AS n_cells, {R('corr(a, b)')} AS ic, {R('avg((sign(strength) = sign(c))::INT) FILTER (strength <> 0 AND c <> 0)')} AS hit_rate FROM z GROUP BY k""")
 def q_event_study(spark, sf):
     from ..operators import panel
 
     res = panel.cross_sectional_residual(panel.bar_returns(bars(spark, sf)), "ret", "ts").select(F.col("symbol").alias("ticker"), "ts", "residual")
     start = res.agg(F.min("ts").alias("t0"))
-    news = _scored(spark, sf).join(F.broadcast(start)).select(F.element_at(F.array(*[F.lit(x) for x in ("click", "view", "purchase", "signup", "error")]), (F.col("article_id") % 5 + 1).cast("int")).alias("ticker"), F.timestamp_seconds(F.unix_timestamp("t0") + F.unix_timestamp("published_ts") - 1_700_000_000).alias("published_ts"), (F.col("s") * F.col("magnitude")).alias("strength"))
+    news = _scored(spark, sf).join(F.broadcast(start)).select(_kind(), F.timestamp_seconds(F.unix_timestamp("t0") + F.unix_timestamp("published_ts") - 1_700_000_000).alias("published_ts"), (F.col("s") * F.col("magnitude")).alias("strength"))
     names = res.select("ticker").distinct()
-    return evaluate.event_study(news.join(names, "ticker", "left_semi"), res, (1, 5, 15))
+    return evaluate.event_study(news.join(names, "ticker", "left_semi"), res, (1, 5, 15)).withColumns({c: r6(c) for c in ("ic", "hit_rate")})
+
+
+def _kind():
+    return F.element_at(F.array(*[F.lit(x) for x in KINDS]), (F.col("article_id") % 5 + 1).cast("int")).alias("ticker")
+
+
+@query("weighting_schemes", f"""WITH {CLUSTERED}, {LEX}, {WEIGHTS}, nov AS (SELECT article_id, CASE WHEN cluster_id IS NULL THEN 1 ELSE 1 / sqrt(rank() OVER (PARTITION BY cluster_id ORDER BY ts)) END AS novelty FROM clustered),
+d AS (SELECT event_type AS ticker, ts::DATE AS date, sum(CAST(round(value * 1000) AS BIGINT))::DOUBLE / count(*) / 1000.0 AS close FROM events GROUP BY ALL), r AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM d), m AS (SELECT date, avg(ret) AS m FROM r WHERE ret IS NOT NULL GROUP BY date HAVING count(*) >= 3),
+t AS (SELECT ticker, date, lead(ret - m) OVER (PARTITION BY ticker ORDER BY date) AS y FROM r JOIN m USING (date) WHERE ret IS NOT NULL),
+n AS (SELECT {_KIND} AS ticker, (SELECT min(date) FROM d) + ((ts - 1700000000) // 86400)::INT AS date, s, novelty, coalesce(round(w.weight, 4), 0.35) AS sw FROM sc JOIN clustered USING (article_id) JOIN nov USING (article_id) LEFT JOIN weights w USING (domain)),
+x AS (SELECT 'equal' AS scheme, ticker, date, s, 1.0::DOUBLE AS w FROM n UNION ALL SELECT 'novelty', ticker, date, s, novelty FROM n UNION ALL SELECT 'sources', ticker, date, s, sw FROM n UNION ALL SELECT 'both', ticker, date, s, novelty * sw FROM n),
+z AS (SELECT scheme, ticker, date, round(sum(s * w) / sum(w), 9) AS z FROM x WHERE w > 0 GROUP BY ALL), j AS (SELECT scheme, z, y FROM z JOIN t USING (ticker, date) WHERE y IS NOT NULL),
+k AS (SELECT scheme, rank() OVER (PARTITION BY scheme ORDER BY z) + (count(*) OVER (PARTITION BY scheme, z) - 1) / 2.0 AS a, rank() OVER (PARTITION BY scheme ORDER BY y) + (count(*) OVER (PARTITION BY scheme, y) - 1) / 2.0 AS b FROM j)
+SELECT scheme, count(*) AS n, {R('corr(a, b)')} AS ic FROM k GROUP BY scheme""")
+def q_schemes(spark, sf):
+    from ..operators import panel
+
+    e = table(spark, sf, "events")
+    daily = e.groupBy(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date")).agg((F.sum(F.round(F.col("value") * 1000).cast("long")).cast("double") / F.count("*") / 1000.0).alias("close"))
+    res = panel.cross_sectional_residual(panel.returns(daily))
+    target = res.select("ticker", "date", F.lead("residual").over(Window.partitionBy("ticker").orderBy("date")).alias("next_abn"))
+    a = clustered(spark, sf)
+    nov = dedupe.novelty(a.select("article_id", "cluster_id", "published_ts")).select("article_id", "novelty")
+    days = F.floor((F.unix_timestamp("published_ts") - 1_700_000_000) / 86_400).cast("int")
+    news = _scored(spark, sf, a).join(nov, "article_id").join(_weights(spark, sf).select("domain", "weight"), "domain", "left").join(F.broadcast(daily.agg(F.min("date").alias("d0"))))
+    rows = news.select(_kind(), F.date_add("d0", days).alias("date"), "s", "novelty", F.coalesce("weight", F.lit(config.DEFAULT_SOURCE_WEIGHT)).alias("sw"))
+    schemes = {"equal": F.lit(1.0), "novelty": F.col("novelty"), "sources": F.col("sw"), "both": F.col("novelty") * F.col("sw")}
+    return evaluate.weighting_schemes(rows, target, schemes).withColumn("ic", r6("ic"))
 
 
 @query("alarms", f"""WITH {EV}, z AS (SELECT ticker, at_s, round(sum(s * w) / sum(w), 4) + 0.0 AS z, round(sum(w), 4) AS n_eff FROM we GROUP BY ALL), s AS (SELECT *, 1 / (1 + exp(-z)) AS pu, 1 / (1 + exp(z)) AS pd FROM z),

@@ -104,12 +104,3 @@ SELECT symbol, ts, {R('CASE WHEN count(res) OVER a = 1 THEN sum(res) OVER a END'
 def q_event_windows(spark, sf):
     res = panel.cross_sectional_residual(panel.bar_returns(bars(spark, sf)), "ret", "ts")
     return evaluate.event_windows(res, (1, 5), "symbol").select("symbol", "ts", r6("cum_1").alias("cum_1"), r6("cum_5").alias("cum_5"))
-
-
-@query("weighting_schemes")
-def q_schemes(spark, sf):
-    from pyspark.sql import Window
-
-    r = panel.returns(prices(spark, sf, "p_type")).withColumn("next_abn", F.lead("ret").over(Window.partitionBy("ticker").orderBy("date")))
-    rows = r.select("ticker", "date", F.col("ret").alias("s"), F.dayofmonth("date").alias("d"))
-    return evaluate.weighting_schemes(rows, r.where("next_abn is not null").select("ticker", "date", "next_abn"), {"novelty": 1 / F.sqrt("d"), "sources": F.col("d") % 7, "both": (F.col("d") % 7) / F.sqrt("d")}).withColumn("ic", r6("ic"))

@@ -147,10 +147,12 @@ class Encoder:
         self.vocab = vocabulary(path)
         self.pieces = Pieces(self._many)
 
-    def _many(self, new: list[str]) -> list[np.ndarray]:
+    def _many(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        new = new.to_pylist()
         plain = [p for p in new if p[:1] != "\0"]
         got = dict(zip(plain, self.vocab.encode_chunks(plain), strict=True))
-        return [got[p] if p in got else np.array([self.vocab.special[p[1:]]] if p[1:] in self.vocab.special else np.concatenate([np.zeros(0, np.int32), *self.vocab.encode_chunks([p])])) for p in new]
+        rows = [got[p] if p in got else np.array([self.vocab.special[p[1:]]] if p[1:] in self.vocab.special else np.concatenate([np.zeros(0, np.int32), *self.vocab.encode_chunks([p])])) for p in new]
+        return np.concatenate([np.zeros(0, np.int32), *rows]), np.fromiter(map(len, rows), np.int64, len(rows))
 
     def chunks(self, text: str) -> list[str]:
         """Pieces that encode on their own: special tokens (marked with U+0000) and runs without white space."""
@@ -166,7 +168,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each text."""
         cut = [self.chunks(t) for t in texts]
-        ids, size, _ = self.pieces.ids([p for c in cut for p in c])
+        ids, size = self.pieces.gather(self.pieces.slots(pa.array([p for c in cut for p in c], pa.string())))
         total = np.r_[0, np.cumsum(size)]
         return ids, np.diff(total[np.r_[0, np.cumsum([len(c) for c in cut])]])
 

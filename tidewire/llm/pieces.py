@@ -13,35 +13,37 @@ PIECES, IDS = 600_000, 6_000_000  #: when it holds more, the cache forgets the p
 
 
 class Pieces:
-    """Ids of pieces; encode_many turns a list of unseen pieces into a list of id sequences."""
+    """Ids of pieces; encode_many turns an array of unseen pieces into their ids in one array and the number of ids of each."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list]):
+    def __init__(self, encode_many: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
         self.encode_many = encode_many
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.known = pa.array([], pa.string())  # by slot
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def forget(self) -> None:
         """Keep the pieces seen more than once since the last time, up to half the room."""
-        n = len(self.slot)
+        n = len(self.known)
         keep = np.flatnonzero(self.seen[:n] > 1)
         keep = keep[np.argsort(-self.seen[keep], kind="stable")[: PIECES // 2]]
-        size = self.size[keep]
-        if size.sum() > IDS // 2:
+        if self.size[keep].sum() > IDS // 2:
             return self.clear()
-        pieces = list(self.slot)  # in the order of their slots
-        move = np.repeat(self.start[keep] - (np.cumsum(size) - size), size)
-        flat = self.flat[move + np.arange(len(move))]
+        known = self.known.take(pa.array(keep))
+        got = self.gather(keep)
         self.clear()
-        self.slot = {pieces[k]: i for i, k in enumerate(keep)}
-        self.used = len(flat)
-        self._room("flat", len(flat))[: len(flat)] = flat
-        self._room("size", len(keep))[: len(keep)] = size
-        self._room("start", len(keep))[: len(keep)] = np.cumsum(size) - size
-        self._room("seen", len(keep))
+        self._add(known, *got)
+
+    def _add(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(self.known) + len(pieces)
+        self._room("flat", self.used + len(ids))[self.used : self.used + len(ids)] = ids
+        self._room("size", m)[n:m] = sizes
+        self._room("seen", m)
+        self._room("start", m)[n:m] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.known = pa.concat_arrays([self.known, pieces])
 
     def _room(self, name: str, need: int) -> np.ndarray:
         a = getattr(self, name)
@@ -51,33 +53,33 @@ class Pieces:
             setattr(self, name, b)
         return getattr(self, name)
 
-    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all pieces in one array, the number of ids of each piece, and each piece's slot."""
-        if len(self.slot) > PIECES or self.used > IDS:
+    def slots(self, pieces: pa.Array) -> np.ndarray:
+        """Slot of each piece; unseen ones are encoded."""
+        if len(self.known) > PIECES or self.used > IDS:
             self.forget()
-        new = list(set(pieces).difference(self.slot))
-        if new:
-            got = self.encode_many(new)
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            n, total = len(self.slot), int(sizes.sum())
-            self._room("flat", self.used + total)[self.used : self.used + total] = np.concatenate([np.asarray(g, np.int32) for g in got])
-            self._room("size", n + len(new))[n : n + len(new)] = sizes
-            self._room("seen", n + len(new))
-            self._room("start", n + len(new))[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-            self.slot.update(zip(new, range(n, n + len(new)), strict=True))
-        at = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
-        self.seen[: len(self.slot)] += np.bincount(at, minlength=len(self.slot))
-        size = self.size[at]
-        move = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-        return self.flat[move + np.arange(len(move))], size, at
+        found = pieces.dictionary_encode()
+        at, each = found.indices.to_numpy(), found.dictionary
+        slot = pc.index_in(each, value_set=self.known)
+        new = each.filter(slot.is_null())
+        slot = slot.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            slot[slot < 0] = len(self.known) + np.arange(len(new))
+            self._add(new, *self.encode_many(new))
+        self.seen[slot] += np.bincount(at, minlength=len(each))
+        return slot[at]
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the slots' pieces in one array, and the number of ids of each."""
+        size = self.size[slots]
+        move = np.repeat(self.start[slots] - (np.cumsum(size) - size), size)
+        return self.flat[move + np.arange(len(move))], size
 
 
-def parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about CHARS bytes (one text at least)."""
+def parts(batch: pa.RecordBatch, text: int, size: int = CHARS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about size bytes (one text at least)."""
     length = np.nan_to_num(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)).astype(np.int64)
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(np.cumsum(length[lo:]), CHARS)) + lo)
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(length[lo:]), size)) + lo)
         yield batch.slice(lo, hi - lo)
         lo = hi

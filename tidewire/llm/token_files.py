@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,21 +17,29 @@ from .pieces import Pieces, parts
 
 ORC = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s|<\||^\0?$")
+SLICE = 8_000_000  #: bytes of text whose distinct pieces are looked up at once
+LINES = 16_000  #: unseen pieces that go to the library as one text
+_GAP = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"  # white space as Python has it
+_WIDE = f"^{_GAP}|{_GAP}$|{_GAP}{{2}}"
+_SEEN = r"([^\x{00}\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]) ([^\x{00}\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}])"
+_ODD = r"^ ?$|<\||(?s:. )|[\t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # marks, or white space besides a space in front
 
 
-def _chunks(text: str) -> list[str]:
-    """The text cut before single spaces; the first piece is marked with U+0000, the others lost their space.
+def _chunks(texts: pa.Array) -> pa.ListArray:
+    """Texts (without U+0000) cut before single spaces between visible characters; pieces keep their space.
 
-    Byte-level pre-tokenization binds a single space between visible characters to what follows and never
-    looks past it, so the pieces encode as they do within the text.
+    Byte-level pre-tokenization binds such a space to what follows and never looks past it, so the pieces encode as
+    they do within the text. Where white space stands at an end or in runs, the pattern says which spaces are single;
+    it runs twice, as neighbours share a character.
     """
-    seen = text.split()
-    single = seen and len(text) - sum(map(len, seen)) == len(seen) - 1 and not text[0].isspace() and not text[-1].isspace()
-    out = text.split(" ") if single else _CUT.split(text)
-    out[0] = "\0" + out[0]
-    return out
+    wide = pc.match_substring_regex(texts, _WIDE)
+    cut = pc.replace_substring(texts, " ", "\0 ")
+    if pc.any(wide).as_py():
+        odd = pc.filter(texts, wide)
+        for _ in range(2):
+            odd = pc.replace_substring_regex(odd, _SEEN, "\\1\0 \\2")
+        cut = pc.replace_with_mask(cut, wide, odd)
+    return pc.split_pattern(cut, "\0")
 
 
 class Encoder:
@@ -47,33 +55,40 @@ class Encoder:
         self.line = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.pieces = Pieces(self._many)
 
-    def _many(self, new: list[str]) -> list:
-        """Ids of pieces; those without white space or marks go as lines of one text, cut again at the line ends' ids."""
-        plain = [i for i, p in enumerate(new) if not _ODD.search(p)]
-        lines = "\n".join([p[1:] if p[:1] == "\0" else " " + p for p in map(new.__getitem__, plain)] + [""])
-        ids = np.array(self.tok.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.int32)
+    def _many(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and their numbers; those without inner white space or marks go as lines of one text, cut again at the line ends' ids."""
+        rest = pc.match_substring_regex(new, _ODD)
+        odd = np.flatnonzero(rest.to_numpy(zero_copy_only=False))
+        lines = new.filter(pc.invert(rest)).to_pylist()
+        sheets = ["\n".join([*lines[i : i + LINES], ""]) for i in range(0, len(lines), LINES)]
+        ids = np.concatenate([np.zeros(0, np.int32), *[np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(sheets, add_special_tokens=False)]])
         ends = np.flatnonzero(ids == self.line)
-        out: list = [None] * len(new)
-        for i, s, e in zip(plain, np.r_[0, ends[:-1] + 1], ends, strict=True):
-            out[i] = ids[s:e]
-        odd = [i for i, x in enumerate(out) if x is None]
-        got = self.tok.encode_batch_fast([new[i][1:] if new[i][:1] == "\0" else " " + new[i] for i in odd], add_special_tokens=False)
-        for i, e in zip(odd, got, strict=True):
-            out[i] = e.ids
-        return out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array and the number of ids of each text."""
-        cut = [_chunks(t) if "\0" not in t else [] for t in texts]
-        ids, size, _ = self.pieces.ids([p for c in cut for p in c])
-        ends = np.cumsum([len(c) for c in cut])
-        total = np.r_[0, np.cumsum(size)]
-        n = np.diff(np.r_[0, total[ends]])
-        odd = [i for i, t in enumerate(texts) if "\0" in t]
-        if odd:
+        size = np.zeros(len(new), np.int64)
+        plain = np.ones(len(new), bool)
+        plain[odd] = False
+        size[plain] = np.diff(np.r_[-1, ends]) - 1
+        ids = np.delete(ids, ends)
+        if len(odd):
+            got = [e.ids for e in self.tok.encode_batch_fast(new.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+            at = np.cumsum(size)[odd]  # where each stands among the others' ids
+            size[odd] = list(map(len, got))
+            ids = np.insert(ids, np.repeat(at, size[odd]), np.array([x for g in got for x in g], np.int32))
+        return ids, size
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array and the number of ids of each text (null: none)."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        nul = pc.match_substring(texts, "\0")
+        odd = np.flatnonzero(nul.to_numpy(zero_copy_only=False))
+        if len(odd):
+            texts, whole = pc.if_else(nul, "", texts), [texts[int(i)].as_py() for i in odd]
+        cut = _chunks(texts)
+        ids, size = self.pieces.gather(self.pieces.slots(cut.flatten()))
+        n = np.diff(np.r_[0, np.cumsum(size)][np.asarray(cut.offsets) - cut.offsets[0].as_py()])
+        if len(odd):
             rows = np.split(ids, np.cumsum(n)[:-1])
-            for i in odd:
-                rows[i] = np.asarray(self.tok.encode(texts[i], add_special_tokens=False).ids, np.int32)
+            for i, t in zip(odd, whole, strict=True):
+                rows[i] = np.asarray(self.tok.encode(t, add_special_tokens=False).ids, np.int32)
             ids, n = np.concatenate(rows), np.array([len(r) for r in rows])
         return ids, n
 
@@ -95,9 +110,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
     def run(batches):
         enc, before = encoder(tokenizer), 0
         for whole in batches:
-            for b in parts(whole, 1):
-                texts = [t or "" for t in b.column(1).to_pylist()]
-                ids, n = enc.encode(texts)
+            for b in parts(whole, 1, SLICE):
+                ids, n = enc.encode(b.column(1))
                 ends = np.cumsum(n)
                 ids = np.insert(ids, ends, end_id)
                 n = n + 1

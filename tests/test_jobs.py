@@ -1,6 +1,7 @@
 """Jobs against plain Python on hand-made and random rows."""
 
 import datetime as dt
+import hashlib
 import json
 import random
 
@@ -27,7 +28,16 @@ def test_text(spark):
     assert one(spark, text.figures, "R$ 3,8 bi e 3.8 bilhoes, 12 mil, 1.5 milhões") == [1.5e6, 3.8e9]
     assert one(spark, lambda c: text.simhash(c, "md5"), "") == one(spark, lambda c: text.simhash(c, "md5"), None)
     a = one(spark, text.simhash, "um dois tres quatro cinco")
-    assert 0 < a < 2**63 and a == text._simhash("um dois tres quatro cinco", "blake2b", 63)
+    assert 0 < a < 2**63 and a == plain_simhash("um dois tres quatro cinco", hashlib.blake2b)
+    some = ["", "um", "a b", "a b c d", "x " * 50, *(" ".join(f"w{i * k % 11}" for i in range(k)) for k in range(3, 40))]
+    assert text._simhashes(some, "blake2b", 63).tolist() == [plain_simhash(t, hashlib.blake2b) for t in some]
+    assert text._simhashes(some, "md5", 63).tolist() == [plain_simhash(t, hashlib.md5) for t in some]
+
+
+def plain_simhash(t, hash):
+    w = t.split()
+    got = [hash(" ".join(w[i : i + 3]).encode(), **({"digest_size": 8} if hash is hashlib.blake2b else {})).digest()[:8] for i in range(max(1, len(w) - 2))]
+    return sum(1 << i for i in range(63) if 2 * sum(int.from_bytes(h, "big") >> i & 1 for h in got) > len(got))
 
 
 def lexicon(spark, title, **kw):
@@ -248,3 +258,25 @@ def test_documents(spark):
     assert [list(x.pages) for x in got] == [[1, 2], [3], [4]] and "".join(x.text for x in got) == t
     pages = spark.createDataFrame([("https://x.com/ri/", '<a href="rel.pdf#z">Resultado &amp; x</a> <a href="https://y.com/a.pdf">no</a> <a class=b href=\'/f/wp-json.pdf\'>no</a><a href="/plain">no</a>')], "url string, html string")
     assert [tuple(r) for r in documents.extract_links(pages).collect()] == [("https://x.com/ri/", "https://x.com/ri/rel.pdf", "Resultado & x", "RESULTADO")]
+
+
+def test_first_near_in_tiles(spark, monkeypatch):
+    """The earliest earlier row within 12 bits, whatever the tiles; copies, ties of time and repeated SimHashes included."""
+    rng = random.Random(8)
+    base = [rng.getrandbits(63) for _ in range(5)]
+    rows = []
+    for i in range(160):
+        sig, ts = base[i % 5], rng.choice([rng.randrange(0, 900), 100, 250])
+        for _ in range(rng.choice([0, 0, 3, 9, 14])):
+            sig ^= 1 << rng.randrange(63)
+        rows.append((i, ts, sig, ts - 299))
+    want = {}
+    for b, tb, sb, lo in rows:
+        met = [(ta, a) for a, ta, sa, _ in rows if (ta, a) < (tb, b) and ta >= lo and (sa ^ sb).bit_count() <= 12]
+        if met:
+            want[b] = min(met)
+    df = spark.createDataFrame(rows, "article_id long, ts long, sig long, lo long")
+    for tile in (8192, 25):
+        monkeypatch.setattr(dedupe, "TILE", tile)
+        assert {r.b: (r.ta, r.a) for r in dedupe._first_near(df, 300).collect()} == want
+    assert dedupe._first_near(df.limit(0), 300).count() == 0

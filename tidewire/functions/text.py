@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,16 +59,20 @@ def figures(text: Column, magnitudes: dict[str, float] = config.MAGNITUDES) -> C
     return F.array_sort(F.array_distinct(four))
 
 
-def _simhash(text: str, name: str, bits: int) -> int:
-    toks = text.split()
-    shingles = [" ".join(toks[i : i + 3]) for i in range(max(1, len(toks) - 2))] if toks else [""]
-    count = [0] * bits
-    for s in shingles:
-        raw = hashlib.blake2b(s.encode(), digest_size=8).digest() if name == "blake2b" else hashlib.md5(s.encode()).digest()[:8]
-        h = int.from_bytes(raw, "big")
-        for i in range(bits):
-            count[i] += 1 if h >> i & 1 else -1
-    return sum(1 << i for i in range(bits) if count[i] > 0)
+def _simhashes(texts: list[str], name: str, bits: int) -> np.ndarray:
+    """SimHashes of many normal forms at once: bits of all shingles' hashes are summed up by text."""
+    words = [t.split() for t in texts]
+    n = np.fromiter((max(1, len(w) - 2) for w in words), np.int64, len(words))
+    shingles = [" ".join(w[i : i + 3]).encode() for w, k in zip(words, n.tolist(), strict=True) for i in range(k)]
+    if not shingles:
+        return np.zeros(0, np.int64)
+    raw = b"".join(hashlib.blake2b(s, digest_size=8).digest() if name == "blake2b" else hashlib.md5(s).digest()[:8] for s in shingles)
+    h = np.frombuffer(raw, ">u8").astype(np.uint64)
+    start, out = np.r_[0, np.cumsum(n)[:-1]], np.zeros(len(words), np.uint64)
+    for i in range(bits):
+        set_ = np.add.reduceat((h >> np.uint64(i) & np.uint64(1)).astype(np.int64), start)
+        out |= (2 * set_ > n).astype(np.uint64) << np.uint64(i)
+    return out.view(np.int64)
 
 
 def simhash(text: Column, hash: str = "blake2b", bits: int = 63) -> Column:
@@ -75,7 +80,7 @@ def simhash(text: Column, hash: str = "blake2b", bits: int = 63) -> Column:
 
     @F.pandas_udf("long")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: _simhash(t or "", hash, bits))
+        return pd.Series(_simhashes([t or "" for t in s], hash, bits))
 
     return run(norm(text))
 

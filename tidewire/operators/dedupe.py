@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .. import config
 from ..functions.text import content_tokens, figures, same_story, simhash
 from ..sources.sinks import written
 
+TILE = 8192  #: rows of a tile in which SimHashes are compared
+
 
 def story_features(articles: DataFrame, with_simhash: bool = True) -> DataFrame:
     """(article_id, ts seconds, toks, figs, sig): of the title; the SimHash also sees 400 characters of the body."""
@@ -18,42 +22,80 @@ def story_features(articles: DataFrame, with_simhash: bool = True) -> DataFrame:
 
 
 def _keys(f: DataFrame) -> DataFrame:
-    """(article_id, key): such that any two stories that match share a key.
+    """(article_id, key): such that any two stories that match by their tokens or figures share a key.
 
-    Rare tokens (the prefix filter of Jaccard >= .55 over tokens ordered by their frequency), figures, and bands of
-    the SimHash (13 bands: of at most 12 differing bits one band is free).
+    Rare tokens (the prefix filter of Jaccard >= .55 over tokens ordered by their frequency) and figures.
     """
     tok = f.select("article_id", F.explode("toks").alias("tok"))
     freq = tok.groupBy("tok").agg(F.count("*").alias("df"))
     ranked = tok.join(freq, "tok").withColumn("k", F.row_number().over(Window.partitionBy("article_id").orderBy("df", "tok"))).withColumn("n", F.count("*").over(Window.partitionBy("article_id")))
     rare = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * config.JACCARD_MIN - 1e-9) + 1).select("article_id", F.concat(F.lit("t"), "tok").alias("key"))
     figs = f.select("article_id", F.explode("figs").alias("x")).select("article_id", F.concat(F.lit("f"), F.col("x").cast("string")).alias("key"))
-    slices = F.array(*[F.concat(F.lit(f"s{i}-"), F.shiftright("sig", 5 * i).bitwiseAND(31).cast("string")) for i in range(13)])
-    bands = f.where("sig is not null").select("article_id", F.explode(slices).alias("key"))
-    return rare.unionByName(figs).unionByName(bands)
+    return rare.unionByName(figs)
+
+
+def _first_near(rows: DataFrame, span: int) -> DataFrame:
+    """(b, ta, a): for each row the earliest earlier one, not before its time lo, within HAMMING_MAX bits of its SimHash.
+
+    rows: (article_id, ts, sig, lo). Rows meet by spans of time, and a busy span is cut into pairs of tiles of bounded
+    size. Of each tile's matches only the earliest a row comes out, so copies make no pairs.
+    """
+    kind = rows.schema["article_id"].dataType.simpleString()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["ts", "article_id", "early"])  # a row itself stands after its own question
+        is_early = g["early"].to_numpy()
+        early, late = g[is_early], g[~is_early]
+        ts, sig = early["ts"].to_numpy(), early["sig"].to_numpy()
+        end = np.cumsum(is_early)[~is_early]  # early rows before each late one
+        start = np.searchsorted(ts, late["lo"].to_numpy())
+        at, who = np.arange(len(early))[:, None], []
+        for k in range(0, len(late), 256):
+            some = slice(k, k + 256)
+            lo, hi = int(start[some].min()), int(end[some].max())
+            if lo >= hi:
+                continue
+            apart = np.bitwise_count(sig[lo:hi, None] ^ late["sig"].to_numpy()[None, some])
+            ok = (apart <= config.HAMMING_MAX) & (at[lo:hi] >= start[some]) & (at[lo:hi] < end[some])
+            hit = np.flatnonzero(ok.any(axis=0))
+            who.append(np.stack([hit + k, ok.argmax(axis=0)[hit] + lo]))
+        b, a = np.concatenate(who, axis=1) if who else np.zeros((2, 0), int)
+        return pd.DataFrame({"b": late["article_id"].to_numpy()[b], "ta": ts[a], "a": early["article_id"].to_numpy()[a]})
+
+    day = F.floor(F.col("ts") / span)
+    both = rows.withColumns({"day": day, "early": F.lit(True)}).unionByName(rows.withColumns({"day": F.explode(F.array(day, day - 1)), "early": F.lit(False)}))
+    tiles = both.groupBy("day").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = both.join(tiles, "day").withColumn("own", F.pmod(F.xxhash64("article_id"), "tiles").cast("int")).withColumn("other", other)
+    dealt = dealt.withColumns({"p": F.when(F.col("early"), F.col("own")).otherwise(F.col("other")), "q": F.when(F.col("early"), F.col("other")).otherwise(F.col("own"))})
+    got = dealt.select("day", "p", "q", "article_id", "ts", "sig", "lo", "early").groupBy("day", "p", "q").applyInPandas(run, f"b {kind}, ta long, a {kind}")
+    return got.groupBy("b").agg(F.min(F.struct("ta", "a")).alias("m")).select("b", "m.ta", "m.a")
 
 
 def parents(articles: DataFrame, window_hours: float = 48, step_hours: float | None = None, use_simhash: bool = True) -> DataFrame:
     """(article_id, ts, parent): the earliest earlier article (ties by id) within window_hours that is the same story.
 
     With step_hours, articles are seen through windows of that step that end at the first time + window + k * step:
-    one looks back to the start of the first window that shows it.
+    one looks back to the start of the first window that shows it. Articles without a time or id have no parent.
     """
     span = int(window_hours * 3600)
     f = written(story_features(articles, use_simhash), "stories")
-    keys = _keys(f).join(f.select("article_id", "ts"), "article_id")
-    day = F.floor(F.col("ts") / span)
-    late = keys.select(F.col("article_id").alias("b"), "key", F.explode(F.array(day, day - 1)).alias("day"), F.col("ts").alias("tb"))
-    early = keys.select(F.col("article_id").alias("a"), "key", day.alias("day"), F.col("ts").alias("ta"))
-    before = (F.struct("ta", "a") < F.struct("tb", "b")) & (F.col("tb") - F.col("ta") < span)
+    lo = F.col("ts") - (span - 1)
     if step_hours:
         step, t0 = int(step_hours * 3600), f.agg(F.min("ts")).first()[0] or 0
-        start = F.lit(t0) + F.ceil(F.greatest(F.lit(0), F.col("tb") - t0 - span) / step) * step
-        before = (F.struct("ta", "a") < F.struct("tb", "b")) & ((F.col("ta") > start) | ((start == t0) & (F.col("ta") == t0)))
-    pairs = late.join(early, ["key", "day"]).where(before).select("a", "b", "ta").distinct()
+        start = F.lit(t0) + F.ceil(F.greatest(F.lit(0), F.col("ts") - t0 - span) / step) * step
+        lo = F.when(start == t0, F.lit(t0)).otherwise(start + 1)
+    seen = f.withColumn("lo", lo.cast("long")).where("ts is not null and article_id is not null")
+    keys = _keys(f).join(seen.select("article_id", "ts", "lo"), "article_id")
+    day = F.floor(F.col("ts") / span)
+    late = keys.select(F.col("article_id").alias("b"), "key", F.explode(F.array(day, day - 1)).alias("day"), F.col("ts").alias("tb"), "lo")
+    early = keys.select(F.col("article_id").alias("a"), "key", day.alias("day"), F.col("ts").alias("ta"))
+    pairs = late.join(early, ["key", "day"]).where((F.struct("ta", "a") < F.struct("tb", "b")) & (F.col("ta") >= F.col("lo"))).select("a", "b", "ta").distinct()
     side = lambda p: f.select(*[F.col(c).alias(p + c) for c in ("article_id", "toks", "figs", "sig")])
     j = pairs.join(side("a_"), F.col("a") == F.col("a_article_id")).join(side("b_"), F.col("b") == F.col("b_article_id"))
-    same = j.where(same_story(*[F.col(p + c) for c in ("toks", "sig", "figs") for p in ("a_", "b_")]))
+    same = j.where(same_story(*[F.col(p + c) for c in ("toks", "sig", "figs") for p in ("a_", "b_")])).select("b", "ta", "a")
+    if use_simhash:
+        same = same.unionByName(_first_near(seen.where("sig is not null").select("article_id", "ts", "sig", "lo"), span))
     best = same.groupBy("b").agg(F.min(F.struct("ta", "a")).alias("m")).select(F.col("b").alias("article_id"), F.col("m.a").alias("parent"))
     return f.select("article_id", "ts").join(best, "article_id", "left")
 

@@ -174,7 +174,7 @@ def q_novelty(spark, sf):
 
 @query("story_clusters")
 def q_clusters(spark, sf):
-    return dedupe.cluster(articles(spark, sf), 48, use_simhash=False)
+    return dedupe.cluster(articles(spark, sf), 48)
 
 
 @query("story_clusters_history")

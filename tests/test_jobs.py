@@ -280,3 +280,26 @@ def test_first_near_in_tiles(spark, monkeypatch):
         monkeypatch.setattr(dedupe, "TILE", tile)
         assert {r.b: (r.ta, r.a) for r in dedupe._first_near(df, 300).collect()} == want
     assert dedupe._first_near(df.limit(0), 300).count() == 0
+
+
+def test_shuffled_keeps_groups(spark):
+    rows = [(g, i, float(100 * g + i)) for g in range(3) for i in range(20 + g)]
+    df = spark.createDataFrame(rows, "g long, i long, v double")
+    for by in ((), ("g",)):
+        got = evaluate.shuffled(df, "v", 3, by).collect()
+        assert len(got) == 3 * len(rows) and {(r.perm, r.g, r.i) for r in got} == {(p, g, i) for p in (1, 2, 3) for g, i, _ in rows}
+        for p in (1, 2, 3):
+            mine = [r for r in got if r.perm == p]
+            assert sorted(r.v for r in mine) == sorted(v for _, _, v in rows)
+            assert any(r.v != 100 * r.g + r.i for r in mine)
+            if by:
+                assert all(r.v // 100 == r.g for r in mine)
+
+
+def test_permutation_ic(spark):
+    rng = random.Random(4)
+    x = [rng.random() for _ in range(120)]
+    near = evaluate.permutation_ic(spark.createDataFrame([(v, v + rng.random() / 10) for v in x], "x double, y double"), "x", "y", 60).first()
+    none = evaluate.permutation_ic(spark.createDataFrame([(v, rng.random()) for v in x], "x double, y double"), "x", "y", 60).first()
+    assert near.ic > 0.9 and abs(near.p_value - 1 / 61) < 1e-9 and near.n == 120
+    assert 0.1 < near.null_p95 < 0.3 and 0.1 < none.null_p95 < 0.3 and abs(none.ic) < 0.3

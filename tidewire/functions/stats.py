@@ -38,6 +38,16 @@ def prefix_counts(values: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return got.select(*values.columns, *[(F.col(c + "_in") + F.col(c + "_off")).alias(c + "_before") for c in cols])
 
 
+def row_index(df: DataFrame, order: list, out: str = "k_") -> DataFrame:
+    """df with the place of each row in the order of all rows, from 0; ties stand in any order. Rows are dealt by range and
+    written, a task numbers its own, and a row for each partition carries the offsets."""
+    dealt = written(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "ranges")
+    outer = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(outer), F.lit(0)).alias("off_"))
+    at = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
+    return dealt.withColumn(out, at).join(F.broadcast(offsets), "part_").withColumn(out, F.col(out) + F.col("off_")).drop("part_", "off_")  # a row a partition
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, least: int = 3) -> DataFrame:
     """Rank correlation with tied ranks averaged: (by..., ic, n); ic null under `least` rows or without variance."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

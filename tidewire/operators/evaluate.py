@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.text import norm
+from ..sources.sinks import written
 from .asof import asof_join
 
 
@@ -107,19 +108,18 @@ def shuffled(df: DataFrame, value: str, perms: int, by: list[str] = (), seed: in
     """df once a permutation (column perm from 1) with `value` dealt anew among the rows of the same group: the k-th row by a
     hash takes the value of the k-th row by its own order. df should be the small side: it is repeated perms times."""
     by, keys = list(by), [c for c in df.columns if c != value]
-    many = df.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
-    h = F.xxhash64(F.lit(seed), "perm", *keys)
-    k1 = F.row_number().over(Window.partitionBy("perm", *by).orderBy(h, *keys))
-    k2 = F.row_number().over(Window.partitionBy("perm", *by).orderBy(*([order] if order else keys)))
-    left = many.withColumn("k_", k1).drop(value)
-    right = many.withColumn("k_", k2).select("perm", *by, "k_", value)
-    return left.join(right, ["perm", *by, "k_"]).drop("k_")
+    many = df.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms)))).withColumn("h_", F.xxhash64(F.lit(seed), "perm", *keys))
+    # groups stand in one order on both sides and are as large, so places in the whole order meet within their group
+    left = stats.row_index(many.drop(value), ["perm", *by, "h_", *keys]).drop("h_")
+    right = stats.row_index(many.select("perm", *df.columns), ["perm", *by, *([order] if order else keys)]).select("k_", value)
+    return left.join(right, "k_").drop("k_")
 
 
 def permutation_ic(df: DataFrame, x: str, y: str, perms: int = 500, seed: int = 1) -> DataFrame:
     """(ic, n, p_value, null_p95): rank correlation against that with y shuffled; p by |ic| with the observed counted in."""
     obs = stats.spearman(df, x, y)
     rows = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("id_", F.monotonically_increasing_id())
+    rows = written(rows, "pairs")  # so that ids stay as they are
     null = stats.spearman(shuffled(rows, y, perms, (), seed), x, y, ["perm"]).select(F.col("ic").alias("null_ic"))
     j = null.join(F.broadcast(obs))
     return j.groupBy("ic", "n").agg(((F.count_if(F.abs("null_ic") >= F.abs("ic")) + 1) / (F.count("*") + 1)).alias("p_value"), F.percentile(F.abs("null_ic"), 0.95).alias("null_p95"))

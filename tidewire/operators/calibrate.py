@@ -60,21 +60,18 @@ def predict_isotonic(x: Column, knots: list[tuple[float, float]]) -> Column:
 
 
 def platt(x: np.ndarray, n: np.ndarray, s: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """(a, b) of P = 1 / (1 + exp(-(a x + b))) by Newton steps on sums over distinct x."""
-    a, b = 0.0, math.log(max(1e-6, s.sum()) / max(1e-6, n.sum() - s.sum()))
+    """(a, b) of P = 1 / (1 + exp(-(a x + b))) by reweighted least squares on sums over distinct x: n rows, s of them hits."""
+    design = np.stack([x, np.ones(len(x))], axis=1)
+    hits = s.sum()
+    coef = np.array([0.0, math.log(max(1e-6, hits) / max(1e-6, n.sum() - hits))])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -35, 35)))
-        r, w = n * p - s, n * np.maximum(1e-9, p * (1 - p))
-        ga, gb = (r * x).sum(), r.sum()
-        haa, hab, hbb = (w * x * x).sum() + 1e-6, (w * x).sum(), w.sum() + 1e-6
-        det = haa * hbb - hab * hab
-        if abs(det) < 1e-12:
+        p = 1 / (1 + np.exp(-np.clip(design @ coef, -35, 35)))
+        weight = n * np.maximum(1e-9, p * (1 - p))
+        step = np.linalg.solve(design.T @ (design * weight[:, None]) + 1e-6 * np.eye(2), design.T @ (s - n * p))
+        coef += step
+        if np.abs(step).max() < 1e-10:
             break
-        da, db = (ga * hbb - gb * hab) / det, (gb * haa - ga * hab) / det
-        a, b = a - da, b - db
-        if abs(da) < 1e-10 and abs(db) < 1e-10:
-            break
-    return float(a), float(b)
+    return float(coef[0]), float(coef[1])
 
 
 def fit_platt(df: DataFrame, x: str, y: str) -> tuple[float, float]:

@@ -406,10 +406,14 @@ def q_random_days(spark, sf):
     return evaluate.random_day_control(_abn(spark, sf), s, 30)
 
 
-@query("asymmetry_persistence")
+@query("asymmetry_persistence", f"""WITH {prices_sql()}, {returns_sql()}, m AS (SELECT date, avg(ret) AS x FROM rets GROUP BY date HAVING count(*) >= 3), i AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM rets)),
+a AS (SELECT ticker, i // 378 AS cut, i % 378 < 252 AS past, regr_slope(ret, x) FILTER (x < 0) - regr_slope(ret, x) FILTER (x > 0) AS a, least(count(*) FILTER (x < 0), count(*) FILTER (x > 0)) AS n FROM rets JOIN m USING (date) JOIN i USING (date) GROUP BY ALL),
+o AS (SELECT cut, p.a AS x, f.a AS y FROM a p JOIN a f USING (ticker, cut) WHERE p.past AND NOT f.past AND p.n >= 10 AND f.n >= 3 AND p.a IS NOT NULL AND f.a IS NOT NULL),
+r AS (SELECT cut, rank() OVER (PARTITION BY cut ORDER BY x) + (count(*) OVER (PARTITION BY cut, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY cut ORDER BY y) + (count(*) OVER (PARTITION BY cut, y) - 1) / 2.0 AS b FROM o),
+c AS (SELECT cut, corr(a, b) AS ic FROM r GROUP BY cut HAVING count(*) >= 3) SELECT count(*) AS n_cuts, {R('avg(ic)')} AS mean_ic, {R('avg(ic) / (stddev_samp(ic) / sqrt(count(*)))')} AS t FROM c WHERE ic IS NOT NULL""")
 def q_asym_persistence(spark, sf):
     rets = _rets(spark, sf)
-    return evaluate.asymmetry_persistence(rets, panel.market_return(rets), 252, 126, 10)
+    return evaluate.asymmetry_persistence(rets, panel.market_return(rets), 252, 126, 10).withColumns({c: r6(c) for c in ("mean_ic", "t")})
 
 
 @query("direction_horizons")

@@ -5,10 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: CRC-32 in DuckDB: the table's CTE (in a recursive WITH, for a FROM clause as `crc`), and the checksum of an ASCII text.
+CRC_TABLE = """bits(i, v, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])))"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,3 +97,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def positions(df: DataFrame, tree: str, order: list[str], name: str) -> DataFrame:
+    """df, written, with pos (place from 0 within its tree by order, nulls first) and n (rows of the tree).
+
+    tree must not be null. Rows are dealt by range of (tree, order), so a tree of any share of the rows spreads over
+    tasks, and equal rows are dealt apart too; a row per task and tree adds up to the offsets.
+    """
+    at, mid, lo, before = fresh(df, "at", "mid", "lo", "before")
+    keys = [F.col(c).asc_nulls_first() for c in (tree, *order)]
+    dealt = df.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(*keys, F.col(at)).sortWithinPartitions(*keys, at).drop(at)
+    rows = save(dealt.withColumn(mid, F.monotonically_increasing_id()), name)  # task number in the upper bits, row number below
+    part = F.shiftright(mid, 33)
+    runs = rows.groupBy(tree, part.alias(at)).agg(F.min(mid).alias(lo), F.count("*").alias("n"))
+    of = Window.partitionBy(tree)
+    first = F.coalesce(F.sum("n").over(of.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before)
+    offsets = runs.select(tree, at, lo, first, F.sum("n").over(of).alias("n"))
+    return rows.withColumn(at, part).join(offsets, [tree, at]).withColumn("pos", F.col(mid) - F.col(lo) + F.col(before)).drop(at, mid, lo, before)

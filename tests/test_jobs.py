@@ -260,8 +260,8 @@ def test_documents(spark):
     assert [tuple(r) for r in documents.extract_links(pages).collect()] == [("https://x.com/ri/", "https://x.com/ri/rel.pdf", "Resultado & x", "RESULTADO")]
 
 
-def test_first_near_in_tiles(spark, monkeypatch):
-    """The earliest earlier row within 12 bits, whatever the tiles; copies, ties of time and repeated SimHashes included."""
+def test_first_near(spark):
+    """The earliest earlier row within 12 bits; copies, ties of time and repeated SimHashes included."""
     rng = random.Random(8)
     base = [rng.getrandbits(63) for _ in range(5)]
     rows = []
@@ -276,12 +276,94 @@ def test_first_near_in_tiles(spark, monkeypatch):
         if met:
             want[b] = min(met)
     df = spark.createDataFrame(rows, "article_id long, ts long, sig long, lo long")
-    for tile in (8192, 25):
-        monkeypatch.setattr(dedupe, "TILE", tile)
-        assert {r.b: (r.ta, r.a) for r in dedupe._first_near(df, 300).collect()} == want
+    assert {r.b: (r.ta, r.a) for r in dedupe._first_near(df, 300).collect()} == want
     assert dedupe._first_near(df.limit(0), 300).count() == 0
 
 
+def test_near_signatures(spark):
+    """Every pair within 12 bits once, none beyond, at every distance; dealt rows grow with the SimHashes alone."""
+    rng = random.Random(5)
+    sigs = [rng.getrandbits(63) for _ in range(12)]
+    for base in sigs[:6]:
+        for far in range(1, 16):
+            sigs.append(base ^ sum(1 << i for i in rng.sample(range(63), far)))
+        sigs.append(base ^ sum(1 << i for i in range(12)))  # all in one band
+    df = spark.createDataFrame([(s, 0) for s in sigs], "cls long, day long")
+    got = sorted((r.b_cls, r.a_cls) for r in dedupe.near_signatures(df, df).collect())
+    assert got == sorted((b, a) for b in sigs for a in sigs if (a ^ b).bit_count() <= config.HAMMING_MAX)
+    assert sum(r + 1 for _, _, r in dedupe.BANDS) > config.HAMMING_MAX and sum(w for _, w, _ in dedupe.BANDS) == 63
+    n = {late: df.select(F.size(dedupe._probes(F.col("cls"), late)).alias("n")).distinct().collect() for late in (True, False)}
+    assert [len(x) for x in n.values()] == [1, 1] and n[True][0].n + n[False][0].n < 300
+
+
+def test_clusters_of_copies(spark):
+    """Half of the articles are copies of one; a day's classes, not its articles, meet each other."""
+    words = [f"w{i}" for i in range(400)]
+    rng = random.Random(6)
+    rows = [(i, "mesma noticia repetida do dia", "corpo igual", T0 + dt.timedelta(minutes=20 * i)) for i in range(300)]
+    rows += [(1000 + i, " ".join(rng.sample(words, 6)), " ".join(rng.sample(words, 30)), T0 + dt.timedelta(minutes=rng.randrange(6000))) for i in range(300)]
+    df = spark.createDataFrame(rows, "article_id long, title string, body string, published_ts timestamp")
+    got = {r.article_id: r.parent for r in dedupe.parents(df).collect()}
+    assert all(got[i] == (max(0, i - 143) if i else None) for i in range(300))  # the copy 48 hours less a second before, or the first
+    assert all(got[1000 + i] is None or got[1000 + i] >= 1000 for i in range(300))
+
+
+def test_rolling_exposures(spark):
+    """Windows that overlap, end between sessions, hold too few or reach before the first, against NumPy on each."""
+    rng = np.random.default_rng(11)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(90)]
+    x = {d: rng.normal(size=3) * 0.01 for d in days if d.day != 13}
+    drivers = [(f"d{i}", d, float(v[i])) for d, v in x.items() for i in range(3)] + [("d0", dt.date(2024, 1, 13), 0.5)]
+    rets, asofs = [], [days[20], days[40], days[41], dt.date(2024, 3, 15), dt.date(2025, 1, 1)]
+    for n, t in enumerate(("A", "B", "C")):
+        rets += [(t, d, float(v @ np.array([1.0, -0.5, n]) + rng.normal() * 0.002)) for d, v in x.items() if d > days[25 * n] and rng.random() < 0.9]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = {(r.ticker, r.asof, r.driver): r for r in exposure.rolling_exposures(frame(rets, "ticker string, date date, ret double"), frame(drivers, "driver string, date date, ret double"), frame([(a,) for a in asofs], "asof date"), 30, 12).collect()}
+    want = {}
+    for t in ("A", "B", "C"):
+        for a in asofs:
+            mine = sorted((d, y) for k, d, y in rets if k == t and d < a and d in x)[-30:]
+            if len(mine) < 12:
+                continue
+            m, y = np.array([x[d] for d, _ in mine]), np.array([v for _, v in mine])
+            z = (m - m.mean(0)) / m.std(0)
+            b = np.linalg.solve(z.T @ z + np.eye(3), z.T @ (y - y.mean()))
+            r2 = 1 - ((y - y.mean() - z @ b) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+            want |= {(t, a, f"d{i}"): (b[i], abs(b[i]) / np.abs(b).sum(), r2, len(mine)) for i in range(3)}
+    assert set(got) == set(want) and len(want) > 20
+    for k, v in want.items():
+        assert np.allclose((got[k].beta, got[k].share, got[k].r2, got[k].n), v, rtol=1e-8, atol=1e-10)
+
+
+def test_cluster_features_as_of(spark):
+    """Running sums against sets of articles; ties of time, a null domain and instants before the first article included."""
+    rng = random.Random(12)
+    arts = [(c, T0 + dt.timedelta(minutes=30 * rng.randrange(20)), rng.choice(["a", "b", "c", None]), rng.random()) for c in ("x", "y") for _ in range(40)] + [("z", T0 + dt.timedelta(hours=9), "a", 0.5)]
+    asofs = [(c, T0 + dt.timedelta(minutes=30 * k)) for c in ("x", "y", "z", "none") for k in range(0, 24, 3)]
+    got = {(r.cluster_id, r.asof): r for r in attention.cluster_features(spark.createDataFrame(arts, "cluster_id string, published_ts timestamp, domain string, arousal double"), spark.createDataFrame(asofs, "cluster_id string, asof timestamp"), 2).collect()}
+    hill = lambda d: np.exp(-sum(d.count(v) / len(d) * np.log(d.count(v) / len(d)) for v in set(d)))
+    seen = 0
+    for c, at in asofs:
+        mine = [a for a in arts if a[0] == c and a[1] <= at]
+        assert ((c, at) in got) == bool(mine)
+        if mine:
+            seen, r, t0 = seen + 1, got[c, at], min(a[1] for a in mine)
+            es = hill([a[2] or "" for a in mine])
+            want = (es, hill([a[2] or "" for a in mine if a[1] - t0 <= dt.timedelta(hours=2)]), len(mine), 1 - es / len(mine), (at - t0).total_seconds() / 3600, max(a[3] for a in mine))
+            assert np.allclose((r.effective_sources, r.cascade, r.copies, r.repetition, r.hours_alive, r.arousal), want)
+    assert seen > 10
+
+
+def test_running(spark):
+    rng = random.Random(13)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b"]), i, rng.choice([None, 1, 2, 5]), rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t long, n long, v double").repartition(7)
+    got = {r.t: r for r in asof.running(df, ["k"], ["t"], ["n"], ["v"]).collect()}
+    for k, t, _, _ in rows:
+        upto = [r for r in rows if r[0] == k and r[1] <= t]
+        assert got[t].run_n == sum(r[2] or 0 for r in upto) and got[t].run_v == max(r[3] for r in upto)
+
+
 def test_shuffled_keeps_groups(spark):
     rows = [(g, i, float(100 * g + i)) for g in range(3) for i in range(20 + g)]
     df = spark.createDataFrame(rows, "g long, i long, v double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, direction: str = "backward", strict: bool = False, tolerance=None, prefix: str = "r_") -> DataFrame:
     """left with the columns of the nearest right row (prefixed; null without one).
@@ -41,3 +43,26 @@ def range_explode(points: DataFrame, time: str, grid: DataFrame, grid_time: str,
     g = grid.withColumn("b_", F.floor(F.unix_timestamp(grid_time) / span))
     both = p.join(g, [*by, "b_"]).where((F.col(time) <= F.col(grid_time)) & (F.unix_timestamp(grid_time) - F.unix_timestamp(time) < span))
     return both.drop("b_")
+
+
+def running(df: DataFrame, by: list[str], order: list[str], sums: list[str] = (), maxes: list[str] = ()) -> DataFrame:
+    """df with run_<c> for each column of sums and maxes: its total, or largest value, over the rows of `by` up to this one
+    in order (rows that tie stand in any order). Nulls are left out.
+
+    Rows are dealt by range of (by, order) and written, so a key of any share of the rows spreads over tasks. A task adds up
+    its own; a key that began in an earlier range gets what stood there, one row a partition.
+    """
+    dealt = written(df.repartitionByRange(*by, *order).withColumn("part_", F.spark_partition_id()), "ranges")
+    total = [F.sum(c).alias(c) for c in sums] + [F.max(c).alias(c) for c in maxes]
+    inner = Window.partitionBy("part_", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("part_", *by).agg(*total)
+    before = parts.select(F.col("part_").alias("p_"), *[F.col(c).alias("b_" + c) for c in by], F.count("*").over(outer).alias("k_"),
+                          *[F.sum(c).over(outer).alias("o_" + c) for c in sums], *[F.max(c).over(outer).alias("o_" + c) for c in maxes]).where("k_ > 0").drop("k_")
+    same = F.col("part_") == F.col("p_")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col("b_" + c))
+    local = dealt.select("*", *[F.sum(c).over(inner).alias("i_" + c) for c in sums], *[F.max(c).over(inner).alias("i_" + c) for c in maxes])
+    zero = F.lit(0)
+    got = local.join(F.broadcast(before), same, "left")  # only the first key of a partition can have begun before: a row a partition
+    return got.select(*df.columns, *[(F.coalesce("i_" + c, zero) + F.coalesce("o_" + c, zero)).alias("run_" + c) for c in sums], *[F.greatest("i_" + c, "o_" + c).alias("run_" + c) for c in maxes])

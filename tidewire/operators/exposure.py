@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from .asof import asof_join
-from .panel import common_dates
+from ..sources.sinks import written
 
 OUT = "ticker string, asof date, driver string, beta double, share double, r2 double, n long"
 
@@ -32,35 +31,58 @@ def ridge(n: float, sx, sy: float, sxx, sxy, syy: float, lam: float = 1.0):
 def rolling_exposures(rets: DataFrame, driver_rets: DataFrame, asofs: DataFrame, window: int = 250, least: int = 120, lam: float = 1.0) -> DataFrame:
     """(ticker, asof, driver, beta, share, r2, n) at each date of asofs (asof), from the last `window` common sessions strictly before.
 
-    Drivers stand side by side on their common dates; each (entity, asof) comes down to one row of sums, and only
-    those are solved, in batches.
+    Drivers stand side by side on their common dates. The windows' ends and beginnings cut an entity's sessions into
+    segments; each segment comes down to one row of sums, a running total over the segments is taken, and a window is the difference
+    of two of them. So no session is repeated, however many windows hold it; only the differences are solved, in batches.
+    driver_rets is read twice: pass a written table.
     """
     names = sorted(r[0] for r in driver_rets.select("driver").distinct().collect())  # the registry of drivers: a few dozen
     k = len(names)
-    wide = driver_rets.join(common_dates(driver_rets), "date", "left_semi").groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("driver", "ret"))).alias("m_"))
-    x = F.array(*[F.col("m_")[n] for n in names])
-    j = rets.join(wide.select("date", x.alias("x")), "date").withColumn("i_", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
-    # the last session before each asof, then the window by session number: an equality on blocks of numbers
-    grid = j.select("ticker").distinct().crossJoin(asofs.select("asof").distinct())  # as large as the result
-    last = asof_join(grid, j.select("ticker", "date", "i_"), ["ticker"], "asof", "date", strict=True).where("r_i_ is not null").select("ticker", "asof", F.col("r_i_").alias("end_"))
-    block = F.floor(F.col("i_") / window)
-    ends = last.select("ticker", "asof", "end_", F.explode(F.array(F.floor(F.col("end_") / window), F.floor(F.col("end_") / window) - 1)).alias("b_"))
-    rows = j.withColumn("b_", block).join(ends, ["ticker", "b_"]).where((F.col("i_") <= F.col("end_")) & (F.col("i_") > F.col("end_") - window))
-    y, xs = F.col("ret"), [F.col("x")[i] for i in range(k)]
-    sums = [F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.array(*[F.sum(a) for a in xs]).alias("sx"), F.array(*[F.sum(a * y) for a in xs]).alias("sxy"),
-            F.array(*[F.sum(xs[a] * xs[b]) for a in range(k) for b in range(k)]).alias("sxx")]
-    gram = rows.groupBy("ticker", "asof").agg(*sums).where(F.col("n") >= least)
+    of = F.col("m_")
+    wide = driver_rets.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("driver", "ret"))).alias("m_")).where(F.size("m_") == k)  # a date has a row a driver at most
+    j = rets.join(wide.select("date", *[of[n].alias(f"x{i}") for i, n in enumerate(names)]), "date").withColumn("i_", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
+    j = written(j, "sessions")
+    # an entity's sessions and the instants in one order of time: the number of sessions strictly before each instant is the window's end
+    marks = j.select("ticker").distinct().crossJoin(asofs.select("asof").distinct())  # as large as the result
+    none = F.lit(None)
+    both = j.select("ticker", F.col("date").alias("t_"), F.lit(1).alias("o_"), "i_", none.cast("date").alias("asof")).unionByName(marks.select("ticker", F.col("asof").alias("t_"), F.lit(0).alias("o_"), none.cast("int").alias("i_"), "asof"))
+    w = Window.partitionBy("ticker").orderBy("t_", "o_")
+    ends = both.withColumn("end_", F.max("i_").over(w)).where("o_ = 0 and end_ is not null").select("ticker", "asof", "end_", F.greatest(F.col("end_") - window, F.lit(0)).alias("from_"))
+    ends = written(ends, "windows")
+    cuts = ends.select("ticker", F.explode(F.array("end_", "from_")).alias("cut_")).where("cut_ > 0").distinct()
+    # a session belongs to the first cut at or after it
+    xs = [f"x{i}" for i in range(k)]
+    lined = j.select("ticker", "i_", "ret", *xs).unionByName(cuts.select("ticker", F.col("cut_").alias("i_"), "cut_"), allowMissingColumns=True)
+    later = Window.partitionBy("ticker").orderBy(F.col("i_").desc(), F.col("cut_").asc_nulls_last())
+    dealt = lined.withColumn("seg_", F.min("cut_").over(later)).where("cut_ is null and seg_ is not null")
+    y, x = F.col("ret"), [F.col(c) for c in xs]
+    named = {"n": F.count("*"), "sy": F.sum(y), "syy": F.sum(y * y)} | {f"sx{a}": F.sum(x[a]) for a in range(k)} | {f"sxy{a}": F.sum(x[a] * y) for a in range(k)} | {f"sxx{a}_{b}": F.sum(x[a] * x[b]) for a in range(k) for b in range(a, k)}
+    sums = dealt.groupBy("ticker", "seg_").agg(*[c.alias(n) for n, c in named.items()])
+    upto = Window.partitionBy("ticker").orderBy("seg_").rowsBetween(Window.unboundedPreceding, 0)
+    total = sums.select("ticker", "seg_", F.array(*[F.sum(F.col(n).cast("double")).over(upto) for n in named]).alias("s_"))
+    total = written(total, "totals")  # read at both ends of the windows
+    lower, upper = (total.select("ticker", F.col("seg_").alias(c), F.col("s_").alias("s" + c)) for c in ("from_", "end_"))
+    gram = ends.join(upper, ["ticker", "end_"]).join(lower, ["ticker", "from_"], "left")
+    diff = F.when(F.col("sfrom_").isNull(), F.col("send_")).otherwise(F.zip_with("send_", "sfrom_", lambda p, q: p - q))
+    gram = gram.select("ticker", "asof", diff.alias("g")).where(F.col("g")[0] >= least)
+    upper_at = np.triu_indices(k)
 
     def solve(batches):
         for g in batches:
-            out = []
-            for r in g.itertuples():
-                b, r2 = ridge(r.n, r.sx, r.sy, np.array(r.sxx, float).reshape(k, k), r.sxy, r.syy, lam)
-                total = np.abs(b).sum() or 1.0
-                out += [(r.ticker, r.asof, d, float(v), float(abs(v) / total), float(r2), int(r.n)) for d, v in zip(names, b, strict=True)]
-            yield pd.DataFrame(out, columns=["ticker", "asof", "driver", "beta", "share", "r2", "n"])
-
-    return gram.mapInPandas(solve, OUT)
+            lists = g.column(2)
+            v = np.asarray(lists.flatten()).reshape(len(lists), -1)
+            got = []
+            for row in v:
+                sxx = np.zeros((k, k))
+                sxx[upper_at] = row[3 + 2 * k :]
+                b, r2 = ridge(row[0], row[3 : 3 + k], row[1], np.triu(sxx) + np.triu(sxx, 1).T, row[3 + k : 3 + 2 * k], row[2], lam)
+                got += [(c, abs(c) / (np.abs(b).sum() or 1.0), r2, row[0]) for c in b]
+            cols = np.asarray(got, float).reshape(-1, 4).T
+            who = pa.array(np.repeat(np.arange(len(v)), k), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [g.column(0).take(who), g.column(1).take(who), pa.array(names * len(v), pa.string()), *[pa.array(c) for c in cols[:3]], pa.array(cols[3].astype(np.int64))], ["ticker", "asof", "driver", "beta", "share", "r2", "n"])
+
+    return gram.mapInArrow(solve, OUT)
 
 
 def fit_exposures(rets: DataFrame, driver_rets: DataFrame, asof: str, window: int = 250, least: int = 120, lam: float = 1.0) -> DataFrame:

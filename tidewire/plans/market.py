@@ -233,7 +233,7 @@ def q_ablation(spark, sf):
 
 @query("exposures")
 def q_exposures(spark, sf):
-    rets, d = _rets(spark, sf), _driver_rets(spark, sf)
+    rets, d = _rets(spark, sf), written(_driver_rets(spark, sf), "drivers")
     return exposure.rolling_exposures(rets, d, d.select(F.last_day("date").alias("asof")).distinct(), 120, 60).withColumns({c: r6(c) for c in ("beta", "share", "r2")})
 
 

@@ -1,9 +1,11 @@
 """Tool calls, image copies, and the pipeline's stages."""
 
 import json
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewire.llm import bpe, media, mixing, toolchat
@@ -35,7 +37,7 @@ def test_link(spark):
     assert at("1", "d").problems == "no result, unknown tool" and at("1", "e").problems == "no result, arguments"
     assert at("1", "f").problems == "dangling reference, no result, unknown field" and at("1", "f").level == 0
     assert {at("2", x).problems for x in "pq"} == {"cycle, no result"} and at("2", "r").problems == "cycle, no result, missing key"
-    assert at("", "a").problems == "no result, missing key"
+    assert at(None, "a").problems == "no result, missing key"  # null is told from the empty conversation
     assert sorted(r.problems for r in got.values() if "id" in r.problems.split(", ")[0]) == ["no id", "repeated id"]
     assert toolchat.link(calls.limit(0), results.limit(0), SCHEMAS).count() == 0
 
@@ -76,6 +78,41 @@ def image_rows(imgs):
 IMAGES = "image_id long, height int, width int, pixels binary"
 
 
+def plain_levels(deps):
+    """call -> level by repeated passes; calls on a cycle or behind one are missing."""
+    out = {c: 0 for c, d in deps.items() if not d}
+    while True:
+        new = {c: 1 + max(out[x] for x in d) for c, d in deps.items() if c not in out and d and all(x in out for x in d)}
+        if not new:
+            return out
+        out |= new
+
+
+def test_levels_of_chains_graphs_and_cycles(spark):
+    rng = random.Random(9)
+    deps = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(1000)}
+    deps |= {f"g{i}": sorted({f"g{rng.randrange(i)}" for _ in range(rng.choice([0, 1, 1, 2, 3]))}) if i else [] for i in range(60)}
+    deps |= {"m0": ["c999", "g59"], "m1": ["m0", "c3"], "r0": ["r1"], "r1": ["r2"], "r2": ["r0"], "r3": ["r0"], "r4": ["r3", "c1"], "r5": ["r4"], "s": ["s"]}
+    nodes = spark.createDataFrame([("k", c) for c in deps], "conv_id string, call_id string")
+    edges = spark.createDataFrame([("k", c, d) for c, ds in deps.items() for d in ds], "conv_id string, call_id string, dep string")
+    got = {r.call_id: r.level for r in toolchat.levels(nodes, edges).collect()}
+    assert got == plain_levels(deps) and got["c999"] == 999 and "r5" not in got
+
+
+def test_repeats_and_null_conversations(spark):
+    call = lambda conv, turn, id_, args="{}", name="f": (conv, turn, 0, id_, name, args)
+    rows = [call("a", 1, "x")] * 3 + [call("a", 2, "x"), call(None, 1, "y"), call("", 1, "y"), call("a", 3, None), call("a", 3, None), call("", 5, "z", '{"$ref": "y"}'), call("", 6, "w", '{"$ref": 7}'), call("", 7, "v", '{"$ref": ["y", "no"]}')]
+    calls = spark.createDataFrame(rows, "conv_id string, turn long, pos int, call_id string, name string, arguments string").withColumns({"first": F.lit(1), "level": F.lit("x")})
+    results = spark.createDataFrame([(None, 2, "y", "null's"), ("", 2, "y", "empty's")], "conv_id string, turn long, call_id string, content string")
+    got = toolchat.link(calls, results, {"f": {}}).collect()
+    assert len(got) == len(rows)
+    of = lambda conv, id_: sorted(((r.turn, r.level, r.problems) for r in got if (r.conv_id, r.call_id) == (conv, id_)), key=str)
+    assert of("a", "x") == [(1, 0, "no result"), (1, None, "repeated id"), (1, None, "repeated id"), (2, None, "repeated id")]
+    assert sum("repeated id" in r.problems for r in got) == 3 and sum("no id" in r.problems for r in got) == 2
+    assert [json.loads(r.record)["result"] for r in got if r.call_id == "y" and r.conv_id is None] == ["null's"] and [json.loads(r.record)["result"] for r in got if r.call_id == "y" and r.conv_id == ""] == ["empty's"]
+    assert of("", "z") == [(5, 1, "no result")] and of("", "w") == [(6, 0, "references, no result")] and of("", "v") == [(7, 1, "dangling reference, no result")]
+
+
 def test_image_copies_against_brute_force(spark):
     """Recall of the key tables over all links that comparing every feature with every other finds, and of the edits themselves."""
     imgs = pictures(np.random.default_rng(8))

@@ -37,28 +37,57 @@ def read_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results.where(F.col("call_id").isNotNull())
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, end, far) of calls with one reference (conv_id, call_id, end): where the chain of such calls ends, and
+    how many references away. Chains that run into a cycle are left out. Each round doubles the part of a chain that is known."""
+    at = save(single.withColumn("far", F.lit(1).cast("long")), "chains")
+    for _ in range(at.count().bit_length() + 1):
+        ahead = at.select("conv_id", F.col("call_id").alias("end"), F.col("end").alias("end2"), F.col("far").alias("far2"))
+        nxt = save(at.join(ahead, ["conv_id", "end"], "left").select("conv_id", "call_id", F.coalesce("end2", "end").alias("end"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("end2").isNotNull().alias("moved")), "chains")
+        remove(at)
+        at = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
+            return at
+    return at.join(single.select("conv_id", F.col("call_id").alias("end")), ["conv_id", "end"], "left_anti")
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of calls: 0 without references, else one more than the highest referenced call.
 
-    Calls on a cycle of references, or behind one, are left out. Each round settles one level and is a written
-    table; there are as many rounds as levels.
+    Calls on a cycle of references, or behind one, are left out. Chains of calls with one reference each are followed by
+    doubling. Calls with several take a round a level among themselves, in which those settle whose references are settled.
+    Rounds are written tables.
     """
-    key, done = ["conv_id", "call_id"], []
+    key = ["conv_id", "call_id"]
     left = save(edges.select("conv_id", "call_id", "dep").distinct(), "references")
-    front = nodes.select(key).join(left, key, "left_anti")
+    degree = save(left.groupBy(*key).agg(F.count("*").alias("n"), F.min("dep").alias("end")), "degrees")
+    chains = _chains(degree.where("n = 1").select(*key, "end"))
+    # references of calls with several, led to where their chains end; one that leads into a cycle keeps its call from settling
+    several = left.join(degree.where("n > 1").select(key), key, "left_semi")
+    single = degree.where("n = 1").select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("single"))
+    led = several.join(single, ["conv_id", "dep"], "left").join(chains.select("conv_id", F.col("call_id").alias("dep"), "end", "far"), ["conv_id", "dep"], "left")
+    led = led.select(*key, F.when(F.col("single"), F.col("end")).otherwise(F.col("dep")).alias("end"), F.coalesce("far", F.lit(0).cast("long")).alias("far"))
+    wait = save(led, "references")
+    remove(left)
+    done = [save(nodes.select(key).join(degree, key, "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")]
+    best = wait.select(*key, F.col("far").alias("level")).limit(0)
     while True:
-        front = save(front.withColumn("level", F.lit(len(done))), "levels")
+        settled = done[-1].select("conv_id", F.col("call_id").alias("end"), "level")
+        met = wait.join(settled, ["conv_id", "end"]).select(*key, (F.col("level") + F.col("far") + 1).alias("level"))
+        rest = save(wait.join(settled, ["conv_id", "end"], "left_anti"), "references")
+        best = save(best.unionByName(met).groupBy(*key).agg(F.max("level").alias("level")), "levels")
+        front = save(best.join(rest, key, "left_anti"), "levels")
+        remove(wait)
+        wait = rest
         if front.isEmpty():
             break
         done.append(front)
-        rest = save(left.join(front.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"), "references")
-        front = save(left.select(key).distinct().join(rest, key, "left_anti"), "levels")
-        remove(left)
-        left = rest
-    out = done[0] if done else front
+        best = best.join(front.select(key), key, "left_anti")
+    out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    ends = out.select("conv_id", F.col("call_id").alias("end"), "level")
+    return out.unionByName(chains.join(ends, ["conv_id", "end"]).select(*key, (F.col("level") + F.col("far")).alias("level")))
 
 
 def _problems(name: Column, args: Column, schemas: Schemas) -> Column:
@@ -81,20 +110,28 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """One row a call: conv_id, turn, call_id, level, n_results, problems (joined by ", "), record (canonical JSON).
 
     Calls meet results by (conv_id, call_id). Of results of one call the earliest counts (smaller text on a tie);
-    of calls with one id the earliest is linked and the others have the problem "repeated id". References
-    are the strings in an array "$ref" of the arguments; one that no call bears is the problem "dangling
-    reference", one on a cycle "cycle" (level null). Calls without an id are not linked ("no id"). A null
+    of calls with one id the earliest is linked and the others, equal ones too, have the problem "repeated id". References
+    are the string "$ref" of the arguments or the strings in an array of that name; anything else there is the problem
+    "references". One that no call bears is "dangling reference", one on a cycle "cycle" (level null). Calls without an id are not linked ("no id"). A null
     conversation is a conversation of its own. level, then turn, is a topological order within a conversation.
     Results without a call are dropped.
     """
-    conv = lambda d: d.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    calls, results = conv(calls), conv(results)
+    # a key of text that tells null from the empty conversation
+    conv = lambda d: d.withColumn("conv_id", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-")))
+    calls, results = conv(calls.select("conv_id", "turn", "pos", "call_id", "name", "arguments")), conv(results.select("conv_id", "turn", "call_id", "content"))
     order = F.struct("turn", "pos", "name", "arguments")
-    first = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    # equal calls are counted first, so a call repeated any number of times meets the first of its id as one row
+    equal = calls.where("call_id is not null").groupBy("conv_id", "call_id", "turn", "pos", "name", "arguments").agg(F.count("*").alias("copies"))
+    first = equal.groupBy("conv_id", "call_id").agg(F.min(order).alias("first"), F.sum("copies").alias("n"))
     heads = save(first.select("conv_id", "call_id", "first.*"), "calls")
-    others = calls.join(first.where("n > 1").select("conv_id", "call_id", "first"), ["conv_id", "call_id"]).where(order != F.col("first")).drop("first")
+    more = equal.join(first.where("n > 1").select("conv_id", "call_id", "first"), ["conv_id", "call_id"])
+    left = F.col("copies") - F.when(order.eqNullSafe(F.col("first")), 1).otherwise(0)
+    others = more.withColumn("copy", F.explode(F.array_repeat(F.lit(0), left.cast("int")))).drop("first", "copies", "copy")
     odd = others.withColumn("why", F.lit("repeated id")).unionByName(calls.where("call_id is null").withColumn("why", F.lit("no id")))
-    refs = F.from_json(F.get_json_object("arguments", "$.$ref"), "array<string>")
+    found = F.try_variant_get(F.try_parse_json("arguments"), "$['$ref']", "variant")
+    kind = F.schema_of_variant(found)
+    refs = F.when(kind == "STRING", F.array(found.cast("string"))).when(kind == "ARRAY<STRING>", F.try_variant_get(found, "$", "array<string>"))
+    odd_refs = kind.isNotNull() & ~kind.isin("STRING", "ARRAY<STRING>", "ARRAY<VOID>", "VOID")
     edges = save(heads.select("conv_id", "call_id", F.explode(F.array_distinct(refs)).alias("dep")).where("dep is not null"), "references")
     known = edges.join(heads.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi")
     dangling = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_refs")).join(known.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_known")), ["conv_id", "call_id"], "left")
@@ -104,11 +141,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     joined = heads.join(best.hint("shuffle_hash"), key, "left").join(levels(heads, known), key, "left").join(dangling, key, "left").withColumn("why", F.lit(None).cast("string"))
     joined = joined.unionByName(odd, allowMissingColumns=True)
     problems = F.array_compact(F.concat(
-        F.array("why", F.when(F.col("dangling"), F.lit("dangling reference")), F.when(F.col("why").isNull() & F.col("level").isNull(), F.lit("cycle")), F.when(F.col("why").isNull() & F.col("r").isNull(), F.lit("no result"))),
+        F.array("why", F.when(F.col("dangling"), F.lit("dangling reference")), F.when(odd_refs, F.lit("references")), F.when(F.col("why").isNull() & F.col("level").isNull(), F.lit("cycle")), F.when(F.col("why").isNull() & F.col("r").isNull(), F.lit("no result"))),
         _problems(F.col("name"), F.col("arguments"), schemas)))
     record = F.to_json(F.struct(
         F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant")).alias("arguments"), F.col("call_id").alias("id"), F.col("level"), "name", F.col("r.content").alias("result")))
-    return joined.select("conv_id", "turn", "call_id", "level", F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), F.array_join(problems, ", ").alias("problems"), record.alias("record"))
+    shown = F.when(F.col("conv_id") != "-", F.substring("conv_id", 2, 2**31 - 1)).alias("conv_id")
+    return joined.select(shown, "turn", "call_id", "level", F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), F.array_join(problems, ", ").alias("problems"), record.alias("record"))
 
 
 #: What the query takes turns for: a user's turn is a call, the assistant's next turn its result.

@@ -364,6 +364,129 @@ def test_running(spark):
         assert got[t].run_n == sum(r[2] or 0 for r in upto) and got[t].run_v == max(r[3] for r in upto)
 
 
+def np_logit(x, y, lam=1e-3):
+    """(b, mean, sd) by Newton's method on standardized columns."""
+    mean, sd = x.mean(0), x.std(0)
+    sd = np.where(sd > 0, sd, 1.0)
+    z = np.c_[np.ones(len(x)), (x - mean) / sd]
+    b = np.zeros(z.shape[1])
+    b[0] = np.log(y.mean() / (1 - y.mean()))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ b))
+        b = b - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + lam * np.eye(len(b)), z.T @ (p - y) + lam * b)
+    return b, mean, sd
+
+
+def np_predict(m, x):
+    b, mean, sd = m
+    return 1 / (1 + np.exp(-(b[0] + ((x - mean) / sd) @ b[1:])))
+
+
+def np_auc(p, y):
+    pos, neg = p[y > 0.5], p[y <= 0.5]
+    return ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / len(pos) / len(neg)
+
+
+def vol_rows(seed, strength):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(240):
+        d = dt.date(2023, 1, 2) + dt.timedelta(days=i)
+        for t in ("A", "B", "C"):
+            x = rng.normal(size=3)
+            rows.append((t, d, d + dt.timedelta(days=1), *map(float, x), float(rng.random() < 1 / (1 + np.exp(1.2 - strength * x[0])))))
+    return rows
+
+
+VOL_XS = ["abs_ret", "vol5", "vol20"]
+
+
+def np_version(rows, asof, folds):
+    """(p, y, base) out of sample and the final model of the rows known at asof."""
+    known = [r for r in rows if r[2] <= asof]
+    days = sorted({r[1] for r in known})
+    cuts = [days[len(days) * k // folds] for k in range(1, folds)] + [dt.date.max]
+    p, y, base = [], [], []
+    take = lambda rs: (np.array([r[3:6] for r in rs]), np.array([r[6] for r in rs]))
+    for a, b in zip(cuts, cuts[1:]):
+        (x0, y0), (x1, y1) = take([r for r in known if r[1] < a]), take([r for r in known if a <= r[1] < b])
+        p.append(np_predict(np_logit(x0, y0), x1))
+        y.append(y1)
+        base.append(np.full(len(y1), y0.mean()))
+    return *map(np.concatenate, (p, y, base)), np_logit(*take(known))
+
+
+@pytest.mark.parametrize(("strength", "passes"), [(1.5, True), (0.0, False)])
+def test_model_versions(spark, strength, passes):
+    rows = vol_rows(3, strength)
+    ds = spark.createDataFrame(rows, "ticker string, date date, target_date date, abs_ret double, vol5 double, vol20 double, y double")
+    asofs = [dt.date(2023, 2, 1), dt.date(2023, 6, 1), dt.date(2023, 9, 15)]
+    table = volatility.fit_versions(ds, asofs, VOL_XS, 4, {"n": 80, "auc": 0.55, "skill": 0.01})
+    got = {r.asof: r for r in table.collect()}
+    assert got[asofs[0]].failed == ["sample"] and got[asofs[0]].b is None and not got[asofs[0]].calibrated
+    models = {}
+    for a in asofs[1:]:
+        p, y, base, models[a] = np_version(rows, a, 4)
+        r = got[a]
+        brier, brier_base = ((p - y) ** 2).mean(), ((base - y) ** 2).mean()
+        assert r.n_oos == len(y) and np.allclose((r.auc, r.brier, r.skill, r.base_oos), (np_auc(p, y), brier, 1 - brier / brier_base, y.mean()), atol=1e-6)
+        assert np.allclose(r.b, models[a][0], atol=1e-6) and np.allclose(r.mean, models[a][1]) and r.calibrated == passes and bool(r.failed) != passes
+    m, model = volatility.fit_calibrator(ds.where("target_date <= '2023-09-15'"), VOL_XS, 4, {"n": 80, "auc": 0.55, "skill": 0.01})
+    assert m["calibrated"] == passes == (model is not None) and abs(m["auc"] - got[asofs[2]].auc) < 1e-9
+    # rows are scored by the last version at or before their day, and by the ordinal score where that is not calibrated
+    latest = spark.createDataFrame([("A", d, 0.5, 0.4, 0.3, 1.0, 2.0, 0.5) for d in (dt.date(2023, 1, 5), asofs[0], dt.date(2023, 5, 31), asofs[1], dt.date(2023, 9, 14), asofs[2], dt.date(2024, 1, 1))],
+                                   "ticker string, date date, abs_ret double, vol5 double, vol20 double, threshold double, n_eff double, dispersion double")
+    old = table.where(f"asof = '{asofs[1]}'").withColumns({"asof": F.lit(asofs[2]), "feature_version": F.lit(99)})  # of other features: never used
+    for r in volatility.vol_head_asof(latest, table.unionByName(old), VOL_XS).collect():
+        a = max((x for x in asofs if x <= r.date), default=None)
+        assert r.model_asof == a and r.vol_calib == int(passes and a in models)
+        if r.vol_calib:
+            p = float(np_predict(models[a], np.array([[0.5, 0.4, 0.3]]))[0])
+            assert abs(r.p_vol - round(p, 4)) < 1e-9 and abs(r.vol_score - p) < 1e-6 and r.vol_base == got[a].base_oos
+        else:
+            assert r.p_vol is None and r.vol_base is None and abs(r.vol_score - round((0.25 + 0.12 + 0.06) * (1 + 0.1 + 0.025), 6)) < 1e-9
+
+
+def test_feature_subsets_share_the_fits(spark):
+    rows = vol_rows(5, 1.0)
+    ds = spark.createDataFrame(rows, "ticker string, date date, target_date date, abs_ret double, vol5 double, vol20 double, y double")
+    got = {(r.kind, r.features): r for r in evaluate.feature_ablation(ds, VOL_XS, 4).collect()}
+    assert len(got) == 8
+    for (_, names), r in got.items():
+        at = [VOL_XS.index(x) for x in names.split(", ")]
+        few = [(*x[:3], *[x[3 + i] for i in at], *[0.0] * (3 - len(at)), x[6]) for x in rows]
+        p, y, base, _ = np_version(few, dt.date.max, 4)
+        assert np.allclose((r.n, r.auc, r.skill), (len(y), np_auc(p, y), 1 - ((p - y) ** 2).mean() / ((base - y) ** 2).mean()), atol=1e-6)
+
+
+def test_direction_horizons(spark):
+    rng = np.random.default_rng(7)
+    abn = [(t, dt.date(2023, 1, 1) + dt.timedelta(days=i), float(rng.normal())) for t in "ABCD" for i in range(150)]
+    signals = [(t, d, v + float(rng.normal())) for t, d, v in abn]
+    frame = lambda rows, c: spark.createDataFrame(rows, f"ticker string, date date, {c} double")
+    got = {(r.horizon, r.side): r for r in evaluate.direction_horizons(frame(signals, "signal"), frame(abn, "abn"), (1, 20), 4).collect()}
+    from tidewire.operators.labels import future_sessions
+
+    f = {(r.ticker, r.date): r for r in future_sessions(frame(abn, "abn"), (1, 20)).collect()}
+    for h in (1, 20):
+        for side, sign in (("up", 1), ("down", -1)):
+            rows = [(t, d, d, s, 0.0, 0.0, float(f[t, d][f"car_{h}"] * sign > 0.5 * f[t, d][f"sigma_{h}"])) for t, d, s in signals if (t, d) in f and f[t, d][f"car_{h}"] is not None and (f[t, d][f"sigma_{h}"] or 0) > 0]
+            p, y, _, _ = np_version(rows, dt.date.max, 4)
+            assert got[h, side].n == len(y) and abs(got[h, side].auc - np_auc(p, y)) < 1e-6
+
+
+def test_running_order(spark):
+    rng = random.Random(14)
+    rows = [(k, i, float(rng.randrange(12) if k == "ties" else rng.random())) for k, n in (("ties", 300), ("long", 700), ("one", 1)) for i in range(n)]
+    got = {(r.k, r.i): r for r in stats.running_order(spark.createDataFrame(rows, "k string, i long, v double").repartition(5), "k", "i", "v", {"low": lambda n: F.floor(0.2 * (n - 1)), "top": lambda n: n - 1}).collect()}
+    seen = {}
+    for k, i, v in rows:
+        mine = sorted([*seen.get(k, []), v])
+        seen[k] = mine
+        assert (got[k, i].n, got[k, i].low, got[k, i].top) == (len(mine), mine[int(0.2 * (len(mine) - 1))], mine[-1])
+    assert stats.running_order(spark.createDataFrame([], "k string, i long, v double"), "k", "i", "v", {"a": lambda n: n - 1}).count() == 0
+
+
 def test_shuffled_keeps_groups(spark):
     rows = [(g, i, float(100 * g + i)) for g in range(3) for i in range(20 + g)]
     df = spark.createDataFrame(rows, "g long, i long, v double")

@@ -48,6 +48,36 @@ def row_index(df: DataFrame, order: list, out: str = "k_") -> DataFrame:
     return dealt.withColumn(out, at).join(F.broadcast(offsets), "part_").withColumn(out, F.col(out) + F.col("off_")).drop("part_", "off_")  # a row a partition
 
 
+def running_order(df: DataFrame, key: str, order: str, value: str, at: dict) -> DataFrame:
+    """df with n, the number of values of `key` up to a row in `order` (a total order within the key), and for each name of `at` the value
+    that stands at the index at[name](n), from 0, when these n are sorted. Values must not be null.
+
+    A search by digits of rank, sixteen ways at a time: the rows of a key are ranked by value once; at each step running counts of
+    the next digit among the rows that share the digits so far say which digit the wanted row has. That is one window
+    over rows and questions a digit (three for histories up to 4 096), all in one partitioning by key.
+    """
+    rows = df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    rows = rows.withColumn("r_", F.row_number().over(Window.partitionBy(key).orderBy(value, "n")) - 1)
+    rows = written(rows, "ranked")
+    most = rows.agg(F.max("n")).first()[0] or 1
+    digits = max(1, -(-(most - 1).bit_length() // 4))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("q_"), f(F.col("n")).cast("int").alias("k_")) for name, f in at.items()])).alias("x_")
+    none = F.lit(None)
+    both = rows.select(key, "n", F.lit(0).alias("o_"), "r_", F.col(value).alias("v_"), none.cast("string").alias("q_"), none.cast("int").alias("k_")).unionByName(
+        rows.select(key, "n", asked).select(key, "n", F.lit(1).alias("o_"), none.cast("int").alias("r_"), none.cast(dict(df.dtypes)[value]).alias("v_"), "x_.q_", "x_.k_"))
+    both = both.repartition(key).withColumn("node_", F.lit(0))
+    for step in range(digits):
+        digit = F.shiftright("r_", 4 * (digits - 1 - step)).bitwiseAND(15)
+        w = Window.partitionBy(key, "node_").orderBy("n", "o_").rowsBetween(Window.unboundedPreceding, 0)
+        upto = F.array(*[F.count(F.when(digit <= d, 1)).over(w) for d in range(16)])  # rows so far whose digit is at most d
+        both = both.withColumn("c_", upto).withColumn("d_", F.when(F.col("o_") == 0, digit).otherwise(F.size(F.filter("c_", lambda c: c <= F.col("k_")))))
+        below = F.when((F.col("o_") == 1) & (F.col("d_") > 0), F.element_at("c_", F.greatest(F.col("d_"), F.lit(1))).cast("int")).otherwise(0)
+        both = both.withColumn("k_", F.col("k_") - below).withColumn("node_", F.col("node_") * 16 + F.col("d_")).drop("c_", "d_")
+    found = both.withColumn("v_", F.max("v_").over(Window.partitionBy(key, "node_"))).where("o_ = 1")
+    wide = found.groupBy(key, "n").agg(*[F.max(F.when(F.col("q_") == name, F.col("v_"))).alias(name) for name in at])
+    return rows.drop("r_").join(wide, [key, "n"])
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, least: int = 3) -> DataFrame:
     """Rank correlation with tied ranks averaged: (by..., ic, n); ic null under `least` rows or without variance."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -9,6 +9,7 @@ from .. import config
 from ..functions.text import norm
 
 CODE = r"^[A-Z]{4}[0-9]{1,2}$"
+SMALL = 200_000  #: so many terms, of a few hundred bytes each, are broadcast
 
 
 def gazetteer(entities: DataFrame, ambiguous: list[str] = config.AMBIGUOUS_ALIASES) -> DataFrame:
@@ -42,31 +43,42 @@ def relevance(text_norm: Column, in_title: Column, n_tickers: Column, market=con
     return relevance_of(word_hits(text_norm, market), word_hits(text_norm, noise), in_title, n_tickers)
 
 
+def by_first_word(texts: DataFrame, words: Column, terms: DataFrame, verify: Column, keep: list[str]) -> DataFrame:
+    """Pairs of texts (article_id, ...) and terms (key, ...) that share a key and hold verify; keep are the columns asked for.
+
+    words is the array of a text's keys. Up to SMALL terms, counted, are broadcast by key: a text's words are looked up and the pattern is
+    tried in the text's own row, so texts don't move. More terms meet ids and words by a hash join, and the texts join again.
+    """
+    if terms.count() <= SMALL:
+        # its words are one column of a text's row while they are looked up; what does not match goes nowhere
+        return texts.withColumn("key", F.explode(words)).join(F.broadcast(terms), "key").where(verify).select(keep)
+    pairs = texts.select("article_id", F.explode(words).alias("key")).join(terms, "key").drop("key")
+    return pairs.join(texts, "article_id").where(verify).select(keep)
+
+
 def link_mentions(articles: DataFrame, gaz: DataFrame, market=config.MARKET_WORDS, noise=config.NOISE_WORDS) -> DataFrame:
     """(article_id, ticker, relevance, matched_alias) of articles (article_id, title, body).
 
     The first alias in listed order wins, title before body for each. An article without any gets one row with the
-    ticker __none__. Texts meet aliases by a hash join on single words, and only those pairs see a pattern.
+    ticker __none__: every text also has the empty word, which is that row's. One scan and one shuffle, of what was found.
     """
     a = articles.select("article_id", F.coalesce("title", F.lit("")).alias("rt"), F.substring(F.coalesce("body", F.lit("")), 1, 2000).alias("rb"), norm(F.col("title")).alias("nt"), norm(F.col("body")).alias("nb"))
-    name_words = F.split(F.concat_ws(" ", "nt", "nb"), "[^a-z0-9]+")
-    code_words = F.split(F.concat_ws(" ", "rt", "rb"), "[^A-Za-z0-9]+")
-    word = F.explode(F.array_distinct(F.concat(F.transform(name_words, lambda w: F.concat(F.lit("n"), w)), F.transform(F.filter(code_words, lambda w: w.rlike(CODE)), lambda w: F.concat(F.lit("c"), w)))))
-    key = gaz.withColumn("key", F.concat(F.when(F.col("cased"), "c").otherwise("n"), F.col("first")))
-    # ids, counts and words are exploded; the texts join again for the pairs that share a word
     full = F.trim(F.concat_ws(" ", "nt", "nb"))
-    counted = a.withColumns({"hits": word_hits(full, market), "noise": word_hits(full, noise)})  # once a text, below the explode
-    pairs = counted.select("article_id", "hits", "noise", word.alias("key")).join(key, "key").select("article_id", "hits", "noise", "ticker", "rank", "alias", "cased", "pattern")
-    seen = pairs.join(a, "article_id")
-    title = F.when(F.col("cased"), F.col("rt")).otherwise(F.col("nt"))
-    body = F.when(F.col("cased"), F.col("rb")).otherwise(F.col("nb"))
-    hit = seen.withColumn("in_title", F.rlike(title, F.col("pattern"))).where(F.col("in_title") | F.rlike(body, F.col("pattern")))
-    best = hit.groupBy("article_id", "ticker").agg(F.min(F.struct("rank", (~F.col("in_title")).alias("later"), "alias")).alias("b"), F.max("hits").alias("hits"), F.max("noise").alias("noise"))
-    n = F.count("*").over(Window.partitionBy("article_id"))
-    found = best.withColumn("n", n)
-    rel = found.select("article_id", "ticker", relevance_of(F.col("hits"), F.col("noise"), ~F.col("b.later"), F.col("n")).alias("relevance"), F.col("b.alias").alias("matched_alias"))
-    none = a.select("article_id").join(found, "article_id", "left_anti").select("article_id", F.lit(config.NOBODY).alias("ticker"), F.lit(0.0).alias("relevance"), F.lit(None).cast("string").alias("matched_alias"))
-    return rel.unionByName(none)
+    a = a.withColumns({"hits": word_hits(full, market), "noise": word_hits(full, noise)})
+    name_words = F.transform(F.array_distinct(F.split(F.concat_ws(" ", "nt", "nb"), "[^a-z0-9]+")), lambda w: F.concat(F.lit("n"), w))
+    codes = F.filter(F.array_distinct(F.split(F.concat_ws(" ", "rt", "rb"), "[^A-Za-z0-9]+")), lambda w: w.rlike(CODE))
+    words = F.concat(name_words, F.transform(codes, lambda w: F.concat(F.lit("c"), w)), F.array(F.lit("")))
+    key = gaz.select(F.concat(F.when(F.col("cased"), "c").otherwise("n"), F.col("first")).alias("key"), "ticker", "rank", "alias", "cased", "pattern")
+    nobody = gaz.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(config.NOBODY).alias("ticker"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("alias"), F.lit(False).alias("cased"), F.lit("").alias("pattern"))
+    title = F.rlike(F.when(F.col("cased"), F.col("rt")).otherwise(F.col("nt")), F.col("pattern"))
+    body = F.rlike(F.when(F.col("cased"), F.col("rb")).otherwise(F.col("nb")), F.col("pattern"))
+    # a pattern is tried once on the title and, for the order of aliases, once more where it was found
+    hit = by_first_word(a, words, key.unionByName(nobody), (F.col("pattern") == "") | title | body, ["article_id", "ticker", "rank", (~title).alias("later"), "alias", "hits", "noise"]).repartition("article_id")
+    best = hit.groupBy("article_id", "ticker").agg(F.min(F.struct("rank", "later", "alias")).alias("b"), F.max("hits").alias("hits"), F.max("noise").alias("noise"))
+    someone = F.col("ticker") != config.NOBODY
+    found = best.withColumn("n", F.count_if(someone).over(Window.partitionBy("article_id"))).where(someone | (F.col("n") == 0))
+    rel = F.when(someone, relevance_of(F.col("hits"), F.col("noise"), ~F.col("b.later"), F.col("n"))).otherwise(0.0)
+    return found.select("article_id", "ticker", rel.alias("relevance"), F.col("b.alias").alias("matched_alias"))
 
 
 def entities_from(spark: SparkSession, watchlist: dict[str, list[str]]) -> DataFrame:

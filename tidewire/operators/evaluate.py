@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +38,12 @@ def top_precision(df: DataFrame, p: str = "p", y: str = "y", shares: tuple[float
     return df.join(F.broadcast(c), F.col(p) >= F.col("cut")).groupBy("share", "cut", "base").agg(F.count("*").alias("n"), F.avg(y).alias("precision")).select("share", "cut", "n", "precision", "base")
 
 
-def reliability(df: DataFrame, p: str = "p", y: str = "y", bins: int = 10) -> DataFrame:
-    """(bin, n, p_mean, rate, lo, hi): bins between the percentiles of p, with Wilson intervals of the rate."""
-    edges = df.select(F.percentile(p, [i / bins for i in range(1, bins)]).alias("e"))
-    b = df.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("e", lambda x: x < F.col(p))))
-    g = b.groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("p_mean"), F.avg(y).alias("rate"))
+def reliability(df: DataFrame, p: str = "p", y: str = "y", bins: int = 10, by: list[str] | None = None) -> DataFrame:
+    """(by..., bin, n, p_mean, rate, lo, hi): bins between the percentiles of p, with Wilson intervals of the rate."""
+    by = list(by or [])
+    edges = (df.groupBy(*by) if by else df.groupBy()).agg(F.percentile(p, [i / bins for i in range(1, bins)]).alias("e"))
+    b = (df.join(edges, by) if by else df.join(F.broadcast(edges))).withColumn("bin", F.size(F.filter("e", lambda x: x < F.col(p))))
+    g = b.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(p).alias("p_mean"), F.avg(y).alias("rate"))
     lo, hi = stats.wilson(F.col("rate") * F.col("n"), F.col("n"))
     return g.withColumns({"lo": lo, "hi": hi})
 
@@ -132,26 +136,84 @@ def beta_dispersion(pairs: DataFrame, by: list[str] = (), least: int = 8) -> Dat
     return (b.groupBy(*by) if by else b.groupBy()).agg(F.stddev_pop("beta").alias("dispersion"), F.count("*").alias("n"))
 
 
+SIDE = 256  #: entities of a block of a matrix
+
+
+def _blocks(entities: DataFrame, key: str, side: int) -> DataFrame:
+    """(key, block, e): entities dealt to blocks of about `side`; e numbers them within their block."""
+    n = entities.count()
+    block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // side)))).cast("int")
+    return entities.withColumn("block", block).withColumn("e", F.row_number().over(Window.partitionBy("block").orderBy(key)) - 1)
+
+
+def dispersion_under(abn: DataFrame, draws: DataFrame, least: int = 8, side: int = SIDE) -> DataFrame:
+    """(perm, dispersion, n): for each perm of draws (perm, date, x) the population deviation over entities of the slopes of
+    abn (ticker, date, abn) on x, entities with `least` of the days alone.
+
+    Blocked products of the draws with the matrix of returns: returns are dealt once by blocks of entities, of a block the days
+    that any draw has; every block meets all draws, and what comes out is three sums a block and perm. So returns are never copied for
+    a permutation. draws has perms times event days rows.
+    """
+    days = draws.select("date").distinct()
+    rows = abn.where("abn is not null").join(days, "date", "left_semi")
+    of = _blocks(written(rows.select("ticker").distinct(), "entities"), "ticker", side)
+    dealt = rows.join(of, "ticker").select("block", "e", "date", "abn")
+    every = draws.join(of.select("block").distinct())
+
+    def run(y: pa.Table, d: pa.Table) -> pa.Table:
+        if not len(y) or not len(d):
+            return none
+        dates, at = np.unique(y["date"].to_numpy(), return_inverse=True)
+        m = np.full((len(dates), int(np.max(y["e"].to_numpy())) + 1), np.nan)
+        m[at, y["e"].to_numpy()] = y["abn"].to_numpy()
+        has, m = (~np.isnan(m)).astype(float), np.nan_to_num(m)
+        perm, when, x = (d[c].to_numpy() for c in ("perm", "date", "x"))
+        order = np.argsort(perm, kind="stable")
+        perm, when, x = perm[order], when[order], x[order]
+        place = np.minimum(np.searchsorted(dates, when), len(dates) - 1)
+        known = dates[place] == when
+        out = []
+        for p, a, b in zip(*[v.tolist() for v in (lambda s: (perm[s], s, np.r_[s[1:], len(perm)]))(np.flatnonzero(np.r_[True, perm[1:] != perm[:-1]]))], strict=True):
+            k = known[a:b]
+            h, g, v = has[place[a:b][k]], m[place[a:b][k]], x[a:b][k]
+            n, sx, sxx, sy, sxy = h.sum(0), v @ h, (v * v) @ h, g.sum(0), v @ g
+            den = n * sxx - sx * sx
+            ok = (n >= least) & (den > 1e-12 * np.maximum(n * sxx, 1e-300))
+            beta = (n * sxy - sx * sy)[ok] / den[ok]
+            out.append((p, len(beta), float(beta.sum()), float((beta * beta).sum())))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), none.schema, strict=True)], schema=none.schema)
+
+    none = pa.schema([("perm", pa.int32()), ("n", pa.int64()), ("s", pa.float64()), ("q", pa.float64())]).empty_table()
+    sums = dealt.groupBy("block").cogroup(every.select("block", F.col("perm").cast("int").alias("perm"), "date", F.col("x").cast("double").alias("x")).groupBy("block")).applyInArrow(run, "perm int, n long, s double, q double")
+    g = sums.groupBy("perm").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).where("n > 0")
+    mean = F.col("s") / F.col("n")
+    return g.select("perm", F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("dispersion"), "n")
+
+
 def permutation_dispersion(event_rets: DataFrame, surprises: DataFrame, perms: int = 500, seed: int = 1, least: int = 8) -> DataFrame:
-    """(dispersion, p_value, null_p95): dispersion of surprise betas against surprises shuffled over dates. Only the surprises
-    (date, surprise) are repeated; returns (ticker, date, abn) stay one copy."""
-    obs = beta_dispersion(event_rets.join(surprises, "date"), (), least).select(F.col("dispersion").alias("obs_"))
-    null = beta_dispersion(event_rets.join(shuffled(surprises, "surprise", perms, (), seed), "date"), ["perm"], least)
-    j = null.join(F.broadcast(obs))
-    return j.groupBy(F.col("obs_").alias("dispersion")).agg(((F.count_if(F.col("dispersion") >= F.col("obs_")) + 1) / (F.count("*") + 1)).alias("p_value"), F.percentile("dispersion", 0.95).alias("null_p95"))
+    """(dispersion, p_value, null_p95): dispersion of the slopes of abn (ticker, date, abn) on surprises (date, surprise) against
+    surprises shuffled over the dates; perm 0 is the observed one, counted in."""
+    s = written(surprises.where("surprise is not null").select("date", "surprise"), "surprises")
+    draws = s.withColumn("perm", F.lit(0)).unionByName(shuffled(s, "surprise", perms, (), seed)).withColumnRenamed("surprise", "x")
+    got = written(dispersion_under(event_rets, written(draws, "draws"), least), "dispersion")
+    obs = got.where("perm = 0").select(F.col("dispersion").alias("obs_"))
+    return got.where("perm > 0").join(F.broadcast(obs)).groupBy(F.col("obs_").alias("dispersion")).agg(  # one row
+        ((F.count_if(F.col("dispersion") >= F.col("obs_")) + 1) / (F.count("*") + 1)).alias("p_value"), F.percentile("dispersion", 0.95).alias("null_p95"))
 
 
 def random_day_control(abn: DataFrame, events: DataFrame, samples: int = 200, seed: int = 1, least: int = 8) -> DataFrame:
     """(dispersion, control_mean, control_p95, share_above): dispersion on event days (date, surprise) against that on as many
-    random sessions with the same surprises."""
-    days = abn.select("date").distinct()
-    n = events.select("date").distinct().count()
-    pick = days.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    pick = pick.withColumn("k_", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "date"), "date"))).where(F.col("k_") <= n)
-    s = events.select("surprise", F.row_number().over(Window.orderBy("date")).alias("k_"))
-    null = beta_dispersion(abn.join(pick.join(s, "k_"), "date"), ["perm"], least)
-    obs = beta_dispersion(abn.join(events, "date"), (), least).select(F.col("dispersion").alias("obs_"))
-    return null.join(F.broadcast(obs)).groupBy(F.col("obs_").alias("dispersion")).agg(F.avg("dispersion").alias("control_mean"), F.percentile("dispersion", 0.95).alias("control_p95"), F.avg((F.col("dispersion") >= F.col("obs_")).cast("double")).alias("share_above"))
+    other sessions with the same surprises: each sample takes the sessions with the smallest hashes."""
+    ev = written(events.where("surprise is not null").select("date", F.col("surprise").alias("x")), "events")
+    n = ev.count()
+    days = abn.select("date").distinct().join(ev.select("date"), "date", "left_anti")
+    many = days.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    pick = many.withColumn("k_", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "date"), "date")) - 1).where(F.col("k_") < n)
+    draws = ev.withColumn("perm", F.lit(0)).unionByName(pick.join(stats.row_index(ev, ["date"]).select("k_", "x"), "k_").select("date", "x", "perm"))
+    got = written(dispersion_under(abn, written(draws, "draws"), least), "dispersion")
+    obs = got.where("perm = 0").select(F.col("dispersion").alias("obs_"))
+    return got.where("perm > 0").join(F.broadcast(obs)).groupBy(F.col("obs_").alias("dispersion")).agg(  # one row
+        F.avg("dispersion").alias("control_mean"), F.percentile("dispersion", 0.95).alias("control_p95"), F.avg((F.col("dispersion") >= F.col("obs_")).cast("double")).alias("share_above"))
 
 
 def leadlag_pairs(rets: DataFrame, least: int = 60, value: str = "ret", key: str = "ticker", date: str = "date") -> DataFrame:
@@ -173,6 +235,123 @@ def block_shuffled(rets: DataFrame, block: int = 10, seed: int = 1, key: str = "
     return r.select(key, "i_", date).join(dealt, [key, "i_"]).select(rets.columns)
 
 
+BINS = 4000  #: of |ic| from 0 to 1 in the null distribution: its points are exact to a bin
+
+
+def leadlag_null(rets: DataFrame, perms: int = 200, block: int = 10, seed: int = 1, value: str = "ret", key: str = "ticker", date: str = "date", side: int = SIDE) -> DataFrame:
+    """(n_pairs, sessions, mean_ic, sd_ic, null_sd, ratio, null_p95, share_over, max_ic, p_max, p_sd): the rank correlations of
+    all ordered pairs (leader's session, follower's next one) against the same with the leaders' blocks of `block` sessions in another order.
+
+    Over the sessions that all entities have. null_p95 is the 95 % point of |ic| over all pairs and shuffles, share_over the
+    share of observed pairs beyond it; p_max and p_sd compare the observed largest |ic| and deviation with each shuffle's.
+
+    Blocked products of the session x entity matrix of ranks: a task has a block of leaders and a block of followers, reorders
+    the leaders' sessions for each shuffle (which leaves their ranks as they are) and multiplies. Out of it come sums and counts by
+    bin, no pairs; all shuffles are one job.
+    """
+    from .panel import common_dates
+
+    rows = rets.select(key, date, value).where(F.col(value).isNotNull())
+    rows = rows.join(common_dates(rows, key, date), date, "left_semi")
+    days = rows.select(date).distinct().withColumn("one_", F.lit(1))
+    idx = stats.prefix_counts(days, date, ["one_"]).select(date, F.col("one__before").cast("int").alias("i"))
+    ranked = stats.avg_rank(rows, value, "rank", [key]).join(idx, date)
+    of = _blocks(written(rows.select(key).distinct(), "entities"), key, side)
+    dealt = written(ranked.join(of, key).select("block", "e", "i", "rank"), "ranks")
+    n_blocks = of.select("block").distinct()
+    lead = dealt.withColumnRenamed("block", "a").join(n_blocks.withColumnRenamed("block", "b"))  # a leader's ranks go to each block of followers
+    follow = dealt.withColumnRenamed("block", "b").join(n_blocks.withColumnRenamed("block", "a"))
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        i, e = t["i"].to_numpy(), t["e"].to_numpy()
+        m = np.zeros((i.max() + 1, e.max() + 1))
+        m[i, e] = t["rank"].to_numpy()
+        return m
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        m = m - m.mean(0)
+        norm = np.sqrt((m * m).sum(0))
+        return m / np.where(norm > 0, norm, np.inf)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not len(x) or not len(y) or x["i"].to_numpy().max() < 2:
+            return none
+        same = x["a"][0].as_py() == y["b"][0].as_py()
+        lead, after = matrix(x), unit(matrix(y)[1:])
+        cuts = range(0, len(lead), block)
+        out = []
+        for p in range(perms + 1):
+            draw = np.random.default_rng([seed, p, x["a"][0].as_py()])
+            # each leader's blocks in an order of its own; the same one for every block of followers
+            mixed = lead if p == 0 else np.stack([np.concatenate([col[c : c + block] for c in np.array(cuts)[draw.permutation(len(cuts))]]) for col in lead.T], axis=1)
+            ic = unit(mixed[:-1]).T @ after
+            ic = ic[~np.eye(len(ic), dtype=bool)] if same else ic.ravel()
+            if len(ic):
+                out.append((p, len(ic), len(lead), ic.sum(), (ic * ic).sum(), np.abs(ic).max(), np.bincount(np.minimum((np.abs(ic) * BINS).astype(int), BINS - 1), minlength=BINS).tolist()))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), none.schema, strict=True)], schema=none.schema) if out else none
+
+    none = pa.schema([("perm", pa.int32()), ("n", pa.int64()), ("t", pa.int64()), ("s", pa.float64()), ("q", pa.float64()), ("top", pa.float64()), ("bins", pa.list_(pa.int64()))]).empty_table()
+    parts = lead.groupBy("a", "b").cogroup(follow.groupBy("a", "b")).applyInArrow(run, "perm int, n long, t long, s double, q double, top double, bins array<long>")
+    parts = written(parts, "leadlag")
+    each = parts.groupBy("perm").agg(F.sum("n").alias("n"), F.max("t").alias("t"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("top").alias("top"))
+    each = each.withColumn("sd", F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))))
+    obs = each.where("perm = 0").select("n", "t", (F.col("s") / F.col("n")).alias("mean_"), F.col("sd").alias("sd_"), F.col("top").alias("top_"))
+    null = each.where("perm > 0").join(F.broadcast(obs.select("sd_", "top_")))  # one row
+    tail = null.agg(F.sqrt(F.sum("q") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2)).alias("null_sd"), ((F.count_if(F.col("top") >= F.col("top_")) + 1) / (F.count("*") + 1)).alias("p_max"), ((F.count_if(F.col("sd") >= F.col("sd_")) + 1) / (F.count("*") + 1)).alias("p_sd"))
+    counts = parts.select((F.col("perm") == 0).alias("seen"), F.posexplode("bins").alias("bin", "c")).groupBy("bin").agg(F.sum(F.when(~F.col("seen"), F.col("c")).otherwise(0)).alias("c"), F.sum(F.when(F.col("seen"), F.col("c")).otherwise(0)).alias("o"))
+    upto = Window.orderBy("bin")  # BINS rows
+    counts = counts.withColumn("below", F.sum("c").over(upto)).withColumn("all", F.sum("c").over(Window.partitionBy()))
+    point = counts.where(F.col("below") >= 0.95 * F.col("all")).agg(F.min("bin").alias("cut"))
+    over = counts.join(F.broadcast(point)).agg(((F.max("cut") + 1) / BINS).alias("null_p95"), (F.sum(F.when(F.col("bin") > F.col("cut"), F.col("o")).otherwise(0)) / F.sum("o")).alias("share_over"))
+    j = obs.join(F.broadcast(tail)).join(F.broadcast(over))  # one row each
+    return j.select(F.col("n").alias("n_pairs"), F.col("t").alias("sessions"), F.col("mean_").alias("mean_ic"), F.col("sd_").alias("sd_ic"), "null_sd", (F.col("sd_") / F.col("null_sd")).alias("ratio"), "null_p95", "share_over", F.col("top_").alias("max_ic"), "p_max", "p_sd")
+
+
+def asymmetry_walk(rets: DataFrame, market: DataFrame, estimate: int = 252, future: int = 63, step: int | None = None, least: int = 30, perms: int = 500, seed: int = 1, entities: int = 5) -> DataFrame:
+    """(n_cuts, mean_ic, t, p_value): at every cut, `step` sessions apart (default `future`: the futures don't overlap), rank correlation over
+    entities of the asymmetry of the `estimate` sessions before with that of the `future` ones from the cut on; cuts with `entities` at
+    least. t = mean / (deviation / sqrt n); p against futures shuffled over the entities within each cut, the observed counted in.
+
+    Sessions come down to sums by segment (the greatest length that divides all three) and running totals of these, so that
+    overlapping windows share their sums: a window is the difference of two totals.
+    """
+    step = step or future
+    g = math.gcd(math.gcd(estimate, future), step)
+    days = market.select("date").distinct()
+    idx = stats.prefix_counts(days.withColumn("one_", F.lit(1)), "date", ["one_"]).select("date", F.col("one__before").cast("int").alias("i_"))
+    total = days.count()
+    j = rets.select("ticker", "date", "ret").join(market.select("date", "market"), "date").join(idx, "date")
+    x, y, names = F.col("market"), F.col("ret"), []
+    sums = []
+    for side, on in (("d", x < 0), ("u", x > 0)):
+        for name, v in (("n", F.lit(1.0)), ("x", x), ("y", y), ("xy", x * y), ("xx", x * x)):
+            names.append(side + name)
+            sums.append(F.sum(F.when(on, v).otherwise(0.0)).alias(side + name))
+    seg = j.groupBy("ticker", F.floor(F.col("i_") / g).cast("int").alias("s_")).agg(*sums)
+    grid = seg.select("ticker").distinct().join(rets.sparkSession.range(-(-total // g)).select(F.col("id").cast("int").alias("s_")))  # entities by segments
+    dense = grid.join(seg, ["ticker", "s_"], "left")
+    w = Window.partitionBy("ticker").orderBy("s_")
+    run = dense.select("ticker", "s_", F.array(*[F.sum(F.coalesce(c, F.lit(0.0))).over(w) for c in names]).alias("p_"))
+    zero = F.array(*[F.lit(0.0)] * len(names))
+    at, before, after = F.coalesce(F.lag("p_", 1).over(w), zero), F.coalesce(F.lag("p_", 1 + estimate // g).over(w), zero), F.lead("p_", future // g - 1).over(w)
+    cuts = run.select("ticker", "s_", at.alias("at_"), before.alias("before_"), after.alias("after_")).where((F.col("s_") >= estimate // g) & ((F.col("s_") * g - estimate) % step == 0) & (F.col("s_") * g + future < total))
+
+    def asymmetry(upper: str, lower: str, floor: int) -> Column:
+        v = [F.col(upper)[i] - F.col(lower)[i] for i in range(len(names))]
+        slope = lambda n, sx, sy, sxy, sxx: F.when(n >= floor, F.try_divide(n * sxy - sx * sy, F.nullif(n * sxx - sx * sx, F.lit(0.0))))
+        return slope(*v[:5]) - slope(*v[5:])
+
+    two = cuts.select("ticker", F.col("s_").alias("cut"), asymmetry("at_", "before_", least).alias("past"), asymmetry("after_", "at_", max(2, least // 3)).alias("future")).where("past is not null and future is not null")
+    # rounded, so that the order of adding makes no ranks
+    two = two.select("ticker", "cut", F.round("past", 9).alias("past"), F.round("future", 9).alias("future"))
+    two = written(two.withColumn("n_", F.count("*").over(Window.partitionBy("cut"))).where(F.col("n_") >= entities).drop("n_"), "asymmetry")
+    ic = stats.spearman(two, "past", "future", ["cut"]).where("ic is not null")
+    obs = ic.agg(F.count("*").alias("n_cuts"), F.avg("ic").alias("mean_ic"), (F.avg("ic") / F.nullif(F.stddev_pop("ic") / F.sqrt(F.count("*")), F.lit(0.0))).alias("t"))
+    null = stats.spearman(shuffled(two, "future", perms, ["cut"], seed), "past", "future", ["perm", "cut"]).where("ic is not null").groupBy("perm").agg(F.avg("ic").alias("null_"))
+    p = obs.join(null).groupBy("n_cuts", "mean_ic", "t").agg(((F.count_if(F.abs("null_") >= F.abs("mean_ic") - 1e-12) + 1) / (F.count("null_") + 1)).alias("p_value"))
+    return p if perms else obs.withColumn("p_value", F.lit(None).cast("double"))
+
+
 def asymmetry_persistence(rets: DataFrame, market: DataFrame, estimate: int = 252, future: int = 63, least: int = 30) -> DataFrame:
     """(n_cuts, mean_ic, t): over non-overlapping cuts, rank correlation over entities of the asymmetry of the sessions before the cut
     with that of the sessions after."""
@@ -191,31 +370,31 @@ def asymmetry_persistence(rets: DataFrame, market: DataFrame, estimate: int = 25
 
 
 def direction_horizons(signals: DataFrame, abn: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), folds: int = 6) -> DataFrame:
-    """(horizon, side, n, auc, lo, hi): walk-forward logistic of the class at each horizon on the signal (ticker, date, signal)."""
+    """(horizon, side, n, auc, lo, hi): walk-forward logistic of the class at each horizon on the signal (ticker, date, signal).
+    All horizons, sides and folds are fitted by the same aggregates."""
     from .labels import future_sessions
     from .volatility import out_of_sample
 
     f = future_sessions(abn, horizons).join(signals, ["ticker", "date"])
-    parts = []
-    for h in horizons:
-        for side, sign in (("up", 1), ("down", -1)):
-            rows = f.where(f"car_{h} is not null and sigma_{h} > 0").withColumn("y", (F.col(f"car_{h}") * sign > 0.5 * F.col(f"sigma_{h}")).cast("double"))
-            a = stats.auc(out_of_sample(rows, ["signal"], folds), "p", "y")
-            parts.append(a.select(F.lit(h).alias("horizon"), F.lit(side).alias("side"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc", "lo", "hi"))
-    return reduce(DataFrame.unionByName, parts)
+    cases = [F.struct(F.lit(h).alias("horizon"), F.lit(side).alias("side"), F.lit(f"{h} {side}").alias("case"), F.when(F.col(f"car_{h}").isNotNull() & (F.col(f"sigma_{h}") > 0), (F.col(f"car_{h}") * sign > 0.5 * F.col(f"sigma_{h}")).cast("double")).alias("y"))
+             for h in horizons for side, sign in (("up", 1), ("down", -1))]
+    rows = f.select("ticker", "date", "signal", F.explode(F.array(*cases)).alias("x")).select("ticker", "date", "signal", "x.*").where("y is not null")
+    a = stats.auc(out_of_sample(rows, ["signal"], folds, group="case"), "p", "y", ["horizon", "side"])
+    every = rows.sparkSession.createDataFrame([(h, s) for h in horizons for s in ("up", "down")], "horizon int, side string")
+    return every.join(a, ["horizon", "side"], "left").select("horizon", "side", F.coalesce(F.col("n_pos") + F.col("n_neg"), F.lit(0)).alias("n"), "auc", "lo", "hi")
 
 
 def feature_ablation(ds: DataFrame, xs: list[str], folds: int = 6) -> DataFrame:
-    """(kind, features, n, auc, skill) out of sample: all, each alone, each left out, and one after another."""
+    """(kind, features, n, auc, skill) out of sample: all, each alone, each left out, and one after another. The models of all
+    sets and folds are fitted by the same aggregates."""
     from .volatility import out_of_sample
 
     sets = [("all", xs), *[("single", [x]) for x in xs], *[("without", [y for y in xs if y != x]) for x in xs if len(xs) > 1], *[("first", xs[: k + 1]) for k in range(1, len(xs) - 1)]]
-    parts = []
-    for kind, use in sets:
-        o = out_of_sample(ds, use, folds)
-        a, b = stats.auc(o, "p", "y"), stats.brier_skill(o, "p", "y", "base")
-        parts.append(a.join(F.broadcast(b)).select(F.lit(kind).alias("kind"), F.lit(", ".join(use)).alias("features"), "n", "auc", "skill"))
-    return reduce(DataFrame.unionByName, parts)
+    case = F.explode(F.array(*[F.struct(F.lit(f"{i}").alias("case"), F.lit(kind).alias("kind"), F.lit(", ".join(use)).alias("features")) for i, (kind, use) in enumerate(sets)])).alias("x")
+    rows = ds.select("ticker", "date", "y", *xs, case).select("ticker", "date", "y", *xs, "x.*")
+    o = written(out_of_sample(rows, xs, folds, group="case", use={f"{i}": use for i, (_, use) in enumerate(sets)}), "ablation")
+    by = ["case", "kind", "features"]
+    return stats.auc(o, "p", "y", by).join(stats.brier_skill(o, "p", "y", "base", by), by).select("kind", "features", "n", "auc", "skill")
 
 
 def lagged_ic(signal: DataFrame, target: DataFrame, lags: tuple[int, ...] = (0, 1, 2), date: str = "date") -> DataFrame:

@@ -28,11 +28,12 @@ def _moments(df: DataFrame, xs: list[str], y: str, fold: str) -> dict:
     return {r[fold]: r for r in df.groupBy(fold).agg(*aggs).collect()}  # a row a fold
 
 
-def logit_fit_folds(df: DataFrame, xs: list[str], y: str, fold: str, lam: float = 1e-3, rounds: int = 80, stop: float = 1e-9) -> dict:
+def logit_fit_folds(df: DataFrame, xs: list[str], y: str, fold: str, lam: float = 1e-3, rounds: int = 80, stop: float = 1e-9, use: dict | None = None) -> dict:
     """One model a value of `fold`, all fitted at once: each Newton step is one aggregate of p (p + 3) / 2 + p sums a fold.
 
     Standardized by population deviation (1 where that is 0), the penalty on all coefficients, start at the log-odds.
-    Cache df beforehand: it is read once a step. Rows with a null feature are left out.
+    Pass a written df: it is read once a step. Rows with a null feature are left out. use: of a fold the features that its model has
+    (all by default); the others' coefficients stay 0, so models of any subsets share the steps.
     """
     ok = df.select(fold, *xs, F.col(y).cast("double").alias("y_")).na.drop()
     mom = _moments(ok, xs, "y_", fold)
@@ -42,13 +43,14 @@ def logit_fit_folds(df: DataFrame, xs: list[str], y: str, fold: str, lam: float
         b = np.zeros(k)
         b[0] = math.log(max(1e-6, r["base"]) / max(1e-6, 1 - r["base"]))
         models[f] = Logit(xs, np.array([r[f"m_{i}"] for i in range(len(xs))]), np.where(sd > 0, sd, 1.0), b, r["n"], r["base"])
+    has = {f: [x in (use or {}).get(f, xs) for x in xs] for f in models}
     open_ = set(models)
     for _ in range(rounds):
         if not open_:
             break
         spark = df.sparkSession
-        par = spark.createDataFrame([(f, [float(v) for v in m.b], [float(v) for v in m.mean], [float(v) for v in m.sd]) for f, m in models.items() if f in open_], ok.select(fold).schema.add("b_", _ARR).add("m_", _ARR).add("d_", _ARR))
-        z = [F.lit(1.0)] + [(F.col(x) - F.col("m_")[i]) / F.col("d_")[i] for i, x in enumerate(xs)]
+        par = spark.createDataFrame([(f, m.b.tolist(), m.mean.tolist(), [s if h else math.inf for s, h in zip(m.sd.tolist(), has[f], strict=True)]) for f, m in models.items() if f in open_], ok.select(fold).schema.add("b_", _ARR).add("m_", _ARR).add("d_", _ARR))
+        z = [F.lit(1.0)] + [(F.col(x) - F.col("m_")[i]) / F.col("d_")[i] for i, x in enumerate(xs)]  # 0 for a feature that the model lacks
         t = ok.join(F.broadcast(par), fold).select(fold, "y_", "b_", *[c.alias(f"z{i}") for i, c in enumerate(z)])  # a row a fold
         eta = sum((F.col("b_")[i] * F.col(f"z{i}") for i in range(k)), F.lit(0.0))
         p = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), eta))))
@@ -76,12 +78,26 @@ def logit_predict(m: Logit) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), eta))))
 
 
+def params(spark, models: dict, fold: str, kind: str = "string") -> DataFrame:
+    """(fold, b, mean, sd, base) of models, a row each; features a model lacks have coefficient 0."""
+    rows = [(f, m.b.tolist(), m.mean.tolist(), m.sd.tolist(), float(m.base)) for f, m in models.items()]
+    return spark.createDataFrame(rows, f"{fold} {kind}, b array<double>, mean array<double>, sd array<double>, base double")
+
+
+def predict_from(xs: list[str], b: Column, mean: Column, sd: Column) -> Column:
+    """Probability by the parameters that stand in a row's own columns."""
+    eta = b[0]
+    for i, x in enumerate(xs):
+        eta = eta + (F.col(x) - mean[i]) / sd[i] * b[i + 1]
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), eta))))
+
+
 def predict_by_fold(df: DataFrame, models: dict, fold: str, out: str = "p") -> DataFrame:
-    """df with out: the prediction of the model of its row's fold (null for none)."""
-    e = F.lit(None).cast("double")
-    for f, m in models.items():
-        e = F.when(F.col(fold) == f, logit_predict(m)).otherwise(e)
-    return df.withColumn(out, e)
+    """df with out, the prediction of the model of its row's fold, and base, that model's training rate (null for none)."""
+    xs = next(iter(models.values())).names if models else []
+    par = params(df.sparkSession, models, fold, dict(df.dtypes)[fold]).withColumnsRenamed({"b": "b_", "mean": "m_", "sd": "d_"})
+    p = predict_from(xs, F.col("b_"), F.col("m_"), F.col("d_")) if models else F.lit(None).cast("double")
+    return df.join(F.broadcast(par), fold, "left").withColumn(out, p).drop("b_", "m_", "d_")  # a row a fold
 
 
 def least_squares(df: DataFrame, xs: list[str], y: str) -> np.ndarray:

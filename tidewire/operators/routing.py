@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import norm
+from .entity import by_first_word
 
 LAYERS = ("name", "driver", "sector", "theme")  #: of one (url, ticker) the first layer counts
 
@@ -24,13 +25,12 @@ def plan(exposures: DataFrame, topics: DataFrame, k: int = config.TOP_DRIVERS, m
 def match_terms(articles: DataFrame, terms: DataFrame) -> DataFrame:
     """(article_id, topic) of articles whose normal text holds a topic's term as whole words. terms: (topic, term).
 
-    Texts meet terms by the term's first word, and only those pairs see a pattern."""
-    t = terms.select("topic", norm(F.col("term")).alias("form")).where("form != ''").withColumn("w_", F.regexp_extract("form", "[a-z0-9]+", 0))
-    t = t.withColumn("p_", F.concat(F.lit(r"(?<![a-z0-9])\Q"), "form", F.lit(r"\E(?![a-z0-9])")))
+    Texts meet terms by the term's first word, and the pattern is tried in the text's own row."""
+    t = terms.select("topic", norm(F.col("term")).alias("form")).where("form != ''").withColumn("key", F.regexp_extract("form", "[a-z0-9]+", 0))
+    t = t.withColumn("p_", F.concat(F.lit(r"(?<![a-z0-9])\Q"), "form", F.lit(r"\E(?![a-z0-9])"))).select("key", "topic", "p_")
     a = articles.select("article_id", norm(F.concat_ws(" ", "title", "body")).alias("text_"))
-    words = a.select("article_id", F.explode(F.array_distinct(F.split("text_", "[^a-z0-9]+"))).alias("w_"))
-    pairs = words.join(t, "w_").join(a, "article_id").where(F.rlike(F.col("text_"), F.col("p_")))
-    return pairs.select("article_id", "topic").distinct()
+    words = F.array_distinct(F.split("text_", "[^a-z0-9]+"))
+    return by_first_word(a, words, t, F.rlike(F.col("text_"), F.col("p_")), ["article_id", "topic"]).distinct()
 
 
 def route_articles(articles: DataFrame, listeners: DataFrame, terms: DataFrame) -> DataFrame:

@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its files have fewer splits than two a core, as heavy work on texts would wait for a few tasks;
+    larger tables stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -23,7 +30,7 @@ def R(expr: str) -> str:
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     ts = F.lit(START) + (F.col("doc_id") * 7919) % SPAN
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("article_id"), F.concat(F.lit("http://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 1, 120).alias("title"), F.col("text").alias("body"),
         F.col("source").alias("domain"), "lang", F.timestamp_seconds(ts).alias("published_ts"), F.timestamp_seconds(ts + F.col("doc_id") % 7 * 60).alias("ingested_ts"), F.lit("rss").alias("source"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -220,6 +222,16 @@ def q_vol_calibrator(spark, sf):
     return spark.createDataFrame([(k, str(v)) for k, v in m.items()], "metric string, value string")
 
 
+@query("volatility_calibrated")
+def q_vol_calibrated(spark, sf):
+    """Versions fitted at four year ends, and every row scored by the one that stood then. The gates are laxer than the defaults,
+    so that versions pass on these tables."""
+    d = written(volatility.dataset(_abn(spark, sf), panel.driver_vol(_driver_rets(spark, sf))), "volatility")
+    models = volatility.fit_versions(d, [dt.date(y, 12, 31) for y in (1993, 1994, 1995, 1996)], gates={"n": 500, "auc": 0.5, "auc_lo": 0.4, "skill": -0.01})
+    got = volatility.vol_head_asof(_vol_latest(spark, sf), models)
+    return got.select("ticker", "date", "model_asof", "p_vol", r6("vol_base").alias("vol_base"), "vol_calib", r6("vol_score").alias("vol_score"))
+
+
 @query("volatility_target_variants")
 def q_vol_variants(spark, sf):
     return volatility.target_variants(written(volatility.dataset(_abn(spark, sf), panel.driver_vol(_driver_rets(spark, sf))), "volatility"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +42,51 @@ def upsert(existing: DataFrame, new: DataFrame, key: list[str], version: str) ->
     return best.select(*key, "r_.*").select(existing.columns)
 
 
+MANY = 5_000  #: partitions that a batch's rows may name as a filter; a batch that touches more reads the table
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def touched(path: str, new: DataFrame, by: str) -> DataFrame:
+    """The stored rows of the partitions that rows of new belong to: the partitions' values, counted, are a filter of the scan."""
+    stored = new.sparkSession.read.parquet(path)
+    values = [r[0] for r in new.select(by).distinct().limit(MANY + 1).collect()]
+    if len(values) > MANY:
+        return stored
+    hit = F.col(by).isin([v for v in values if v is not None])
+    return stored.where(hit | F.col(by).isNull() if None in values else hit)
+
+
+def insert_into(path: str, new: DataFrame, key: list[str], by: str, prefer: list[str] | None = None) -> None:
+    """insert_new on a Parquet table in folders of its column `by`: only the folders that new touches are read, and rows are
+    appended, one file a folder. Running a batch again adds nothing. A key must not move between folders."""
+    new = written(new, "batch")
+    if not _exists(new.sparkSession, path):
+        fresh = insert_new(new.limit(0), new, key, prefer)
+    else:
+        fresh = insert_new(touched(path, new, by).select(new.columns), new, key, prefer)
+    append_partitioned(fresh, path, [by])
+
+
+def upsert_into(path: str, new: DataFrame, key: list[str], version: str, by: str) -> None:
+    """upsert on a Parquet table in folders of its column `by`: the folders that new touches are read and replaced as wholes,
+    the others stay untouched. Running a batch again changes nothing. A key must not move between folders."""
+    new = written(new, "batch")
+    if _exists(new.sparkSession, path):
+        whole = written(upsert(touched(path, new, by).select(new.columns), new, key, version), "merged")  # before its source is replaced
+    else:
+        whole = upsert(new.limit(0), new, key, version)
+    whole.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink of a stream's micro-batches: each batch's rows replace those of its number, so a batch run again counts once."""
+    return lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def append_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     """Append to a Parquet table dealt by its partition columns, so that a folder gets few files."""
     df.repartition(*by).write.mode("append").partitionBy(*by).parquet(path)

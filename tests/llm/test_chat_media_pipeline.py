@@ -141,16 +141,51 @@ def test_image_classes(spark):
     images = spark.createDataFrame(rows, IMAGES).repartition(3)
     ids = images.select("image_id").where("image_id is not null").distinct()
     f = media.describe(images)
-    of = lambda some: f if some is None else f.join(some, "image_id", "left_semi")
-    level, media.LEVEL = media.LEVEL, 3
-    try:
-        got = {r.image_id: (r.class_id, r.n_links) for r in media.image_classes(of, f.where("image_id % 5 = 0 and image_id < 100"), ids).collect()}
-    finally:
-        media.LEVEL = level
+    got = {r.image_id: (r.class_id, r.n_links) for r in media.image_classes(f, f.where("image_id % 5 = 0 and image_id < 100"), ids).collect()}
     want = {i: (i, 0) for i, *_ in rows if i is not None}
     want |= {1000 + i: (i, 1) for i in range(5, 60, 5)} | {5: (5, 2), 70: (5, 2), 75: (5, 2), 1005: (5, 3)}
     assert got == want
-    assert media.image_classes(lambda some: f.limit(0), f.limit(0), ids.limit(0)).count() == 0
+    assert media.image_classes(f.limit(0), f.limit(0), ids.limit(0)).count() == 0
+
+
+def brute_classes(links, queries, ids):
+    """image -> (class, links) from all links (query, image): classes of query images first, then what they connect."""
+
+    def least(edges, nodes):
+        root = {x: x for x in nodes}
+        for _ in nodes:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    among = least([(a, b) for a, b in links if b in queries], queries)
+    whole = least(links, ids)
+    out = {}
+    for i in ids:
+        met = {among[q] for q, x in links if x == i} | ({among[i]} if i in queries else set())
+        out[i] = (whole[i], sum(among[q] in met for q in queries if q != i))
+    return out
+
+
+def halves(a, b):
+    return np.concatenate([a[:, :64], b[:, :64]], axis=1)
+
+
+def test_image_classes_lose_no_link(spark):
+    """Pictures of two halves that link to several classes, a chain of half overlaps, and 60 pictures against all links found."""
+    rng = np.random.default_rng(6)
+    a, c, d = (media.draw(rng.normal(0, 0.2, 64)) for _ in range(3))
+    base = [media.draw(rng.normal(0, 0.2, 64)) for _ in range(13)]
+    imgs = [(5, a), (10, halves(a, c)), (15, d), (1001, halves(c, d))]
+    imgs += [(100 + 5 * k, halves(base[k], base[k + 1])) for k in range(12)]  # each shares a half, at its place or moved, with the next
+    imgs += [(200 + k, media.draw(rng.normal(0, 0.2, 64))) for k in range(30)] + [(300 + 5 * k, media.edit(base[k], k % 4)) for k in range(12)] + [(400, base[3]), (401, base[4])]
+    f = corpus_pipeline.save(media.describe(spark.createDataFrame(image_rows(imgs), IMAGES)), "features")
+    asked = f.where("image_id % 5 = 0")
+    links = {(r.query_id, r.image_id) for r in media.find_copies(f, asked).collect()}
+    assert (10, 1001) in links and (15, 1001) in links
+    queries, ids = {i for i, _ in imgs if i % 5 == 0}, {i for i, _ in imgs}
+    got = {r.image_id: (r.class_id, r.n_links) for r in media.image_classes(f, asked, spark.createDataFrame([(i,) for i in ids], "image_id long")).collect()}
+    assert got == brute_classes(links, queries, ids) and got[1001] == (5, 3)
 
 
 @pytest.fixture(scope="module")

@@ -10,6 +10,7 @@ block by block in tasks of their own.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pyarrow as pa
@@ -30,10 +31,10 @@ PAIRS = [(p, q) for p in range(STATES) for q in _REACH[p]]
 _AT = {pq: i for i, pq in enumerate(PAIRS)}
 RULES = [[(_AT[p, r], _AT[r, q]) for r in _REACH[p] if q in _REACH[r]] for p, q in PAIRS]
 
-Cell = list  # of (cost, audit) or None, by PAIRS
+Cell = tuple  # of (cost, audit) or None, by PAIRS
 
 
-def combine(left: Cell, right: Cell) -> Cell:
+def _combine(left: Cell, right: Cell) -> Cell:
     """The cell of two neighbouring spans. Of equal costs no audit begins another, so the least stays least when audits are joined."""
     out = []
     for rule in RULES:
@@ -47,13 +48,23 @@ def combine(left: Cell, right: Cell) -> Cell:
                     if best is None or got < best:
                         best = got
         out.append(best)
-    return out
+    return tuple(out)
+
+
+_remembered = functools.lru_cache(maxsize=1 << 14)(_combine)
+SHORT = 8  #: rows of a span whose cell is remembered: short spans recur in most conversations
 
 
-def together(cells: list[Cell]) -> Cell:
-    """The cell of a run of spans: neighbours are combined, then neighbours of those, and so on."""
+def combine(left: Cell, right: Cell, rows: int = SHORT) -> Cell:
+    """_combine, remembered where the span has few rows."""
+    return (_remembered if rows < SHORT else _combine)(left, right)
+
+
+def together(cells: list[Cell], rows: int = 1) -> Cell:
+    """The cell of a run of spans of so many rows each: neighbours are combined, then neighbours of those, and so on."""
     while len(cells) > 1:
-        cells = [combine(*cells[i : i + 2]) if i + 1 < len(cells) else cells[i] for i in range(0, len(cells), 2)]
+        rows *= 2
+        cells = [combine(*cells[i : i + 2], rows) if i + 1 < len(cells) else cells[i] for i in range(0, len(cells), 2)]
     return cells[0]
 
 
@@ -70,14 +81,14 @@ def _closure() -> Cell:
                     if (q, role) in STEP:
                         new[p, STEP[q, role]] = (cost + INSERT, audit + "I")
         front = new
-    return [best.get(pq) for pq in PAIRS]
+    return tuple(best.get(pq) for pq in PAIRS)
 
 
 EMPTY = _closure()
 
 
 def _unit(options: dict) -> Cell:
-    return combine(combine(EMPTY, [options.get(pq) for pq in PAIRS]), EMPTY)
+    return combine(combine(EMPTY, tuple(options.get(pq) for pq in PAIRS)), EMPTY)
 
 
 def row_cell(initial: str, faulty: bool, truncated: bool) -> Cell:
@@ -118,32 +129,52 @@ class _Units:
 
 _CELL = "conv string, pos long, n long, costs array<long>, audits array<string>, first string, last string, blank long, duplicate long, truncated long, illegal long"
 _LEGAL = ("su", "ua", "au")
-
-
-def _pack(conv, pos, n, cell, first, last, blank, duplicate, truncated, illegal) -> pa.Table:
-    return pa.table({
-        "conv": pa.array([conv]), "pos": pa.array([pos], pa.int64()), "n": pa.array([n], pa.int64()), "costs": pa.array([[None if c is None else c[0] for c in cell]], pa.list_(pa.int64())),
-        "audits": pa.array([[None if c is None else c[1] for c in cell]], pa.list_(pa.string())), "first": pa.array([first]), "last": pa.array([last]),
-        **{k: pa.array([v], pa.int64()) for k, v in (("blank", blank), ("duplicate", duplicate), ("truncated", truncated), ("illegal", illegal))}})
+_FIELDS = [x.split() for x in _CELL.split(", ")]
+_ARROW = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+_SCHEMA = pa.schema([(n, _ARROW[k]) for n, k in _FIELDS])
+
+
+def _pack(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (conv, pos, n, cell, first, last, and the counts) as a batch of _CELL."""
+    cells = [r[3] for r in rows]
+    cols = list(zip(*rows)) or [()] * 10
+    split = [[[None if c is None else c[i] for c in cell] for cell in cells] for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([*cols[:3], *split, *cols[4:]], _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def _block_row(block: int, rows: list[tuple], unit: _Units) -> tuple:
+    """The cell of a block's rows (conv, block, pos, n, initial, copies, blank, seen, cut)."""
+    cells, blank, duplicate, truncated, illegal, before = [], 0, 0, 0, 0, None
+    for *_, initial, copies, is_blank, seen, cut in rows:
+        faulty = is_blank or seen
+        cells.append(unit(initial, faulty, cut, copies))
+        blank += copies * is_blank
+        duplicate += 0 if is_blank else copies - (not seen)
+        truncated += not faulty and cut
+        illegal += (before is not None and before + initial not in _LEGAL) + (copies - 1 if initial + initial not in _LEGAL else 0)
+        before = initial
+    conv, at, _, n, first = rows[0][:5]
+    return conv, at, -(-n // block), together(cells), first, before, blank, duplicate, truncated, illegal
 
 
 def _row_cells(rows: DataFrame, block: int) -> DataFrame:
-    """A cell a block of rows (conv, pos, n, initial, copies, blank, seen, cut)."""
+    """A cell a block of rows (conv, pos, n, initial, copies, blank, seen, cut). Blocks stream by, one in memory at a time."""
 
-    def run(t: pa.Table) -> pa.Table:
-        t, unit = t.sort_by("pos"), _Units()
-        cells, blank, duplicate, truncated, illegal, before = [], 0, 0, 0, 0, None
-        for initial, copies, is_blank, seen, cut in zip(*[t[c].to_pylist() for c in ("initial", "copies", "blank", "seen", "cut")], strict=True):
-            faulty = is_blank or seen
-            cells.append(unit(initial, faulty, cut, copies))
-            blank += copies * is_blank
-            duplicate += 0 if is_blank else copies - (not seen)
-            truncated += not faulty and cut
-            illegal += (before is not None and before + initial not in _LEGAL) + (copies - 1 if initial + initial not in _LEGAL else 0)
-            before = initial
-        return _pack(t["conv"][0].as_py(), t["pos"][0].as_py() // block, -(-t["n"][0].as_py() // block), together(cells), t["initial"][0].as_py(), before, blank, duplicate, truncated, illegal)
+    def run(batches):
+        unit, mine = _Units(), []
+        for b in batches:
+            done = []
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if mine and mine[0][:2] != r[:2]:
+                    done.append(_block_row(block, mine, unit))
+                    mine = []
+                mine.append(r)
+            yield _pack(done)
+        if mine:
+            yield _pack([_block_row(block, mine, unit)])
 
-    return rows.withColumn("block", F.floor(F.col("pos") / block)).groupBy("conv", "block").applyInArrow(run, _CELL)
+    keyed = rows.select("conv", F.floor(F.col("pos") / block).alias("block"), "pos", "n", "initial", "copies", "blank", "seen", "cut")
+    return keyed.repartition("conv", "block").sortWithinPartitions("conv", "block", "pos").mapInArrow(run, _CELL)
 
 
 def _upper_cells(cells: DataFrame, block: int) -> DataFrame:
@@ -151,10 +182,10 @@ def _upper_cells(cells: DataFrame, block: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         t = sorted(t.to_pylist(), key=lambda r: r["pos"])
-        whole = together([[None if c is None else (c, a) for c, a in zip(r["costs"], r["audits"], strict=True)] for r in t])
+        whole = together([tuple(None if c is None else (c, a) for c, a in zip(r["costs"], r["audits"], strict=True)) for r in t], SHORT)
         border = sum(x["last"] + y["first"] not in _LEGAL for x, y in zip(t, t[1:]))
         sums = [sum(r[k] for r in t) for k in ("blank", "duplicate", "truncated", "illegal")]
-        return _pack(t[0]["conv"], t[0]["pos"] // block, -(-t[0]["n"] // block), whole, t[0]["first"], t[-1]["last"], *sums[:3], sums[3] + border)
+        return pa.Table.from_batches([_pack([(t[0]["conv"], t[0]["pos"] // block, -(-t[0]["n"] // block), whole, t[0]["first"], t[-1]["last"], *sums[:3], sums[3] + border)])])
 
     return cells.withColumn("block", F.floor(F.col("pos") / block)).groupBy("conv", "block").applyInArrow(run, _CELL)
 

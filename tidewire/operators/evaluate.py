@@ -158,7 +158,7 @@ def dispersion_under(abn: DataFrame, draws: DataFrame, least: int = 8, side: int
     rows = abn.where("abn is not null").join(days, "date", "left_semi")
     of = _blocks(written(rows.select("ticker").distinct(), "entities"), "ticker", side)
     dealt = rows.join(of, "ticker").select("block", "e", "date", "abn")
-    every = draws.join(of.select("block").distinct())
+    every = draws.join(of.select(F.col("block").alias("at")).distinct())
 
     def run(y: pa.Table, d: pa.Table) -> pa.Table:
         if not len(y) or not len(d):
@@ -184,7 +184,7 @@ def dispersion_under(abn: DataFrame, draws: DataFrame, least: int = 8, side: int
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), none.schema, strict=True)], schema=none.schema)
 
     none = pa.schema([("perm", pa.int32()), ("n", pa.int64()), ("s", pa.float64()), ("q", pa.float64())]).empty_table()
-    sums = dealt.groupBy("block").cogroup(every.select("block", F.col("perm").cast("int").alias("perm"), "date", F.col("x").cast("double").alias("x")).groupBy("block")).applyInArrow(run, "perm int, n long, s double, q double")
+    sums = dealt.groupBy("block").cogroup(every.select("at", F.col("perm").cast("int").alias("perm"), "date", F.col("x").cast("double").alias("x")).groupBy("at")).applyInArrow(run, "perm int, n long, s double, q double")
     g = sums.groupBy("perm").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).where("n > 0")
     mean = F.col("s") / F.col("n")
     return g.select("perm", F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("dispersion"), "n")
@@ -258,9 +258,9 @@ def leadlag_null(rets: DataFrame, perms: int = 200, block: int = 10, seed: int =
     ranked = stats.avg_rank(rows, value, "rank", [key]).join(idx, date)
     of = _blocks(written(rows.select(key).distinct(), "entities"), key, side)
     dealt = written(ranked.join(of, key).select("block", "e", "i", "rank"), "ranks")
-    n_blocks = of.select("block").distinct()
-    lead = dealt.withColumnRenamed("block", "a").join(n_blocks.withColumnRenamed("block", "b"))  # a leader's ranks go to each block of followers
-    follow = dealt.withColumnRenamed("block", "b").join(n_blocks.withColumnRenamed("block", "a"))
+    blocks = written(of.select("block").distinct(), "blocks")
+    copy = lambda *names: dealt.select(F.col("block").alias(names[0]), *[F.col(c).alias(c) for c in ("e", "i", "rank")]).join(blocks.select(F.col("block").alias(names[1])))
+    lead, follow = copy("a", "b"), copy("d", "c")  # ranks go to each block of the other side
 
     def matrix(t: pa.Table) -> np.ndarray:
         i, e = t["i"].to_numpy(), t["e"].to_numpy()
@@ -276,7 +276,7 @@ def leadlag_null(rets: DataFrame, perms: int = 200, block: int = 10, seed: int =
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         if not len(x) or not len(y) or x["i"].to_numpy().max() < 2:
             return none
-        same = x["a"][0].as_py() == y["b"][0].as_py()
+        same = x["a"][0].as_py() == x["b"][0].as_py()
         lead, after = matrix(x), unit(matrix(y)[1:])
         cuts = range(0, len(lead), block)
         out = []
@@ -291,7 +291,7 @@ def leadlag_null(rets: DataFrame, perms: int = 200, block: int = 10, seed: int =
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), none.schema, strict=True)], schema=none.schema) if out else none
 
     none = pa.schema([("perm", pa.int32()), ("n", pa.int64()), ("t", pa.int64()), ("s", pa.float64()), ("q", pa.float64()), ("top", pa.float64()), ("bins", pa.list_(pa.int64()))]).empty_table()
-    parts = lead.groupBy("a", "b").cogroup(follow.groupBy("a", "b")).applyInArrow(run, "perm int, n long, t long, s double, q double, top double, bins array<long>")
+    parts = lead.groupBy("a", "b").cogroup(follow.groupBy("c", "d")).applyInArrow(run, "perm int, n long, t long, s double, q double, top double, bins array<long>")
     parts = written(parts, "leadlag")
     each = parts.groupBy("perm").agg(F.sum("n").alias("n"), F.max("t").alias("t"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("top").alias("top"))
     each = each.withColumn("sd", F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))))

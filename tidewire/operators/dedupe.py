@@ -18,10 +18,10 @@ from .asof import asof_join
 BANDS = ((0, 16, 3), (16, 16, 2), (32, 16, 2), (48, 15, 2))
 
 
-def story_features(articles: DataFrame, with_simhash: bool = True) -> DataFrame:
+def story_features(articles: DataFrame, with_simhash: bool = True, hash: str = "blake2b") -> DataFrame:
     """(article_id, ts seconds, toks, figs, sig): of the title; the SimHash also sees 400 characters of the body."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring(F.coalesce("body", F.lit("")), 1, 400))
-    sig = simhash(text) if with_simhash else F.lit(None).cast("long")
+    sig = simhash(text, hash) if with_simhash else F.lit(None).cast("long")
     return articles.select("article_id", F.unix_timestamp("published_ts").alias("ts"), content_tokens(F.col("title")).alias("toks"), figures(F.col("title")).alias("figs"), sig.alias("sig"))
 
 
@@ -115,14 +115,14 @@ def _first_alike(rows: DataFrame, span: int) -> DataFrame:
     return _first_of_classes(named.select("article_id", "ts", "lo", "cls"), meet, span)
 
 
-def parents(articles: DataFrame, window_hours: float = 48, step_hours: float | None = None, use_simhash: bool = True) -> DataFrame:
+def parents(articles: DataFrame, window_hours: float = 48, step_hours: float | None = None, use_simhash: bool = True, hash: str = "blake2b") -> DataFrame:
     """(article_id, ts, parent): the earliest earlier article (ties by id) within window_hours that is the same story.
 
     With step_hours, articles are seen through windows of that step that end at the first time + window + k * step:
     one looks back to the start of the first window that shows it. Articles without a time or id have no parent.
     """
     span = int(window_hours * 3600)
-    f = written(story_features(articles, use_simhash), "stories")
+    f = written(story_features(articles, use_simhash, hash), "stories")
     lo = F.col("ts") - (span - 1)
     if step_hours:
         step, t0 = int(step_hours * 3600), f.agg(F.min("ts")).first()[0] or 0

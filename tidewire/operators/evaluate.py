@@ -242,7 +242,7 @@ def leadlag_null(rets: DataFrame, perms: int = 200, block: int = 10, seed: int =
     """(n_pairs, sessions, mean_ic, sd_ic, null_sd, ratio, null_p95, share_over, max_ic, p_max, p_sd): the rank correlations of
     all ordered pairs (leader's session, follower's next one) against the same with the leaders' blocks of `block` sessions in another order.
 
-    Over the sessions that all entities have. null_p95 is the 95 % point of |ic| over all pairs and shuffles, share_over the
+    Over the sessions that all entities have; no row where there are fewer than three. null_p95 is the 95 % point of |ic| over all pairs and shuffles, share_over the
     share of observed pairs beyond it; p_max and p_sd compare the observed largest |ic| and deviation with each shuffle's.
 
     Blocked products of the session x entity matrix of ranks: a task has a block of leaders and a block of followers, reorders

@@ -178,6 +178,12 @@ def q_leadlag(spark, sf):
 
 @query("leadlag_null")
 def q_leadlag_null(spark, sf):
+    got = evaluate.leadlag_null(panel.returns(prices(spark, sf, "p_type")), 100)
+    return got.select(*[r6(c).alias(c) if k == "double" else c for c, k in got.dtypes])
+
+
+@query("leadlag_block_shuffled")
+def q_leadlag_shuffled(spark, sf):
     return evaluate.leadlag_pairs(evaluate.block_shuffled(panel.returns(prices(spark, sf, "p_type")))).withColumn("ic", r6("ic"))
 
 
@@ -335,6 +341,23 @@ def q_earnings(spark, sf):
     return got.select("id", r6("r_consensus").alias("consensus"), r6(F.try_divide(F.col("actual") - F.col("r_consensus"), F.nullif("r_dispersion", F.lit(0.0)))).alias("surprise"))
 
 
+SUMMARY = """act AS (SELECT o_custkey::VARCHAR AS ticker, year(o_orderdate)::VARCHAR AS period, o_orderpriority AS metric, l_shipdate AS rel, l_extendedprice AS actual FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+con AS (SELECT o_custkey::VARCHAR AS ticker, year(o_orderdate)::VARCHAR AS period, o_orderpriority AS metric, o_orderdate AS ts_, o_totalprice AS consensus, (o_orderkey % 7)::DOUBLE AS disp FROM orders WHERE o_orderkey % 3 <> 0)"""
+
+
+@query("earnings_summary", f"""WITH {SUMMARY}, b AS (SELECT ticker, period, metric, ts_, max((consensus, disp)) AS c FROM con GROUP BY ALL),
+j AS (SELECT a.*, b.c[1] AS consensus, CASE WHEN b.c[2] <> 0 THEN (actual - b.c[1]) / b.c[2] END AS surprise FROM act a ASOF LEFT JOIN b ON a.ticker = b.ticker AND a.period = b.period AND a.metric = b.metric AND a.rel > b.ts_),
+g AS (SELECT ticker, period, max(rel) AS at_, median(surprise) AS m, count(surprise) AS n, count(*) FILTER (consensus IS NULL) AS k FROM j GROUP BY ALL)
+SELECT ticker, period, {R('m')} AS median_surprise, n AS n_metrics, k AS n_without_consensus FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY at_ DESC, period DESC) AS r FROM g) WHERE r = 1""")
+def q_earnings_summary(spark, sf):
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    who = [F.col("o_custkey").cast("string").alias("ticker"), F.year("o_orderdate").cast("string").alias("period"), F.col("o_orderpriority").alias("metric")]
+    con = o.where("o_orderkey % 3 != 0").select(*who, F.col("o_totalprice").alias("consensus"), (F.col("o_orderkey") % 7).cast("double").alias("dispersion"), F.col("o_orderdate").alias("asof_ts"))
+    act = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(*who, F.col("l_extendedprice").alias("actual"), F.col("l_shipdate").alias("released_ts"))
+    got = surprise.earnings_summary(surprise.earnings_surprise(act, con))
+    return got.select("ticker", "period", r6("median_surprise").alias("median_surprise"), "n_metrics", "n_without_consensus")
+
+
 @query("asof_forward", f"""WITH {prices_sql()}, {returns_sql()}, ev AS (SELECT DISTINCT p_brand AS ticker, CAST(o_orderdate AS DATE) AS event FROM orders JOIN part ON o_orderkey % 200 = p_partkey % 200), j AS (SELECT ev.ticker, event, r.date, r.ret FROM ev ASOF LEFT JOIN rets r ON ev.ticker = r.ticker AND ev.event <= r.date)
 SELECT ticker, event, CASE WHEN date - event <= 5 THEN date END AS session, {R('CASE WHEN date - event <= 5 THEN ret END')} AS ret FROM j""")
 def q_asof_forward(spark, sf):
@@ -396,6 +419,32 @@ def q_calendar(spark, sf):
     return months.select("m", rules).select("x.event", calendars.rule_date(F.col("x.rule"), F.col("m")).alias("date"))
 
 
+RULES = {"payroll": ("ECONOMY", "first_friday"), "prices": ("LARGE", "day12"), "orders": ("PROMO", "day1")}  #: types of parts stand for instruments
+_FROM, _TO = "1994-01-01", "1996-06-30"
+SCHEDULED = f"""sm AS (SELECT unnest(generate_series(DATE '{_FROM}', DATE '{_TO}', INTERVAL 1 MONTH))::DATE AS m),
+sd0 AS (SELECT 'payroll' AS event, 'ECONOMY' AS instrument, m + CAST((5 - isodow(m) + 7) % 7 AS INT) AS d FROM sm UNION ALL SELECT 'orders', 'PROMO', m FROM sm UNION ALL SELECT 'prices', 'LARGE', m + 11 FROM sm),
+scheduled AS (SELECT event, instrument, d + CASE isodow(d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS date FROM sd0)"""
+
+
+@query("market_proxy", f"""WITH {DRIVERS}, {SCHEDULED}, ps AS (SELECT driver, stddev_pop(ret) AS sd FROM drets GROUP BY driver), pj AS (SELECT s.event, s.instrument, s.date, r.date AS session, ret FROM scheduled s ASOF JOIN drets r ON s.instrument = r.driver AND s.date <= r.date),
+p1 AS (SELECT event, instrument, session, min(date) AS date, any_value(ret) AS ret FROM pj WHERE session - date <= 5 GROUP BY ALL)
+SELECT event, instrument, date, session, {R('ret / nullif(sd, 0)')} AS proxy FROM p1 JOIN ps ON driver = instrument""")
+def q_proxy(spark, sf):
+    rets = written(_driver_rets(spark, sf), "drivers").withColumnRenamed("driver", "instrument")
+    got = surprise.market_proxy(calendars.rule_dates(spark, _FROM, _TO, RULES), rets)
+    return got.withColumn("proxy", r6("proxy"))
+
+
+@query("pre_event_context", BETAS + f""", {SCHEDULED}, h AS (SELECT *, abs(beta) / sum(abs(beta)) OVER (PARTITION BY ticker) AS share FROM e)
+SELECT ticker, event, s.date, driver, {R('share')} AS share, {R("share * CASE WHEN s.date = DATE '1995-03-03' THEN 1.0 ELSE 0.7 END")} AS context FROM h JOIN scheduled s ON s.instrument = h.driver WHERE s.date BETWEEN DATE '1995-03-03' AND DATE '1995-03-13'""")
+def q_context(spark, sf):
+    e = _static_betas(spark, sf)
+    total = e.groupBy("ticker").agg(F.sum(F.abs("beta")).alias("t_"))
+    shares = e.join(total, "ticker").select("ticker", "driver", (F.abs("beta") / F.col("t_")).alias("share"))
+    got = calendars.pre_event_context(shares, calendars.rule_dates(spark, _FROM, _TO, RULES), "1995-03-03", 10)
+    return got.select("ticker", "event", "date", "driver", r6("share").alias("share"), r6("context").alias("context"))
+
+
 @query("event_car", f"""WITH {ABN}, {MACRO}, {REL}, c AS (SELECT ticker, date, CASE WHEN count(abn) OVER w = 4 THEN sum(abn) OVER w END AS car FROM abn WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)), e AS (SELECT DISTINCT ticker, event FROM pr)
 SELECT e.ticker, event, {R('car')} AS car FROM e ASOF LEFT JOIN c ON e.ticker = c.ticker AND e.event <= c.date""")
 def q_event_car(spark, sf):
@@ -428,9 +477,16 @@ def q_asym_persistence(spark, sf):
     return evaluate.asymmetry_persistence(rets, panel.market_return(rets), 252, 126, 10).withColumns({c: r6(c) for c in ("mean_ic", "t")})
 
 
+@query("asymmetry_walk")
+def q_asym_walk(spark, sf):
+    rets = written(_rets(spark, sf), "returns")
+    got = evaluate.asymmetry_walk(rets, panel.market_return(rets), 252, 126, 63, 10, 100)
+    return got.select("n_cuts", *[r6(c).alias(c) for c in ("mean_ic", "t", "p_value")])
+
+
 @query("direction_horizons")
 def q_direction(spark, sf):
     d = _driver_rets(spark, sf)
     e = _static_betas(spark, sf).join(d.select("driver", "date"), "driver")
     s = exposure.driver_signal(e, d, d.groupBy("driver").agg(F.stddev_pop("ret").alias("sd")))
-    return evaluate.direction_horizons(s, _abn(spark, sf), (1, 5), 3)
+    return evaluate.direction_horizons(s, _abn(spark, sf), (1, 5, 20), 3)

@@ -10,7 +10,7 @@ from ..functions import stats, text, timeutil
 from ..operators import alarms, attention, calibrate, dedupe, documents, entity, evaluate, models, quality, routing, score, signal, sources_weight
 from ..sources import readers, sinks
 from ..streaming import streams
-from .mapping import ARTICLES, BARS, CLUSTERED, R, articles, bars, clustered, r6, table
+from .mapping import ARTICLES, BARS, CLUSTERED, R, articles, bars, clustered, content_sql, figures_sql, norm_sql, r6, table
 
 QUERIES, SQL = {}, {}
 
@@ -38,42 +38,44 @@ WATCH = {"AAAA3": ["AAAA3", "and the", "thing"], "BBBB4": ["la de", "que", "BBBB
 _DOTS = r"[^a-z0-9%+\-.\s]"
 
 
-def _norm(expr: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({expr}, ''))), '[^a-z0-9%+\-.\s]', ' ', 'g'), '\s+', ' ', 'g'))"
-
-
 def _strings(items) -> str:
     return "[" + ", ".join(f"'{x}'" for x in items) + "]"
 
 
-@query("text_norm", f"SELECT doc_id, md5({_norm('text')}) AS norm_md5, len(list_filter(string_split({_norm('text')}, ' '), lambda t: t <> '')) AS n_tokens FROM documents")
-def q_norm(spark, sf):
+@query("text_norm", f"SELECT doc_id, md5({norm_sql('text')}) AS norm_md5, len(list_filter(string_split({norm_sql('text')}, ' '), lambda t: t <> '')) AS n_tokens FROM documents")
+def qnorm_sql(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.norm(F.col("text")).cast("binary")).alias("norm_md5"), F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query("content_tokens", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split({_norm('substr(text, 1, 120)')}, ' '), lambda t: length(t) > 2 AND NOT list_contains({_strings(config.STOP_WORDS)}, t)))), ' ') AS toks FROM documents")
+@query("content_tokens", f"SELECT doc_id, array_to_string({content_sql('text')}, ' ') AS toks FROM documents")
 def q_content(spark, sf):
-    return articles(spark, sf).select(F.col("article_id").alias("doc_id"), F.array_join(F.array_sort(text.content_tokens(F.col("title"))), " ").alias("toks"))
+    return articles(spark, sf).select(F.col("article_id").alias("doc_id"), F.array_join(F.array_sort(text.content_tokens(F.col("body"))), " ").alias("toks"))
 
 
 _FIG = "x AS (SELECT doc_id, lower(strip_accents('a ' || (doc_id % 977) || ',' || (doc_id % 10) || ' bi b ' || doc_id % 3 || '.5 milhoes ' || text)) AS t FROM documents)"
-_MAGS = "|".join(config.MAGNITUDES)
 
 
-@query("figures", f"""WITH {_FIG}, y AS (SELECT doc_id, list_transform(list_zip(regexp_extract_all(t, '(\\d+(?:[.,]\\d+)?)\\s*({_MAGS})\\b', 1), regexp_extract_all(t, '(\\d+(?:[.,]\\d+)?)\\s*({_MAGS})\\b', 2)),
-  lambda p: CAST(replace(p[1], ',', '.') AS DOUBLE) * MAP {{{', '.join(f"'{k}': {v!r}::DOUBLE" for k, v in config.MAGNITUDES.items())}}}[p[2]]) AS v FROM x)
-SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(v, lambda a: a >= 1e6), lambda a: CAST(round(a / pow(10.0, floor(log10(a)) - 3)) AS BIGINT) * CAST(pow(10, floor(log10(a)) - 3) AS BIGINT)))), ' ') AS figs FROM y""")
+@query("figures", f"WITH {_FIG} SELECT doc_id, array_to_string({figures_sql('t')}, ' ') AS figs FROM x")
 def q_figures(spark, sf):
     t = F.concat(F.lit("a "), (F.col("doc_id") % 977).cast("string"), F.lit(","), (F.col("doc_id") % 10).cast("string"), F.lit(" bi b "), (F.col("doc_id") % 3).cast("string"), F.lit(".5 milhoes "), "text")
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(text.figures(t), lambda v: v.cast("long").cast("string")), " ").alias("figs"))
 
 
-@query("same_story_scores", f"""WITH {ARTICLES}, k AS (SELECT article_id, list_sort(list_distinct(list_filter(string_split({_norm('title')}, ' '), lambda t: length(t) > 2 AND NOT list_contains({_strings(config.STOP_WORDS)}, t)))) AS k FROM articles), p AS (SELECT a.article_id AS a, b.article_id AS b, a.k AS ka, b.k AS kb FROM k a JOIN k b ON b.article_id = a.article_id + 20)
-SELECT a, b, {R('CASE WHEN len(ka) = 0 OR len(kb) = 0 THEN 0 ELSE len(list_intersect(ka, kb)) / len(list_distinct(list_concat(ka, kb)))::DOUBLE END')} AS jaccard, bit_count(xor(a * 7919, b * 104729))::INT AS hamming FROM p""")
+@query("same_story_scores", f"""WITH {ARTICLES}, w AS (SELECT article_id, ts, {content_sql('title')} AS k, {figures_sql("lower(strip_accents(title))")} AS f, list_filter(string_split({norm_sql("title || ' ' || substr(body, 1, 400)")}, ' '), lambda t: t <> '') AS t FROM articles),
+h AS (SELECT article_id, len(t) AS n, unnest(list_transform(range(1, greatest(1, len(t) - 2) + 1), lambda i: ('0x' || substr(md5(array_to_string(t[i:i + 2], ' ')), 1, 16))::UBIGINT)) AS h FROM w),
+bits AS (SELECT article_id, i, 2 * sum((h >> i) & 1) > greatest(1, n - 2) AS on_ FROM h, range(63) r(i) GROUP BY article_id, i, n), sig AS (SELECT article_id, bit_or(CASE WHEN on_ THEN 1::UBIGINT << i ELSE 0 END) AS sig FROM bits GROUP BY article_id),
+v AS (SELECT * FROM w JOIN sig USING (article_id)), p AS (SELECT a.article_id AS a, b.article_id AS b, a.ts, CASE WHEN len(a.k) = 0 OR len(b.k) = 0 THEN 0 ELSE len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k)))::DOUBLE END AS j, bit_count(xor(a.sig, b.sig))::INT AS h, list_has_any(a.f, b.f) AS f
+  FROM v a JOIN v b ON b.ts - a.ts < 172800 AND (a.ts < b.ts OR a.ts = b.ts AND a.article_id < b.article_id)),
+m AS (SELECT b, min({{'ts': ts, 'a': a, 'j': j, 'h': h}}) AS x FROM p WHERE j >= {config.JACCARD_MIN}::DOUBLE OR h <= {config.HAMMING_MAX} OR f AND j >= {config.JACCARD_WITH_FIGURE}::DOUBLE GROUP BY b)
+SELECT x.a AS a, b, {R('x.j')} AS jaccard, x.h AS hamming FROM m""")
 def q_same_story(spark, sf):
-    k = articles(spark, sf).select("article_id", text.content_tokens(F.col("title")).alias("k"))
-    j = k.select(F.col("article_id").alias("a"), F.col("k").alias("ka"), (F.col("article_id") + 20).alias("b")).join(k.select(F.col("article_id").alias("b"), F.col("k").alias("kb")), "b")
-    return j.select("a", "b", r6(text.jaccard(F.col("ka"), F.col("kb"))).alias("jaccard"), text.hamming(F.col("a") * 7919, F.col("b") * 104729).alias("hamming"))
+    """Each article that repeats a story with the article it is matched to, and by how much."""
+    a = articles(spark, sf)
+    p = dedupe.parents(a, 48, hash="md5").where("parent is not null").select(F.col("parent").alias("a"), F.col("article_id").alias("b"))
+    f = sinks.written(dedupe.story_features(a, hash="md5"), "stories")
+    side = lambda n: f.select(F.col("article_id").alias(n), F.col("toks").alias("t" + n), F.col("sig").alias("s" + n))
+    j = p.join(side("a"), "a").join(side("b"), "b")
+    return j.select("a", "b", r6(text.jaccard(F.col("ta"), F.col("tb"))).alias("jaccard"), text.hamming(F.col("sa"), F.col("sb")).alias("hamming"))
 
 
 _LETTERS = r"CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\p{L}\s]', '', 'g')) / length(text)::DOUBLE ELSE 0 END"
@@ -94,7 +96,7 @@ def _lexicon_sql() -> str:
     hits = " + ".join(f"contains(t, '{k}')::INT" for k in PHRASE)
     event = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p, _ in EVENT)
     mag = " ".join(f"WHEN regexp_matches(t, '{p}') THEN {w!r}::DOUBLE" for _, p, w in EVENT)
-    return f"""lt AS (SELECT article_id, {_norm("title || ' ' || substr(body, 1, 600)")} AS t FROM articles), lk AS (SELECT article_id, t, list_filter(string_split(t, ' '), lambda x: x <> '') AS k FROM lt),
+    return f"""lt AS (SELECT article_id, {norm_sql("title || ' ' || substr(body, 1, 600)")} AS t FROM articles), lk AS (SELECT article_id, t, list_filter(string_split(t, ' '), lambda x: x <> '') AS k FROM lt),
 lf AS (SELECT article_id, t, k, list_filter(list_transform(range(1, len(k) + 1), lambda i: CASE WHEN list_has_any(k[greatest(i - 3, 1):i - 1], {_strings(NO)}) THEN -0.7 * MAP {{{table_}}}[k[i]] ELSE MAP {{{table_}}}[k[i]] END), lambda w: w IS NOT NULL) AS w FROM lk),
 ls AS (SELECT article_id, t, k, coalesce(list_sum(w), 0) + {phrase} AS total, len(w) + {hits} AS hits FROM lf),
 sc0 AS (SELECT article_id, CASE WHEN hits = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0, total / sqrt(hits))) END AS s,
@@ -109,25 +111,25 @@ def q_lexicon(spark, sf):
     return _scored(spark, sf).select("article_id", "s", "magnitude", "event_type")
 
 
-@query("orientation", f"""WITH {ARTICLES}, x AS (SELECT article_id, {_norm('title')} AS t FROM articles), y AS (SELECT article_id, CASE WHEN regexp_matches(t, '\\b(the|le)\\b') THEN 'passado' END AS a, CASE WHEN regexp_matches(t, '\\b(of|de)\\b') OR regexp_matches(t, '\\bder\\b') THEN 'presente' END AS b, CASE WHEN regexp_matches(t, '\\b\\w+(?:er|ing)\\b') THEN 'futuro' END AS c FROM x)
+@query("orientation", f"""WITH {ARTICLES}, x AS (SELECT article_id, {norm_sql('body')} AS t FROM articles), y AS (SELECT article_id, CASE WHEN regexp_matches(t, '\\b(the|le)\\b') THEN 'passado' END AS a, CASE WHEN regexp_matches(t, '\\b(of|de)\\b') OR regexp_matches(t, '\\bder\\b') THEN 'presente' END AS b, CASE WHEN regexp_matches(t, '\\b\\w+(?:er|ing)\\b') THEN 'futuro' END AS c FROM x)
 SELECT article_id, CASE WHEN a IS NULL AND b IS NULL AND c IS NULL THEN 'presente' ELSE concat_ws(',', c, a, b) END AS orientation FROM y""")
 def q_orientation(spark, sf):
-    o = score.orientation(F.col("title"), [r"\b(the|le)\b"], [r"\b(of|de)\b", r"\bder\b"], [r"\b\w+(?:er|ing)\b"])
+    o = score.orientation(F.col("body"), [r"\b(the|le)\b"], [r"\b(of|de)\b", r"\bder\b"], [r"\b\w+(?:er|ing)\b"])
     return articles(spark, sf).select("article_id", F.array_join(o, ",").alias("orientation"))
 
 
-@query("event_nature", f"WITH {ARTICLES}, x AS (SELECT article_id, {_norm('title')} AS t FROM articles) SELECT article_id, CASE WHEN regexp_matches(t, '\\b(the|der)\\b') THEN 'judicial' WHEN regexp_matches(t, '\\b(of|la)\\b') THEN 'macro' WHEN article_id % 3 = 0 THEN 'judicial' ELSE 'corporativo' END AS nature FROM x")
+@query("event_nature", f"WITH {ARTICLES}, x AS (SELECT article_id, {norm_sql('body')} AS t FROM articles) SELECT article_id, CASE WHEN regexp_matches(t, '\\b(the|der)\\b') THEN 'judicial' WHEN regexp_matches(t, '\\b(of|la)\\b') THEN 'macro' WHEN article_id % 3 = 0 THEN 'judicial' ELSE 'corporativo' END AS nature FROM x")
 def q_nature(spark, sf):
     old = F.when(F.col("article_id") % 3 == 0, "regulatory").when(F.col("article_id") % 3 == 1, "earnings")
-    return articles(spark, sf).select("article_id", score.event_nature(F.col("title"), old, [("judicial", r"\b(the|der)\b"), ("macro", r"\b(of|la)\b")]).alias("nature"))
+    return articles(spark, sf).select("article_id", score.event_nature(F.col("body"), old, [("judicial", r"\b(the|der)\b"), ("macro", r"\b(of|la)\b")]).alias("nature"))
 
 
 _AROUSAL = " + ".join(f"CASE WHEN contains(t, '{w}') THEN {v!r}::DOUBLE ELSE 0 END" for w, v in WORDS.items())
 
 
-@query("arousal", f"WITH {ARTICLES}, x AS (SELECT article_id, {_norm('title')} AS t FROM articles) SELECT article_id, {R(f'1 - exp(-({_AROUSAL}) / 1.5)')} AS arousal FROM x")
+@query("arousal", f"WITH {ARTICLES}, x AS (SELECT article_id, {norm_sql('body')} AS t FROM articles) SELECT article_id, {R(f'1 - exp(-({_AROUSAL}) / 1.5)')} AS arousal FROM x")
 def q_arousal(spark, sf):
-    return articles(spark, sf).select("article_id", r6(attention.arousal(F.col("title"), WORDS)).alias("arousal"))
+    return articles(spark, sf).select("article_id", r6(attention.arousal(F.col("body"), WORDS)).alias("arousal"))
 
 
 @query("language_gate", "SELECT lang, count(*) AS n, lang IN ('portuguese', 'english', 'pt', 'en', 'pt-br', 'en-us', 'en-gb') OR coalesce(lang, '') = '' AS covered FROM documents GROUP BY lang")
@@ -144,7 +146,7 @@ def _mention_sql() -> str:
     names = [(t, i, a) for t, al in WATCH.items() for i, a in enumerate(al) if not (len(a) == 5 and a[:4].isupper() and a[4].isdigit())]
     codes = [(t, i, a) for t, al in WATCH.items() for i, a in enumerate(al) if len(a) == 5 and a[:4].isupper() and a[4].isdigit()]
     values = ", ".join(f"('{t}', {i}, '{a}', {str((t, i, a) in codes).lower()})" for t, i, a in names + codes)
-    return rf"""mt AS (SELECT article_id, {_norm('title')} AS nt, {_norm('body')} AS nb, title AS rt, substr(body, 1, 2000) AS rb FROM articles), al(ticker, rank, alias, cased) AS (VALUES {values}),
+    return rf"""mt AS (SELECT article_id, {norm_sql('title')} AS nt, {norm_sql('body')} AS nb, title AS rt, substr(body, 1, 2000) AS rb FROM articles), al(ticker, rank, alias, cased) AS (VALUES {values}),
 mh AS (SELECT article_id, ticker, rank, alias, regexp_matches(CASE WHEN cased THEN rt ELSE nt END, CASE WHEN cased THEN '(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)' ELSE '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)' END) AS it,
   regexp_matches(CASE WHEN cased THEN rb ELSE nb END, CASE WHEN cased THEN '(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)' ELSE '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)' END) AS ib, string_split(trim(nt || ' ' || nb), ' ') AS toks FROM mt, al),
 mb AS (SELECT article_id, ticker, arg_min((alias, it), rank) AS m, any_value(toks) AS toks FROM mh WHERE it OR ib GROUP BY ALL), mn AS (SELECT *, count(*) OVER (PARTITION BY article_id) AS n FROM mb),
@@ -167,7 +169,7 @@ def q_pending(spark, sf):
     return score.pending_pairs(_mentions(spark, sf), done, "lexicon").select("article_id", "ticker")
 
 
-@query("novelty", f"WITH {CLUSTERED} SELECT article_id, {R('CASE WHEN cluster_id IS NULL THEN 1 ELSE 1 / sqrt(rank() OVER (PARTITION BY cluster_id ORDER BY ts)) END')} AS novelty, CASE WHEN cluster_id IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY cluster_id) END AS cluster_size FROM clustered")
+@query("novelty", f"WITH RECURSIVE {CLUSTERED} SELECT article_id, {R('CASE WHEN cluster_id IS NULL THEN 1 ELSE 1 / sqrt(rank() OVER (PARTITION BY cluster_id ORDER BY ts)) END')} AS novelty, CASE WHEN cluster_id IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY cluster_id) END AS cluster_size FROM clustered")
 def q_novelty(spark, sf):
     return dedupe.novelty(clustered(spark, sf).select("article_id", "cluster_id", "published_ts")).select("article_id", r6("novelty").alias("novelty"), "cluster_size")
 
@@ -187,16 +189,16 @@ cd AS (SELECT cluster_id, domain, min(ts) AS ts FROM ca GROUP BY ALL), st AS (SE
 sw AS (SELECT st.*, (scoops + 8 * g) / (n + 8) AS shrunk, g FROM st, (SELECT sum(scoops) / sum(n)::DOUBLE AS g FROM st)), weights AS (SELECT domain, n, scoops, lead_min, shrunk, greatest(0.15, least(1.0, 0.45 * CASE WHEN g > 0 THEN shrunk / g ELSE 1 END * (1 + greatest(-0.3, least(0.3, lead_min / 180.0))))) AS weight FROM sw)"""
 
 
-def _weights(spark, sf):
-    return sources_weight.fit_weights(sources_weight.cluster_stats(clustered(spark, sf)))
+def _weights(spark, sf, a=None):
+    return sources_weight.fit_weights(sources_weight.cluster_stats(a if a is not None else clustered(spark, sf)))
 
 
-@query("source_weights", f"WITH {CLUSTERED}, {WEIGHTS} SELECT domain, n, scoops, {R('lead_min')} AS lead_min, {R('shrunk')} AS scoop_shrunk, round(weight, 4) AS weight FROM weights")
+@query("source_weights", f"WITH RECURSIVE {CLUSTERED}, {WEIGHTS} SELECT domain, n, scoops, {R('lead_min')} AS lead_min, {R('shrunk')} AS scoop_shrunk, round(weight, 4) AS weight FROM weights")
 def q_weights(spark, sf):
     return _weights(spark, sf).select("domain", "n", "scoops", r6("lead_min").alias("lead_min"), r6("scoop_shrunk").alias("scoop_shrunk"), "weight")
 
 
-@query("effective_sources", f"WITH {CLUSTERED}, c AS (SELECT cluster_id, domain, count(*) AS c FROM clustered WHERE cluster_id IS NOT NULL GROUP BY ALL), p AS (SELECT cluster_id, c / sum(c) OVER (PARTITION BY cluster_id)::DOUBLE AS p FROM c) SELECT cluster_id, {R('exp(-sum(p * ln(p)))')} AS effective_sources FROM p GROUP BY cluster_id")
+@query("effective_sources", f"WITH RECURSIVE {CLUSTERED}, c AS (SELECT cluster_id, domain, count(*) AS c FROM clustered WHERE cluster_id IS NOT NULL GROUP BY ALL), p AS (SELECT cluster_id, c / sum(c) OVER (PARTITION BY cluster_id)::DOUBLE AS p FROM c) SELECT cluster_id, {R('exp(-sum(p * ln(p)))')} AS effective_sources FROM p GROUP BY cluster_id")
 def q_effective(spark, sf):
     return attention.effective_sources(clustered(spark, sf).where("cluster_id is not null"), ["cluster_id"]).withColumn("effective_sources", r6("effective_sources"))
 
@@ -209,20 +211,21 @@ def _grid(spark, sf):
     return spark.range(1, 61, 1, 1).select(F.timestamp_seconds(1_700_000_000 + F.col("id") * 43_200).alias("asof"))
 
 
-@query("cluster_features", f"""WITH {CLUSTERED}, x AS (SELECT cluster_id, ts, domain, {_norm('title')} AS t FROM clustered WHERE cluster_id IS NOT NULL), g AS (SELECT DISTINCT cluster_id, 1700000000 + k * 432000 AS a FROM x, range(1, 7) r(k)), j AS (SELECT x.*, a, min(ts) OVER (PARTITION BY x.cluster_id, a) AS t0 FROM x JOIN g ON x.cluster_id = g.cluster_id AND ts <= a),
+@query("cluster_features", f"""WITH RECURSIVE {CLUSTERED}, x AS (SELECT cluster_id, ts, domain, {norm_sql('body')} AS t FROM clustered WHERE cluster_id IS NOT NULL), g AS (SELECT DISTINCT cluster_id, 1700000000 + k * 432000 AS a FROM x, range(1, 7) r(k)), j AS (SELECT x.*, a, min(ts) OVER (PARTITION BY x.cluster_id, a) AS t0 FROM x JOIN g ON x.cluster_id = g.cluster_id AND ts <= a),
 dc AS (SELECT cluster_id, a, domain, count(*)::DOUBLE AS c, count(*) FILTER (ts - t0 <= 7200)::DOUBLE AS d FROM j GROUP BY ALL),
 e AS (SELECT cluster_id, a, exp(ln(sum(c)) - sum(c * ln(c)) / sum(c)) AS e FROM dc GROUP BY ALL), f AS (SELECT cluster_id, a, exp(ln(sum(d)) - sum(d * ln(d)) / sum(d)) AS f FROM dc WHERE d > 0 GROUP BY ALL),
 b AS (SELECT cluster_id, a, count(*) AS copies, (a - min(t0)) / 3600.0 AS h, max(1 - exp(-({_AROUSAL}) / 1.5)) AS m FROM j GROUP BY cluster_id, a)
 SELECT cluster_id, a AS asof_s, {R('e')} AS effective_sources, {R('f')} AS cascade, copies, {R('1 - e / copies')} AS repetition, {R('h')} AS hours_alive, {R('m')} AS arousal FROM b JOIN e USING (cluster_id, a) JOIN f USING (cluster_id, a)""")
 def q_cluster_features(spark, sf):
-    a = clustered(spark, sf).where("cluster_id is not null").withColumn("arousal", attention.arousal(F.col("title"), WORDS))
+    a = clustered(spark, sf).where("cluster_id is not null").withColumn("arousal", attention.arousal(F.col("body"), WORDS))
     g = a.select("cluster_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("k")).distinct().select("cluster_id", F.timestamp_seconds(1_700_000_000 + F.col("k") * 432_000).alias("asof"))
     f = attention.cluster_features(a, g)
     return f.select("cluster_id", F.unix_timestamp("asof").alias("asof_s"), "copies", *[r6(c).alias(c) for c in ("effective_sources", "cascade", "repetition", "hours_alive", "arousal")])
 
 
-def _mention_times(spark, sf):
-    return _mentions(spark, sf).where(F.col("ticker") != config.NOBODY).join(clustered(spark, sf).select("article_id", "published_ts", "cluster_id"), "article_id")
+def _mention_times(spark, sf, a=None):
+    a = articles(spark, sf) if a is None else a
+    return _mentions(spark, sf).where(F.col("ticker") != config.NOBODY).join(a.select("article_id", "published_ts", *[c for c in a.columns if c == "cluster_id"]), "article_id")
 
 
 def _ticker_grid(spark, sf):
@@ -237,7 +240,7 @@ def q_burst(spark, sf):
     return attention.burst(_mention_times(spark, sf), _ticker_grid(spark, sf)).select("ticker", F.unix_timestamp("asof").alias("asof_s"), r6("burst").alias("burst"))
 
 
-@query("attention_panel", f"""WITH {CLUSTERED}, {MEN}, {GRID}, own AS (SELECT article_id, ts, domain, {_norm('title')} AS t, coalesce(cluster_id, 'a' || article_id) AS cid FROM clustered), m AS (SELECT ticker, ts, cid FROM mentions JOIN own USING (article_id)),
+@query("attention_panel", f"""WITH RECURSIVE {CLUSTERED}, {MEN}, {GRID}, own AS (SELECT article_id, ts, domain, {norm_sql('body')} AS t, coalesce(cluster_id::VARCHAR, 'a' || article_id) AS cid FROM clustered), m AS (SELECT ticker, ts, cid FROM mentions JOIN own USING (article_id)),
 g AS (SELECT ticker, at_s FROM grid, (VALUES {', '.join(f"('{t}')" for t in WATCH)}) t(ticker)), live AS (SELECT g.ticker, at_s, cid FROM m JOIN g ON g.ticker = m.ticker AND ts <= at_s AND at_s - ts < 129600), k AS (SELECT DISTINCT cid, at_s FROM live),
 j AS (SELECT own.*, at_s, min(ts) OVER (PARTITION BY own.cid, at_s) AS t0 FROM own JOIN k ON own.cid = k.cid AND ts <= at_s), dc AS (SELECT cid, at_s, domain, count(*)::DOUBLE AS c, count(*) FILTER (ts - t0 <= 7200)::DOUBLE AS d FROM j GROUP BY ALL),
 e AS (SELECT cid, at_s, exp(ln(sum(c)) - sum(c * ln(c)) / sum(c)) AS e FROM dc GROUP BY ALL), f AS (SELECT cid, at_s, exp(ln(sum(d)) - sum(d * ln(d)) / sum(d)) AS f FROM dc WHERE d > 0 GROUP BY ALL),
@@ -246,13 +249,13 @@ p AS (SELECT ticker, at_s, max(f) AS f, max(e) AS e, max(1 - e / copies) AS r, m
 bu AS (SELECT g.ticker, at_s, count(ts) AS b, count(ts) FILTER (at_s - ts < 86400) AS w FROM g LEFT JOIN m ON m.ticker = g.ticker AND ts <= at_s AND at_s - ts < 30 * 86400 GROUP BY ALL)
 SELECT ticker, at_s AS asof_s, {R('CASE WHEN b > 0 THEN (w / 24.0) / (b / 720.0) ELSE 0 END')} AS burst, {R('f')} AS cascade, {R('e')} AS effective_sources, {R('r')} AS repetition, {R('a')} AS arousal, copies, {R('h')} AS hours_alive, coalesce(n, 0) AS n FROM bu LEFT JOIN p USING (ticker, at_s)""")
 def q_panel(spark, sf):
-    a = clustered(spark, sf).withColumn("arousal", attention.arousal(F.col("title"), WORDS))
-    p = attention.panel(_mention_times(spark, sf), a, _ticker_grid(spark, sf))
+    a = clustered(spark, sf).withColumn("arousal", attention.arousal(F.col("body"), WORDS))
+    p = attention.panel(_mention_times(spark, sf, a), a, _ticker_grid(spark, sf))
     return p.select("ticker", F.unix_timestamp("asof").alias("asof_s"), "copies", "n", *[r6(c).alias(c) for c in ("burst", "cascade", "effective_sources", "repetition", "arousal", "hours_alive")])
 
 
-def _evidence(spark, sf):
-    a = clustered(spark, sf)
+def _evidence(spark, sf, a=None):
+    a = clustered(spark, sf) if a is None else a
     nov = dedupe.novelty(a.select("article_id", "cluster_id", "published_ts")).select("article_id", "novelty")
     men = sinks.written(_mentions(spark, sf).where(F.col("ticker") != config.NOBODY), "mentions")  # linked once, read twice
     routed = F.col("article_id") % 5 == 0
@@ -268,56 +271,78 @@ wev AS (SELECT e.ticker, at_s, article_id, routed, CASE WHEN routed AND article_
 we AS (SELECT * FROM wev WHERE w > 1e-6)"""
 
 
-def _weighted(spark, sf, ev=None):
-    return signal.evidence_asof(ev if ev is not None else _evidence(spark, sf), _ticker_grid(spark, sf), _weights(spark, sf))
+def _weighted(spark, sf, ev=None, a=None):
+    a = clustered(spark, sf) if a is None else a
+    return signal.evidence_asof(ev if ev is not None else _evidence(spark, sf, a), _ticker_grid(spark, sf), _weights(spark, sf, a))
 
 
-@query("signals", f"""WITH {EV}, z AS (SELECT ticker, at_s, sum(s * w) / sum(w) AS z, sum(w) AS n_eff, sum(s * s * w) AS ssw, sum(s * w) AS sw, count(*) AS n, count(*) FILTER (routed) AS r FROM we GROUP BY ALL)
+@query("signals", f"""WITH RECURSIVE {EV}, z AS (SELECT ticker, at_s, sum(s * w) / sum(w) AS z, sum(w) AS n_eff, sum(s * s * w) AS ssw, sum(s * w) AS sw, count(*) AS n, count(*) FILTER (routed) AS r FROM we GROUP BY ALL)
 SELECT ticker, at_s AS asof_s, round(z, 4) + 0.0 AS z, round(n_eff, 4) + 0.0 AS n_eff, round(sqrt(greatest((ssw - 2 * z * sw + z * z * n_eff) / n_eff, 0)), 4) + 0.0 AS dispersion, n AS n_articles, r AS n_routed FROM z""")
-def q_signals(spark, sf, ev=None):
-    s = signal.aggregate_signal(_weighted(spark, sf, ev))
+def q_signals(spark, sf, ev=None, a=None):
+    s = signal.aggregate_signal(_weighted(spark, sf, ev, a))
     return s.select("ticker", F.unix_timestamp("asof").alias("asof_s"), "z", "n_eff", "dispersion", "n_articles", "n_routed")
 
 
-@query("top_evidence", f"WITH {EV}, k AS (SELECT ticker, at_s, article_id, row_number() OVER (PARTITION BY ticker, at_s ORDER BY w DESC, article_id) AS rank FROM we) SELECT ticker, at_s AS asof_s, article_id, rank FROM k WHERE rank <= 12")
+@query("top_evidence", f"WITH RECURSIVE {EV}, k AS (SELECT ticker, at_s, article_id, row_number() OVER (PARTITION BY ticker, at_s ORDER BY w DESC, article_id) AS rank FROM we) SELECT ticker, at_s AS asof_s, article_id, rank FROM k WHERE rank <= 12")
 def q_top(spark, sf):
     return signal.top_evidence(_weighted(spark, sf)).select("ticker", F.unix_timestamp("asof").alias("asof_s"), "article_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("article_weights", f"WITH {EV} SELECT ticker, article_id, {R('w0')} AS weight FROM ev")
+@query("article_weights", f"WITH RECURSIVE {EV} SELECT ticker, article_id, {R('w0 + 1e-9')} AS weight FROM ev")  # a nudge, so that halves of the last place round alike
 def q_article_weights(spark, sf):
-    return signal.article_weights(_evidence(spark, sf), _weights(spark, sf)).select("ticker", "article_id", r6("weight").alias("weight"))
+    a = clustered(spark, sf)
+    return signal.article_weights(_evidence(spark, sf, a), _weights(spark, sf, a)).select("ticker", "article_id", r6(F.col("weight") + 1e-9).alias("weight"))
 
 
 HISTORY = EV.replace(GRID, """grid AS (SELECT epoch(d)::BIGINT + 72000 AS at_s FROM (SELECT DISTINCT CAST(to_timestamp(ts - 10800) AT TIME ZONE 'UTC' AS DATE) AS d FROM mentions JOIN articles USING (article_id)) WHERE isodow(d) <= 5)""")
 
 
-@query("signals_history", f"""WITH {HISTORY}, z AS (SELECT ticker, at_s, sum(s * w) / sum(w) AS z, sum(w) AS n_eff, sum(s * s * w) AS ssw, sum(s * w) AS sw, count(*) AS n, count(*) FILTER (routed) AS r FROM we GROUP BY ALL)
+@query("signals_history", f"""WITH RECURSIVE {HISTORY}, z AS (SELECT ticker, at_s, sum(s * w) / sum(w) AS z, sum(w) AS n_eff, sum(s * s * w) AS ssw, sum(s * w) AS sw, count(*) AS n, count(*) FILTER (routed) AS r FROM we GROUP BY ALL)
 SELECT ticker, at_s AS asof_s, round(z, 4) + 0.0 AS z, round(n_eff, 4) + 0.0 AS n_eff, round(sqrt(greatest((ssw - 2 * z * sw + z * z * n_eff) / n_eff, 0)), 4) + 0.0 AS dispersion, n AS n_articles, r AS n_routed FROM z""")
 def q_history(spark, sf):
-    ev = sinks.written(_evidence(spark, sf), "evidence")
+    a = clustered(spark, sf)
+    ev = sinks.written(_evidence(spark, sf, a), "evidence")
     days = articles(spark, sf).select(timeutil.local_date(F.col("published_ts")).alias("date")).distinct().where(F.dayofweek("date").between(2, 6))
-    s = signal.rebuild_history(ev, days.select(F.explode(F.array(*[F.lit(t) for t in WATCH])).alias("ticker"), "date"), _weights(spark, sf))
+    s = signal.rebuild_history(ev, days.select(F.explode(F.array(*[F.lit(t) for t in WATCH])).alias("ticker"), "date"), _weights(spark, sf, a))
     return s.select("ticker", F.unix_timestamp("asof").alias("asof_s"), "z", "n_eff", "dispersion", "n_articles", "n_routed")
 
 
-@query("macro_contribution", f"""WITH {ARTICLES}, g AS (SELECT t.ticker, at_s FROM range(1, 61) r(k), (SELECT 1700000000 + k * 43200 AS at_s, k AS k2 FROM range(1, 61) q(k)) s, (VALUES ('AAAA3'), ('BBBB4')) t(ticker) WHERE k = k2),
-e AS (SELECT ticker, domain AS indicator, CAST(to_timestamp(ts) AT TIME ZONE 'UTC' AS DATE) AS rel, (count(*) FILTER (lang = 'en') - 2 * count(*) FILTER (lang = 'de')) * 1.5::DOUBLE / count(*) AS imp FROM articles, (VALUES ('AAAA3'), ('BBBB4')) t(ticker) GROUP BY ALL),
-l AS (SELECT g.ticker, at_s, indicator, max(rel) AS rel, arg_max(imp, rel) AS imp FROM g JOIN e ON e.ticker = g.ticker AND rel <= CAST((to_timestamp(at_s - 10800) AT TIME ZONE 'UTC') AS DATE) GROUP BY ALL),
-x AS (SELECT ticker, at_s, 0.12 * pow(0.5, greatest(0, CAST((to_timestamp(at_s - 10800) AT TIME ZONE 'UTC') AS DATE) - rel) / 10.0) AS w, greatest(-1, least(1, imp)) AS c FROM l)
-SELECT ticker, at_s AS asof_s, round(sum(c * w), 6) + 0.0 AS contribution, round(sum(w), 6) + 0.0 AS weight FROM x GROUP BY ALL""")
-def q_macro(spark, sf):
+MACRO = f"""mood AS (SELECT ticker, domain AS indicator, CAST(to_timestamp(ts) AT TIME ZONE 'UTC' AS DATE) AS rel, (count(*) FILTER (lang = 'en') - 2 * count(*) FILTER (lang = 'de')) * 1.5::DOUBLE / count(*) AS imp FROM articles, (VALUES {', '.join(f"('{t}')" for t in WATCH)}) t(ticker) GROUP BY ALL),
+latest AS (SELECT g.ticker, at_s, indicator, max(rel) AS rel, arg_max(imp, rel) AS imp FROM (SELECT * FROM grid, (VALUES {', '.join(f"('{t}')" for t in WATCH)}) t(ticker)) g JOIN mood e ON e.ticker = g.ticker AND rel <= CAST((to_timestamp(at_s - 10800) AT TIME ZONE 'UTC') AS DATE) GROUP BY ALL),
+faded AS (SELECT ticker, at_s, 0.12 * pow(0.5, greatest(0, CAST((to_timestamp(at_s - 10800) AT TIME ZONE 'UTC') AS DATE) - rel) / 10.0) AS w, greatest(-1, least(1, imp)) AS c FROM latest),
+macro AS (SELECT ticker, at_s, sum(c * w) AS mc, sum(w) AS mw FROM faded GROUP BY ALL)"""
+
+
+def _macro(spark, sf):
+    """What the releases of each domain, one a day, add to every entity at each instant."""
     mood = (F.count_if(F.col("lang") == "en") - 2 * F.count_if(F.col("lang") == "de")) * 1.5 / F.count("*")
     e = articles(spark, sf).groupBy(F.col("domain").alias("indicator"), F.to_date("published_ts").alias("release_date")).agg(mood.alias("implied_pp"))
-    e = e.select(F.explode(F.array(F.lit("AAAA3"), F.lit("BBBB4"))).alias("ticker"), "indicator", "implied_pp", "release_date")
-    g = _ticker_grid(spark, sf).where("ticker in ('AAAA3', 'BBBB4')")
-    return signal.macro_surprise(e, g).select("ticker", F.unix_timestamp("asof").alias("asof_s"), r6("contribution").alias("contribution"), r6("weight").alias("weight"))
+    e = e.select(F.explode(F.array(*[F.lit(t) for t in WATCH])).alias("ticker"), "indicator", "implied_pp", "release_date")
+    return signal.macro_surprise(e, _ticker_grid(spark, sf))
+
+
+@query("macro_contribution", f"WITH {ARTICLES}, {GRID}, {MACRO} SELECT ticker, at_s AS asof_s, round(mc, 6) + 0.0 AS contribution, round(mw, 6) + 0.0 AS weight FROM macro")
+def q_macro(spark, sf):
+    return _macro(spark, sf).select("ticker", F.unix_timestamp("asof").alias("asof_s"), r6("contribution").alias("contribution"), r6("weight").alias("weight"))
+
+
+@query("signals_with_macro", f"""WITH RECURSIVE {EV}, {MACRO}, e AS (SELECT ticker, at_s, sum(s * w) AS sw, sum(w) AS w, sum(s * s * w) AS ssw, count(*) AS n FROM we GROUP BY ALL),
+k AS (SELECT e.*, coalesce(mc, 0) AS mc, coalesce(mw, 0) AS mw, CASE WHEN coalesce(mw, 0) > w * {config.SURPRISE_CAP} / (1 - {config.SURPRISE_CAP}::DOUBLE) THEN w * {config.SURPRISE_CAP} / (1 - {config.SURPRISE_CAP}::DOUBLE) / mw ELSE 1 END AS k FROM e LEFT JOIN macro USING (ticker, at_s)),
+z AS (SELECT *, (sw + mc * k) / (w + mw * k) AS z, w + mw * k AS den FROM k)
+SELECT ticker, at_s AS asof_s, round(z, 4) + 0.0 AS z, round(den, 4) + 0.0 AS n_eff, round(sqrt(greatest((ssw - 2 * z * sw + z * z * w) / den, 0)), 4) + 0.0 AS dispersion, n AS n_articles, k < 1 AS capped FROM z""")
+def q_signals_macro(spark, sf):
+    """Signals with releases in them, whose share is capped; capped tells where that was so."""
+    w, m = sinks.written(_weighted(spark, sf), "weighted"), sinks.written(_macro(spark, sf), "macro")
+    s = signal.aggregate_signal(w, m)
+    full = w.groupBy("ticker", "asof").agg(F.sum("w").alias("w_")).join(m, ["ticker", "asof"], "left")
+    over = full.select("ticker", "asof", (F.coalesce("weight", F.lit(0.0)) > F.col("w_") * config.SURPRISE_CAP / (1 - config.SURPRISE_CAP)).alias("capped"))
+    return s.join(over, ["ticker", "asof"]).select("ticker", F.unix_timestamp("asof").alias("asof_s"), "z", "n_eff", "dispersion", "n_articles", "capped")
 
 
 TOPICS = [("USDBRL", "the of"), ("USDBRL", "onre"), ("BRENT", "de la"), ("GAS", "und die"), ("setor:banks", "que la")]
 
 
-@query("route_articles", f"""WITH {ARTICLES}, x AS (SELECT article_id, domain, {_norm("title || ' ' || body")} AS t FROM articles), terms(topic, term) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in TOPICS)}), l(topic, ticker, weight, sign, layer, o) AS (VALUES ('USDBRL', 'AAAA3', 0.4, 1, 'driver', 2), ('USDBRL', 'BBBB4', 0.2, -1, 'driver', 2), ('BRENT', 'AAAA3', 0.3, -1, 'driver', 2), ('setor:banks', 'BBBB4', 0.35, 1, 'sector', 3), ('GAS', 'CCCC1', 0.7, 1, 'driver', 2)),
+@query("route_articles", f"""WITH {ARTICLES}, x AS (SELECT article_id, domain, {norm_sql("title || ' ' || body")} AS t FROM articles), terms(topic, term) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in TOPICS)}), l(topic, ticker, weight, sign, layer, o) AS (VALUES ('USDBRL', 'AAAA3', 0.4, 1, 'driver', 2), ('USDBRL', 'BBBB4', 0.2, -1, 'driver', 2), ('BRENT', 'AAAA3', 0.3, -1, 'driver', 2), ('setor:banks', 'BBBB4', 0.35, 1, 'sector', 3), ('GAS', 'CCCC1', 0.7, 1, 'driver', 2)),
 h AS (SELECT DISTINCT article_id, domain, topic FROM x JOIN terms ON regexp_matches(t, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)')), j AS (SELECT article_id, ticker, topic, weight, sign, row_number() OVER (PARTITION BY article_id, ticker ORDER BY o, weight DESC, topic) AS k FROM h JOIN l USING (topic))
 SELECT article_id, ticker, round(least(1.0, 0.4 + weight), 6) AS relevance, 'driver:' || topic AS matched_alias, CAST(weight AS DOUBLE) AS driver_weight, sign AS driver_sign FROM j WHERE k = 1""")
 def q_route(spark, sf):
@@ -327,6 +352,25 @@ def q_route(spark, sf):
     return m.select("article_id", "ticker", r6("relevance").alias("relevance"), "matched_alias", "driver_weight", "driver_sign")
 
 
+SECTORS = {"AAAA3": "banks", "BBBB4": "banks", "CCCC1": "mines", "DDDD2": None}
+EFFECTS = [("heat", "AAAA3", 1), ("heat", "CCCC1", -1), ("rain", "BBBB4", -1), ("rain", "DDDD2", 0)]
+LAYER_TOPICS = [("USDBRL", "the of"), ("setor:banks", "que la"), ("setor:mines", "und die"), ("tema:heat", "de la"), ("tema:rain", "of the"), ("tema:rain", "to the")]
+_LISTENERS = [("USDBRL", "AAAA3", 0.4, 1, "driver", 2), ("USDBRL", "CCCC1", 0.2, -1, "driver", 2), *[("setor:" + x, t, config.SECTOR_WEIGHT, 1, "sector", 3) for t, x in SECTORS.items() if x], *[("tema:" + h, t, config.THEME_WEIGHT, e, "theme", 4) for h, t, e in EFFECTS if e]]
+
+
+@query("route_layers", f"""WITH {ARTICLES}, x AS (SELECT article_id, {norm_sql("title || ' ' || body")} AS t FROM articles), terms(topic, term) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in LAYER_TOPICS)}), l(topic, ticker, weight, sign, layer, o) AS (VALUES {', '.join(str(v) for v in _LISTENERS)}),
+h AS (SELECT DISTINCT article_id, topic FROM x JOIN terms ON regexp_matches(t, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)')), j AS (SELECT article_id, ticker, topic, weight, sign, layer, row_number() OVER (PARTITION BY article_id, ticker ORDER BY o, weight DESC, topic) AS k FROM h JOIN l USING (topic))
+SELECT article_id, ticker, topic AS driver, layer, CAST(weight AS DOUBLE) AS weight, sign FROM j WHERE k = 1""")
+def q_layers(spark, sf):
+    """Articles to entities through drivers, sectors and themes; of several ways the first layer counts."""
+    terms = spark.createDataFrame(LAYER_TOPICS, "topic string, term string")
+    drivers = spark.createDataFrame([v[:5] for v in _LISTENERS if v[4] == "driver"], "topic string, ticker string, weight double, sign int, layer string")
+    sectors = routing.sector_listeners(spark.createDataFrame(list(SECTORS.items()), "ticker string, sector string"))
+    themes = routing.theme_listeners(spark.createDataFrame(EFFECTS, "theme string, ticker string, effect int"))
+    hits = routing.route_articles(articles(spark, sf), drivers.unionByName(sectors).unionByName(themes), terms)
+    return routing.union_layers(hits).select("article_id", "ticker", "driver", "layer", "weight", "sign")
+
+
 def _score_labels(spark, sf):
     """Signals and outcomes: the lexicon's score against the documents' labels."""
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("article_id"), (F.col("quality") - 2 * F.col("toxic")).alias("q"))
@@ -385,6 +429,13 @@ def q_reliability(spark, sf):
     return evaluate.reliability(s, "z", "y").select("bin", "n", *[r6(c).alias(c) for c in ("p_mean", "rate", "lo")])
 
 
+@query("calibration_error", f"""WITH {ZL}, e AS (SELECT quantile_cont(z, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM zl), b AS (SELECT len(list_filter(e, lambda x: x < z)) AS bin, z, (cls = 1)::INT AS y FROM zl, e), g AS (SELECT bin, count(*) AS n, avg(z) AS p_mean, avg(y) AS rate FROM b GROUP BY bin)
+SELECT {R('sum(n * abs(p_mean - rate)) / sum(n)')} AS ece FROM g WHERE n >= 20""")
+def q_ece(spark, sf):
+    s = _score_labels(spark, sf).withColumn("y", (F.col("cls") == 1).cast("int"))
+    return evaluate.ece(evaluate.reliability(s, "z", "y")).select(r6("ece").alias("ece"))
+
+
 @query("top_precision", f"""WITH {ZL}, c AS (SELECT quantile_cont(z, [0.95, 0.9, 0.8, 0.5]) AS q, avg((cls = 1)::INT) AS base FROM zl), s AS (SELECT unnest([0.05::DOUBLE, 0.1, 0.2, 0.5]) AS share, unnest(q) AS cut, base FROM c)
 SELECT share, {R('cut')} AS cut, count(*) AS n, {R('avg((cls = 1)::INT)')} AS precision, {R('base')} AS base FROM zl JOIN s ON z >= cut GROUP BY share, cut, base""")
 def q_top_precision(spark, sf):
@@ -421,10 +472,10 @@ def q_walk_forward(spark, sf):
     return evaluate.walk_forward(s, embargo_days=1, min_train=20).groupBy("fold", "role").count()
 
 
-@query("scorer_accuracy", f"""WITH {ARTICLES}, {LEX}, x AS (SELECT article_id, {_norm('title')} AS t FROM articles), g AS (SELECT article_id, CASE WHEN regexp_matches(t, '\\bthe\\b') THEN 'en' WHEN regexp_matches(t, '\\bla\\b') THEN 'rom' WHEN regexp_matches(t, '\\bder\\b') THEN 'de' END AS rule, CASE WHEN regexp_matches(t, '\\bthe\\b') THEN 1 WHEN regexp_matches(t, '\\bla\\b') THEN -1 ELSE 0 END AS gold FROM x)
+@query("scorer_accuracy", f"""WITH {ARTICLES}, {LEX}, x AS (SELECT article_id, {norm_sql('body')} AS t FROM articles), g AS (SELECT article_id, CASE WHEN regexp_matches(t, '\\bthe\\b') THEN 'en' WHEN regexp_matches(t, '\\bla\\b') THEN 'rom' WHEN regexp_matches(t, '\\bder\\b') THEN 'de' END AS rule, CASE WHEN regexp_matches(t, '\\bthe\\b') THEN 1 WHEN regexp_matches(t, '\\bla\\b') THEN -1 ELSE 0 END AS gold FROM x)
 SELECT rule, count(*) AS n, {R('avg((CASE WHEN gold = 0 THEN abs(s) < 0.15 ELSE sign(s) = gold AND abs(s) >= 0.05 END)::INT)')} AS accuracy FROM g JOIN sc USING (article_id) WHERE rule IS NOT NULL GROUP BY rule""")
 def q_gold(spark, sf):
-    g = evaluate.gold_labels(_scored(spark, sf), [("en", r"\bthe\b", 1), ("rom", r"\bla\b", -1), ("de", r"\bder\b", 0)])
+    g = evaluate.gold_labels(_scored(spark, sf), [("en", r"\bthe\b", 1), ("rom", r"\bla\b", -1), ("de", r"\bder\b", 0)], "body")
     return evaluate.scorer_accuracy(g).withColumn("accuracy", r6("accuracy"))
 
 
@@ -454,7 +505,7 @@ def _kind():
     return F.element_at(F.array(*[F.lit(x) for x in KINDS]), (F.col("article_id") % 5 + 1).cast("int")).alias("ticker")
 
 
-@query("weighting_schemes", f"""WITH {CLUSTERED}, {LEX}, {WEIGHTS}, nov AS (SELECT article_id, CASE WHEN cluster_id IS NULL THEN 1 ELSE 1 / sqrt(rank() OVER (PARTITION BY cluster_id ORDER BY ts)) END AS novelty FROM clustered),
+@query("weighting_schemes", f"""WITH RECURSIVE {CLUSTERED}, {LEX}, {WEIGHTS}, nov AS (SELECT article_id, CASE WHEN cluster_id IS NULL THEN 1 ELSE 1 / sqrt(rank() OVER (PARTITION BY cluster_id ORDER BY ts)) END AS novelty FROM clustered),
 d AS (SELECT event_type AS ticker, ts::DATE AS date, sum(CAST(round(value * 1000) AS BIGINT))::DOUBLE / count(*) / 1000.0 AS close FROM events GROUP BY ALL), r AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM d), m AS (SELECT date, avg(ret) AS m FROM r WHERE ret IS NOT NULL GROUP BY date HAVING count(*) >= 3),
 t AS (SELECT ticker, date, lead(ret - m) OVER (PARTITION BY ticker ORDER BY date) AS y FROM r JOIN m USING (date) WHERE ret IS NOT NULL),
 n AS (SELECT {_KIND} AS ticker, (SELECT min(date) FROM d) + ((ts - 1700000000) // 86400)::INT AS date, s, novelty, coalesce(round(w.weight, 4), 0.35) AS sw FROM sc JOIN clustered USING (article_id) JOIN nov USING (article_id) LEFT JOIN weights w USING (domain)),
@@ -472,24 +523,25 @@ def q_schemes(spark, sf):
     a = clustered(spark, sf)
     nov = dedupe.novelty(a.select("article_id", "cluster_id", "published_ts")).select("article_id", "novelty")
     days = F.floor((F.unix_timestamp("published_ts") - 1_700_000_000) / 86_400).cast("int")
-    news = _scored(spark, sf, a).join(nov, "article_id").join(_weights(spark, sf).select("domain", "weight"), "domain", "left").join(F.broadcast(daily.agg(F.min("date").alias("d0"))))
+    news = _scored(spark, sf, a).join(nov, "article_id").join(_weights(spark, sf, a).select("domain", "weight"), "domain", "left").join(F.broadcast(daily.agg(F.min("date").alias("d0"))))
     rows = news.select(_kind(), F.date_add("d0", days).alias("date"), "s", "novelty", F.coalesce("weight", F.lit(config.DEFAULT_SOURCE_WEIGHT)).alias("sw"))
     schemes = {"equal": F.lit(1.0), "novelty": F.col("novelty"), "sources": F.col("sw"), "both": F.col("novelty") * F.col("sw")}
     return evaluate.weighting_schemes(rows, target, schemes).withColumn("ic", r6("ic"))
 
 
-@query("alarms", f"""WITH {EV}, z AS (SELECT ticker, at_s, round(sum(s * w) / sum(w), 4) + 0.0 AS z, round(sum(w), 4) AS n_eff FROM we GROUP BY ALL), s AS (SELECT *, 1 / (1 + exp(-z)) AS pu, 1 / (1 + exp(z)) AS pd FROM z),
-f AS (SELECT DISTINCT e.ticker, at_s FROM ev e JOIN nov USING (article_id) JOIN grid ON ts <= at_s AND at_s - ts < 129600 WHERE novelty >= 0.95), x AS (SELECT ticker, at_s, 'up' AS direction, pu AS p FROM s UNION ALL SELECT ticker, at_s, 'down', pd FROM s), r(ticker, e, n, d) AS (VALUES ('AAAA3', 0.02, 0.5, 'both'), ('BBBB4', 0.01, 0.2, 'down'), ('CCCC1', 0.12, 0.3, 'both'), ('DDDD2', 0.12, 0.3, 'both'))
+@query("alarms", f"""WITH RECURSIVE {EV}, z AS (SELECT ticker, at_s, round(sum(s * w) / sum(w), 4) + 0.0 AS z, round(sum(w), 4) AS n_eff FROM we GROUP BY ALL), s AS (SELECT *, 1 / (1 + exp(-z)) AS pu, 1 / (1 + exp(z)) AS pd FROM z),
+f AS (SELECT DISTINCT e.ticker, at_s FROM ev e JOIN nov USING (article_id) JOIN grid ON ts <= at_s AND at_s - ts < 129600 WHERE novelty >= 0.95), x AS (SELECT ticker, at_s, 'up' AS direction, pu AS p FROM s UNION ALL SELECT ticker, at_s, 'down', pd FROM s), r(ticker, e, n, d) AS (VALUES ('AAAA3', 0.02, 0.1, 'both'), ('BBBB4', 0.01, 0.05, 'down'), ('CCCC1', 0.12, 0.05, 'both'), ('DDDD2', 0.12, 0.05, 'both'))
 SELECT x.ticker, x.at_s AS asof_s, direction, round(p - 0.45, 6) AS edge FROM x JOIN s USING (ticker, at_s) JOIN r ON r.ticker = x.ticker JOIN f ON f.ticker = x.ticker AND f.at_s = x.at_s WHERE n_eff >= n AND d IN ('both', direction) AND p - 0.45 >= e""")
 def q_alarms(spark, sf):
     return _alarms(spark, sf).select("ticker", F.unix_timestamp("asof").alias("asof_s"), "direction", r6("edge").alias("edge"))
 
 
 def _alarms(spark, sf):
-    ev = sinks.written(_evidence(spark, sf), "evidence")
-    s = q_signals(spark, sf, ev)
+    a = clustered(spark, sf)
+    ev = sinks.written(_evidence(spark, sf, a), "evidence")
+    s = q_signals(spark, sf, ev, a)
     s = s.select("ticker", F.timestamp_seconds("asof_s").alias("asof"), "z", "n_eff", (1 / (1 + F.exp(-F.col("z")))).alias("p_up"), (1 / (1 + F.exp(F.col("z")))).alias("p_down"), F.lit(0.45).alias("base_up"), F.lit(0.45).alias("base_down"), F.lit(1).alias("calibrated"))
-    rules = spark.createDataFrame([("AAAA3", 0.02, 0.5, 90, None, None, None), ("BBBB4", 0.01, 0.2, None, None, True, "down"), ("*", None, 0.3, None, None, None, None)], "ticker string, min_edge double, min_n_eff double, cooldown_min int, require_calibrated boolean, require_novelty boolean, direction string")
+    rules = spark.createDataFrame([("AAAA3", 0.02, 0.1, 90, None, None, None), ("BBBB4", 0.01, 0.05, None, None, True, "down"), ("*", None, 0.05, None, None, None, None)], "ticker string, min_edge double, min_n_eff double, cooldown_min int, require_calibrated boolean, require_novelty boolean, direction string")
     return alarms.candidates(s, alarms.resolve_rules(s.select("ticker"), rules), ev.select("ticker", "published_ts", "novelty"))
 
 
@@ -506,6 +558,14 @@ def q_offsets(spark, sf):
     return timeutil.diagnose_offsets(a).select("domain", "n", "p10_s", "verdict")
 
 
+@query("applied_offsets", f"""WITH {ARTICLES}, l AS (SELECT article_id, domain, ts, its - ts + CASE WHEN domain LIKE '%1' THEN -10800 WHEN domain LIKE '%2' THEN 3600 ELSE 0 END AS lag FROM articles), s AS (SELECT domain, list_sort(list(lag)) AS l FROM l GROUP BY domain HAVING count(*) >= 12), p AS (SELECT domain, l[CAST(floor(0.1 * (len(l) - 1)) AS INT) + 1] / 3600.0 AS h FROM s)
+SELECT article_id, ts + CASE WHEN abs(h - round(h)) <= 0.25 AND round(h) <> 0 AND h * 3600 < -600 THEN round(h)::BIGINT * 3600 ELSE 0 END AS ts FROM l LEFT JOIN p USING (domain)""")
+def q_apply_offsets(spark, sf):
+    shift = F.when(F.col("domain").endswith("1"), -10800).when(F.col("domain").endswith("2"), 3600).otherwise(0)
+    a = articles(spark, sf).withColumn("ingested_ts", F.timestamp_seconds(F.unix_timestamp("ingested_ts") + shift))
+    return timeutil.apply_offsets(a, timeutil.diagnose_offsets(a)).select("article_id", F.unix_timestamp("published_ts").alias("ts"))
+
+
 @query("repaired_timestamps", f"WITH {ARTICLES}, x AS (SELECT article_id, its, CASE WHEN article_id % 50 = 0 THEN ts + 40000000 WHEN article_id % 51 = 0 THEN 1000 ELSE ts END AS ts FROM articles) SELECT article_id, CASE WHEN ts > its + 3600 OR ts < 946684800 THEN its ELSE ts END AS ts, CASE WHEN ts > its + 3600 THEN 'future' WHEN ts < 946684800 THEN 'ancient' END AS suspect FROM x")
 def q_repair(spark, sf):
     t, i = F.unix_timestamp("published_ts"), F.col("article_id")
@@ -519,7 +579,7 @@ def q_local(spark, sf):
     return table(spark, sf, "events").select("event_id", d.alias("local_date"), timeutil.local_hour(F.col("ts")).alias("local_hour"), timeutil.in_session(F.col("ts")).alias("in_session"), F.unix_timestamp(timeutil.session_close_utc(d)).alias("close_s"))
 
 
-@query("audit", f"WITH {CLUSTERED} SELECT (SELECT count(*) FROM clustered WHERE cluster_id IS NULL) AS n_unclustered, (SELECT count(*) FROM articles WHERE lang <> 'en') AS n_uncovered_scores, (SELECT count(DISTINCT p_type) FROM part WHERE p_type NOT IN ('ECONOMY', 'LARGE')) AS n_ghost_drivers, (SELECT count(*) FROM events) AS n_signals, (SELECT count(DISTINCT CAST(ts AS DATE)) FROM events) AS n_signal_days")
+@query("audit", f"WITH RECURSIVE {CLUSTERED} SELECT (SELECT count(*) FROM clustered WHERE cluster_id IS NULL) AS n_unclustered, (SELECT count(*) FROM articles WHERE lang <> 'en') AS n_uncovered_scores, (SELECT count(DISTINCT p_type) FROM part WHERE p_type NOT IN ('ECONOMY', 'LARGE')) AS n_ghost_drivers, (SELECT count(*) FROM events) AS n_signals, (SELECT count(DISTINCT CAST(ts AS DATE)) FROM events) AS n_signal_days")
 def q_audit(spark, sf):
     a = clustered(spark, sf)
     reg = spark.createDataFrame([("ECONOMY",), ("LARGE",)], "driver string")
@@ -601,6 +661,18 @@ def q_sessions(spark, sf):
     return streams.story_sessions(table(spark, sf, "events").select(F.col("user_id").alias("cluster_id"), F.col("ts").alias("published_ts")))
 
 
+_Z, _IC = "((doc_id % 601) - 300) / 100.0", "((doc_id % 37) - 18) / 20.0"
+_X = f"abs(({_IC}) * ({_Z}) / sqrt(1 - ({_IC}) * ({_IC})))"
+
+
+@query("p_up_given_z", f"""WITH x AS (SELECT doc_id, {_X}::DOUBLE AS x, ({_IC}) * ({_Z}) >= 0 AS pos FROM documents), t AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * x) AS t FROM x),
+p AS (SELECT *, exp(-x * x / 2) / sqrt(2 * pi()) * t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))) AS tail FROM t)
+SELECT doc_id, {R('CASE WHEN pos THEN 1 - tail ELSE tail END')} AS p FROM p""")
+def q_p_up(spark, sf):
+    z, ic = (F.col("doc_id") % 601 - 300) / 100.0, (F.col("doc_id") % 37 - 18) / 20.0
+    return table(spark, sf, "documents").select("doc_id", r6(stats.p_up_given_z(z, ic)).alias("p"))
+
+
 @query("ic_to_hits", f"WITH x AS (SELECT doc_id, ((doc_id % 199) - 99) / 100.0 AS ic FROM documents) SELECT doc_id, {R('0.5 + asin(ic) / pi()')} AS hits, {R('ic')} AS ic FROM x")
 def q_hits_ic(spark, sf):
     ic = (F.col("doc_id") % 199 - 99) / 100.0

@@ -280,6 +280,22 @@ def test_first_near(spark):
     assert dedupe._first_near(df.limit(0), 300).count() == 0
 
 
+def test_statement_lines_keep_the_order_of_files(spark, tmp_path):
+    """The last line of the last file by name counts, however large the files are."""
+    head = "CNPJ_CIA;DENOM_CIA;DT_REFER;DT_FIM_EXERC;ORDEM_EXERC;CD_CONTA;DS_CONTA;VL_CONTA;ESCALA_MOEDA\n"
+    line = lambda v, code="3.01": f"1;N;2024-01-01;2023-12-31;ULTIMO;{code};Receita;{v};UNIDADE\n"
+    (tmp_path / "b.csv").write_text(head + line(3) + line(4))
+    (tmp_path / "a.csv").write_text(head + "".join(line(i, "9.99") for i in range(5000)) + line(9))
+    rows = readers.read_statements_csv(spark, str(tmp_path)).where("code = '3.01'")
+    assert [r.value for r in rows.orderBy("line").collect()] == ["9", "3", "4"]
+    bars = json.dumps({"chart": {"result": [{"meta": {"symbol": "S"}, "timestamp": [3600, 7200, 10800], "indicators": {"quote": [{"open": [1.0, 2.0, 3.0], "close": [1.5, None, 2.5]}]}}]}})
+    (tmp_path / "c.json").write_text(bars)
+    assert [(r.ts.hour, r.open, r.close) for r in readers.read_chart_json(spark, f"{tmp_path}/c.json", bars=True).orderBy("ts").collect()] == [(1, 1.0, 1.5), (3, 3.0, 2.5)]
+    (tmp_path / "f.txt").write_text("Nome_Companhia;Categoria;Link_Download\nACME S.A.;Fato Relevante;http://x\n")
+    (r,) = readers.read_filings_csv(spark, f"{tmp_path}/f.txt").collect()
+    assert (r.name, r.category, r.link, r.tax_id) == ("ACME S.A.", "Fato Relevante", "http://x", None)
+
+
 def test_near_signatures(spark):
     """Every pair within 12 bits once, none beyond, at every distance; dealt rows grow with the SimHashes alone."""
     rng = random.Random(5)

@@ -93,15 +93,16 @@ def read_realized(spark: SparkSession, path: str, indicator: str) -> DataFrame:
     return realized_months(spark.read.schema("data string, valor string").json(path, multiLine=True).withColumn("indicator", F.lit(indicator)))
 
 
-def _csv(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
+def _csv(spark: SparkSession, path: str, names: dict[str, str], line: str | None = None) -> DataFrame:
+    """The columns of names; line: a column that orders rows by file name, place of the split and row within it."""
     raw = spark.read.csv(path, sep=";", encoding="ISO-8859-1", header=True)
-    return raw.select(*[(F.col(k) if k in raw.columns else F.lit(None).cast("string")).alias(v) for k, v in names.items()])
+    place = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias(line)] if line else []
+    return raw.select(*[(F.col(k) if k in raw.columns else F.lit(None).cast("string")).alias(v) for k, v in names.items()], *place)
 
 
 def read_statements_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of regulator statements for fundamentals.pivot_statements; `line` keeps the file's order."""
-    x = _csv(spark, path, {"CNPJ_CIA": "company", "DENOM_CIA": "name", "DT_REFER": "filed", "DT_FIM_EXERC": "period", "ORDEM_EXERC": "exercise", "CD_CONTA": "code", "DS_CONTA": "label", "VL_CONTA": "value", "ESCALA_MOEDA": "scale"})
-    return x.withColumn("line", F.monotonically_increasing_id())
+    """Lines of regulator statements for fundamentals.pivot_statements; `line` keeps the order of files by name and of their lines."""
+    return _csv(spark, path, {"CNPJ_CIA": "company", "DENOM_CIA": "name", "DT_REFER": "filed", "DT_FIM_EXERC": "period", "ORDEM_EXERC": "exercise", "CD_CONTA": "code", "DS_CONTA": "label", "VL_CONTA": "value", "ESCALA_MOEDA": "scale"}, "line")
 
 
 def read_filings_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -139,13 +139,18 @@ def test_image_classes(spark):
     imgs += [(70, imgs[4][1]), (75, imgs[4][1]), (2003, np.zeros((128, 128), np.uint8)), (7, imgs[6][1])]  # id 5 thrice, 7 twice
     rows = [*image_rows(imgs), (2000, 10, 10, bytearray(100)), (2001, 5, 5, bytearray(3)), (2002, None, 4, None), (None, 128, 128, bytearray(imgs[0][1].tobytes()))]
     images = spark.createDataFrame(rows, IMAGES).repartition(3)
-    ids = images.select("image_id").where("image_id is not null").distinct()
-    f = media.describe(images)
-    got = {r.image_id: (r.class_id, r.n_links) for r in media.image_classes(f, f.where("image_id % 5 = 0 and image_id < 100"), ids).collect()}
+    got = {r.image_id: (r.class_id, r.n_links) for r in classes_of(images, "image_id % 5 = 0 and image_id < 100").collect()}
     want = {i: (i, 0) for i, *_ in rows if i is not None}
     want |= {1000 + i: (i, 1) for i in range(5, 60, 5)} | {5: (5, 2), 70: (5, 2), 75: (5, 2), 1005: (5, 3)}
     assert got == want
-    assert media.image_classes(f.limit(0), f.limit(0), ids.limit(0)).count() == 0
+    assert classes_of(images.limit(0), "image_id = 5").count() == 0
+
+
+def classes_of(images, asked):
+    heads, members = media.distinct_pictures(images, ["height", "width", "pixels"])
+    f = corpus_pipeline.save(media.describe(heads), "features")
+    shown = members.where(asked).select(F.col("head").alias("image_id")).distinct()
+    return media.image_classes(f, members, members.where(asked).select("image_id"), f.join(shown, "image_id", "left_semi"))
 
 
 def brute_classes(links, queries, ids):
@@ -178,13 +183,14 @@ def test_image_classes_lose_no_link(spark):
     base = [media.draw(rng.normal(0, 0.2, 64)) for _ in range(13)]
     imgs = [(5, a), (10, halves(a, c)), (15, d), (1001, halves(c, d))]
     imgs += [(100 + 5 * k, halves(base[k], base[k + 1])) for k in range(12)]  # each shares a half, at its place or moved, with the next
+    imgs += [(k, base[3]) for k in (402, 403, 404, 405)]  # equal pictures, one of them asked for
     imgs += [(200 + k, media.draw(rng.normal(0, 0.2, 64))) for k in range(30)] + [(300 + 5 * k, media.edit(base[k], k % 4)) for k in range(12)] + [(400, base[3]), (401, base[4])]
     f = corpus_pipeline.save(media.describe(spark.createDataFrame(image_rows(imgs), IMAGES)), "features")
     asked = f.where("image_id % 5 = 0")
     links = {(r.query_id, r.image_id) for r in media.find_copies(f, asked).collect()}
     assert (10, 1001) in links and (15, 1001) in links
     queries, ids = {i for i, _ in imgs if i % 5 == 0}, {i for i, _ in imgs}
-    got = {r.image_id: (r.class_id, r.n_links) for r in media.image_classes(f, asked, spark.createDataFrame([(i,) for i in ids], "image_id long")).collect()}
+    got = {r.image_id: (r.class_id, r.n_links) for r in classes_of(spark.createDataFrame(image_rows(imgs), IMAGES), "image_id % 5 = 0").collect()}
     assert got == brute_classes(links, queries, ids) and got[1001] == (5, 3)
 
 

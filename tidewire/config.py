@@ -123,7 +123,7 @@ NOISE_WORDS = ["futebol", "patrocinio", "carnaval", "novela", "celebridade", "sh
 AMBIGUOUS_ALIASES = ["vale", "b3", "weg", "oi", "gol", "mover", "ambev brasil"]
 NOBODY = "__none__"
 
-# ---- weights and gates ----
+# ---- fixed values: weights and gates ----
 ZONE = "America/Sao_Paulo"
 SESSION_HOURS = (10, 17)
 HALF_LIFE_HOURS, WINDOW_HOURS, DEFAULT_SOURCE_WEIGHT = 8.0, 36, 0.35

@@ -404,7 +404,7 @@ def q_isotonic(spark, sf):
 
 @query("metalabel")
 def q_metalabel(spark, sf):
-    s = _score_labels(spark, sf).withColumns({"vol_pred": F.col("article_id") % 7 / 7.0, "vol_real": F.col("article_id") % 5 / 5.0, "dispersion": F.col("article_id") % 3 / 3.0, "right": (F.signum("z") == F.col("cls")).cast("int")}).cache()
+    s = _score_labels(spark, sf).withColumns({"vol_pred": F.col("article_id") % 7 / 7.0, "vol_real": F.col("article_id") % 5 / 5.0, "dispersion": F.col("article_id") % 3 / 3.0, "right": (F.signum("z") == F.col("cls")).cast("int")})
     m = models.metalabel_fit(s, least=1)
     return models.metalabel_gate(s, m).select("article_id", "meta_p", "take")
 

@@ -12,7 +12,8 @@ from tidewire.plans import registry
 SF = "/root/testdata/sf0.001"
 SOME = ["returns", "abnormal_returns", "labels", "base_rates", "weekly", "anomaly_signals", "leadlag_pairs", "volatility_bands", "univariate_signal", "theme_portfolio", "earnings_surprise", "asof_forward", "macro_surprise", "rule_calendar",
         "figures", "lexicon_score", "mentions", "novelty", "alarms", "attention_burst", "macro_contribution", "top_evidence", "source_weights", "cluster_features", "signals", "route_articles", "probabilities", "reliability", "offsets", "local_time", "upsert", "windowed_attention", "story_sessions",
-        "signals_history", "attention_panel", "event_study", "weighting_schemes", "asymmetry_persistence"]
+        "signals_history", "attention_panel", "event_study", "weighting_schemes", "asymmetry_persistence",
+        "signals_with_macro", "route_layers", "calibration_error", "applied_offsets", "p_up_given_z", "earnings_summary", "market_proxy", "pre_event_context", "same_story_scores", "decile_table"]
 
 
 @pytest.fixture(scope="module")

@@ -362,7 +362,10 @@ def q_earnings_summary(spark, sf):
 SELECT ticker, event, CASE WHEN date - event <= 5 THEN date END AS session, {R('CASE WHEN date - event <= 5 THEN ret END')} AS ret FROM j""")
 def q_asof_forward(spark, sf):
     o, p = table(spark, sf, "orders"), table(spark, sf, "part")
-    ev = o.join(p, F.col("o_orderkey") % 200 == F.col("p_partkey") % 200).select(F.col("p_brand").alias("ticker"), F.to_date("o_orderdate").alias("event")).distinct()
+    # days and brands of a remainder are distinct before they meet: orders and parts themselves would make all pairs of a remainder
+    days = o.select((F.col("o_orderkey") % 200).alias("k"), F.to_date("o_orderdate").alias("event")).distinct()
+    brands = p.select((F.col("p_partkey") % 200).alias("k"), F.col("p_brand").alias("ticker")).distinct()
+    ev = days.join(brands, "k").select("ticker", "event").distinct()
     j = asof.asof_join(ev, _rets(spark, sf), ["ticker"], "event", "date", "forward", tolerance=5)
     return j.select("ticker", "event", F.col("r_date").alias("session"), r6("r_ret").alias("ret"))
 

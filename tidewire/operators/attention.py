@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.text import norm
+from ..functions.text import norm, once
 from .asof import range_explode, running
 
 
 def arousal(text: Column, words: dict[str, float] = config.AROUSAL) -> Column:
     """1 - exp(-sum of the weights of the words held / 1.5)."""
-    t = norm(text)
-    total = reduce(lambda a, b: a + b, [F.when(F.contains(t, F.lit(w)), float(x)).otherwise(0.0) for w, x in words.items()])
-    return 1 - F.exp(-total / 1.5)
+    held = lambda t: reduce(lambda a, b: a + b, [F.when(F.contains(t, F.lit(w)), float(x)).otherwise(0.0) for w, x in words.items()])
+    return 1 - F.exp(-once(norm(text), held) / 1.5)
 
 
 def effective_sources(df: DataFrame, by: list[str], domain: str = "domain", where: Column | None = None, out: str = "effective_sources") -> DataFrame:

@@ -99,6 +99,7 @@ def event_study(news: DataFrame, residuals: DataFrame, ks: tuple[int, ...] = (1,
     w = event_windows(residuals, ks, key)
     j = asof_join(news, w, [key], "published_ts", "ts", "forward", strict=True).where("r_ts is not null")
     cells = j.groupBy(key, "r_ts").agg(F.round(F.avg("strength"), 9).alias("strength"), F.count("*").alias("n_"), *[F.first(f"r_cum_{k}").alias(f"cum_{k}") for k in ks])
+    cells = written(cells, "cells")  # each window reads them several times, and news would be scored each time
     parts = []
     for k in ks:
         c = cells.where(f"cum_{k} is not null")

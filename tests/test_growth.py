@@ -4,6 +4,7 @@ import inspect
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewire.functions import text
@@ -104,3 +105,24 @@ def test_news_of_an_event_study_are_scored_once(spark):
     news_ = spark.range(20).select(F.lit("x").alias("ticker"), day.alias("published_ts"), strength("id").alias("strength"))
     assert len(evaluate.event_study(news_, res, (1, 5)).collect()) == 2
     assert seen.value == 20
+
+
+def test_chance_meetings_of_features_make_no_rows(spark):
+    """op9_image_copies' check: pairs of features that share a key were rows that a shuffle carried, before they were compared. All images
+    show features of one key, so all pairs meet, in blocks and in lists, and in tiles of any size; only links leave a task."""
+    rng = np.random.default_rng(3)
+    d = rng.integers(-(2**62), 2**62, (600, 4))
+    d[:, 0] = d[:, 0] >> 16 << 16 | 77
+    d[590:] = d[:10]  # the last image is a copy of the first
+    rows = [(k // 10, k % 10, float(30 * (k % 10)), float(k % 3), 1.0, 0.0, *map(int, d[k])) for k in range(600)]
+    f = spark.createDataFrame(rows, "image_id long, n int, x double, y double, scale double, angle double, d0 long, d1 long, d2 long, d3 long")
+    asked = f.where("image_id < 20")
+    want = {(i, i) for i in range(20)} | {(0, 59)}
+    kept = media.FEW_KEYS, media.IMAGE_TILE, media.BLOCK, media.PAIRS
+    try:
+        for media.FEW_KEYS, media.IMAGE_TILE, media.BLOCK, media.PAIRS in ((kept), (300, 1, 4_096, 1 << 18), (0, 1, 10**9, 50), (kept[0], kept[1], 1, 50)):
+            got = media.find_copies(f, asked, images=60 if media.IMAGE_TILE > 1 else 4)
+            assert {(r.query_id, r.image_id) for r in got.collect()} == want
+            assert "Join" not in optimized(got)
+    finally:
+        media.FEW_KEYS, media.IMAGE_TILE, media.BLOCK, media.PAIRS = kept

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.text import norm
+from ..functions.text import BREAK, norm, whole
 from .entity import by_first_word
 
 LAYERS = ("name", "driver", "sector", "theme")  #: of one (url, ticker) the first layer counts
@@ -27,9 +27,9 @@ def match_terms(articles: DataFrame, terms: DataFrame) -> DataFrame:
 
     Texts meet terms by the term's first word, and the pattern is tried in the text's own row."""
     t = terms.select("topic", norm(F.col("term")).alias("form")).where("form != ''").withColumn("key", F.regexp_extract("form", "[a-z0-9]+", 0))
-    t = t.withColumn("p_", F.concat(F.lit(r"(?<![a-z0-9])\Q"), "form", F.lit(r"\E(?![a-z0-9])"))).select("key", "topic", "p_")
+    t = t.withColumn("p_", whole(F.col("form"), "[a-z0-9]")).select("key", "topic", "p_")
     a = articles.select("article_id", norm(F.concat_ws(" ", "title", "body")).alias("text_"))
-    words = F.array_distinct(F.split("text_", "[^a-z0-9]+"))
+    words = F.concat(F.split("text_", BREAK), F.array(F.lit("")))  # a term without letters and digits is tried on each text
     return by_first_word(a, words, t, F.rlike(F.col("text_"), F.col("p_")), ["article_id", "topic"]).distinct()
 
 
